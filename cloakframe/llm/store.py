@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,74 +20,95 @@ from .common import parts, prefix_sums, shared_dir, table
 END_ID = 2
 #: Ids that the rolling hash sees; a cut falls where its low bits are 0 (one place in 2**CUT_BITS), after LEAST ids at least
 #: and MOST at most.
-WINDOW, CUT_BITS, LEAST, MOST = 12, 9, 64, 4096
-#: White-space-free strings whose ids a worker keeps, and their length at most.
-CACHE, CACHE_CHARS = 1 << 18, 48
+WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Pieces, and words of pieces, whose ids a worker keeps, about.
+CACHE = 1 << 19
 
-
-#: White space to Python or to the library's splitter, but perhaps not to both.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e]").search
+#: Any but the characters that the quick path may see: those up to U+00FF that Python and the library class alike, and common punctuation.
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff‐-‧‰-⁞]").search
+#: The file's own splitter for such texts in lower case (fixed value).
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    n = tokenizer.get_vocab_size(with_added_tokens=True)
+    ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
+    return tokenizer, {}, {}, ends
+
+
+def _library(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def _learn(tokenizer, ends: np.ndarray, pieces: list[str]) -> dict[str, bytes]:
+    """The ids of each piece: all in one call, parted where a piece's last token ends it."""
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+    cut = np.flatnonzero(ends[ids]) + 1
+    if len(cut) != len(pieces):
+        return {p: _library(tokenizer, p) for p in pieces}
+    raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+    return {p: raw[i:j] for p, i, j in zip(pieces, at, at[1:])}
 
 
 def encode_packed(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    The tokenizer drops white space and never joins across it, so each run between white space is encoded on its own,
-    and frequent ones only once. Where the file's normaliser or splitter could see across white space (a text that isn't
-    in composed form, a combining mark after white space), the whole text goes to the library.
+    The tokenizer lower-cases, drops white space and encodes each piece of its splitter on its own. Texts of characters
+    that Python surely splits alike are cut here, and each piece goes to the library once (until CACHE are known); any
+    other text, and any with what may be a special token, goes to the library whole.
     """
-    tokenizer, kept = _tokenizer(path)
-    get, out = kept.__getitem__, []
-    for text in texts:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text) or _ODD_SPACE(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            continue
-        runs = text.split()
-        try:
-            out.append(b"".join(map(get, runs)))
-        except KeyError:
-            new = [r for r in set(runs) if r not in kept]
-            fresh = {r: np.array(e.ids, dtype="<u4").tobytes() for r, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))}
-            if len(kept) < CACHE:
-                kept.update((r, b) for r, b in fresh.items() if len(r) <= CACHE_CHARS)
-            out.append(b"".join([kept[r] if r in kept else fresh[r] for r in runs]))
+    tokenizer, kept, words, ends = _tokenizer(path)
+    parts = [None if "<|" in t or _OTHER(t) else t.split() for t in texts]
+    seen: set[str] = set()
+    for p in parts:
+        seen.update(p or ())
+    new = {w: _PIECES(w.lower()) for w in seen.difference(words)}
+    fresh = _learn(tokenizer, ends, list({p for ps in new.values() for p in ps}.difference(kept)))
+    kept.update(fresh)
+    get = kept.__getitem__
+    words.update((w, b"".join(map(get, ps))) for w, ps in new.items())
+    get = words.__getitem__
+    out = [_library(tokenizer, t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+    for cache, late in ((kept, fresh), (words, new)):
+        if len(cache) > CACHE:  # what came too late is forgotten
+            for p in late:
+                del cache[p]
     return out
 
 
 _MIX = np.random.default_rng(20240101).integers(1, 2**32, size=1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a document end: by content alone, so that equal passages give equal chunks."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: by the last WINDOW ids alone, so that equal passages are cut alike."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = np.zeros(n, dtype=np.uint32)
-    v = _MIX[ids & 0xFFFF] ^ (ids >> np.uint32(16)).astype(np.uint32)
-    for k in range(WINDOW):
-        h[k:] += np.left_shift(v[: n - k], np.uint32(k * 2))
+    h = _MIX[ids & 0xFFFF] ^ (ids >> np.uint32(16)).astype(np.uint32)
+    width = 1
+    while width < WINDOW:  # the sum over twice the window, from two windows beside each other
+        if n > width:
+            h[width:] += np.left_shift(h[: n - width].copy(), np.uint32(2 * width))
+        width *= 2
     h ^= h >> np.uint32(15)
-    at = np.nonzero((h & np.uint32((1 << CUT_BITS) - 1)) == 0)[0] + 1
+    return np.flatnonzero((h & np.uint32((1 << CUT_BITS) - 1)) == 0) + 1
+
+
+def cuts(n: int, at: list[int]) -> list[int]:
+    """Where the chunks of a document of n ids end, of the places `at`: LEAST to MOST ids each, the last one may be shorter.
+
+    No place before LEAST counts, so marks may be taken over joined documents: WINDOW is less.
+    """
     ends, last = [], 0
-    for c in at:
+    for c in [*at, n]:
         while c - last > MOST:
             last += MOST
             ends.append(last)
-        if c - last >= LEAST:
-            ends.append(int(c))
-            last = int(c)
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
+        if c - last >= LEAST or c == n and c > last:
+            ends.append(c)
+            last = c
     return ends
 
 
@@ -122,20 +142,26 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 packed = encode_packed([t or "" for t in part.column(1).to_pylist()], tokenizer)
+                end = end_id.to_bytes(4, "little")
+                every = np.frombuffer(b"".join([x + end for x in packed]), dtype="<u4")
+                at, begin = marks(every), 0
+                short = every.astype("<u2") if int(every.max()) < 1 << 16 else None
                 rows: list[tuple] = []
                 for ident, raw in zip(part.column(0).to_pylist(), packed):
-                    ids = np.frombuffer(raw + end_id.to_bytes(4, "little"), dtype="<u4")
+                    n = len(raw) // 4 + 1
+                    inner = at[np.searchsorted(at, begin, "right") : np.searchsorted(at, begin + n)] - begin
                     digests, sizes, bodies, last = [], [], [], 0
-                    for end in cuts(ids):
-                        piece = ids[last:end]
-                        last = end
-                        body = piece.astype("<u2").tobytes() if int(piece.max()) < 1 << 16 else b"\0" + piece.tobytes()
+                    for stop in cuts(n, inner.tolist()):
+                        lo_, hi_ = begin + last, begin + stop
+                        body = short[lo_:hi_].tobytes() if short is not None else b"\0" + every[lo_:hi_].tobytes()
                         d = hashlib.sha256(body).digest()[:16]
                         digests.append(d)
-                        sizes.append(len(piece))
+                        sizes.append(stop - last)
                         bodies.append(None if d in seen else body)
                         seen.add(d)
-                    rows.append((ident, row, len(ids), digests, sizes, bodies, merkle(digests)))
+                        last = stop
+                    begin += n
+                    rows.append((ident, row, n, digests, sizes, bodies, merkle(digests)))
                     row += 1
                 types = [part.schema.types[0], pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc_id", "row", "n_tokens", "digests", "sizes", "bodies", "root"])
