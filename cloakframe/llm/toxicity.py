@@ -19,8 +19,9 @@ from .common import table, written
 EXAMPLES = 24_000
 #: Terms of the vectors at most, a fixed bound: those most tied to the label among the examples.
 TERMS = 4096
-#: A term must occur in so many toxic examples, and toxic ones must be so large a part of its examples.
-LEAST_DF, LEAST_SHARE = 3, 0.5
+#: A term must occur in so many toxic examples, these must be so large a part of its examples, and that part must be so
+#: unlikely at the base rate (nats: examples times the divergence of the rates), since many rare words are toxic by chance.
+LEAST_DF, LEAST_SHARE, SURPRISE = 3, 0.5, 9.0
 #: Neighbours that vote, and examples in a block of the index.
 K, BLOCK = 15, 64
 #: Weight of the base rate beside the votes.
@@ -161,7 +162,11 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms:
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], names=["term", "n", "toxic"])
 
     terms = got.mapInArrow(count, "term string, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    terms = terms.filter((F.col("toxic") >= LEAST_DF) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
+    counts = known.agg(F.avg(F.col("toxic").cast("double"))).first()
+    base = min(max(counts[0] or 0.0, 1e-6), 1 - 1e-6)
+    n, k = F.col("n"), F.col("toxic")
+    gain = k * F.log(k / n / base) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - base))).otherwise(0.0)
+    terms = terms.filter((k >= LEAST_DF) & (k >= LEAST_SHARE * n) & (gain >= SURPRISE))
     return [r.term for r in terms.orderBy(F.desc("toxic"), "n", "term").limit(n_terms).collect()], got
 
 
