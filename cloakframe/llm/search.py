@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ PROJECTED, LEAF = 8, 32
 #: The search stops once a point nearer than the k-th best would have been met with this probability.
 SURE = 0.98
 #: Least candidates of a block (each has a tree of its own), most bytes of a block's vectors, queries that meet a block at once.
-BLOCK_ROWS, BLOCK_BYTES, QUERY_ROWS = 4_096, 32 << 20, 2_048
+BLOCK_ROWS, BLOCK_BYTES, QUERY_ROWS = 8_192, 32 << 20, 2_048
 SEED = 23
 
 
@@ -31,6 +32,7 @@ def chi2_cdf(x: np.ndarray | float, m: int) -> np.ndarray:
     return 1 - np.exp(-h) * total
 
 
+@lru_cache(maxsize=64)
 def chi2_ppf(p: float, m: int) -> float:
     lo, hi = 0.0, 1000.0
     for _ in range(100):
@@ -66,9 +68,10 @@ class ProjectedTree:
             mid = (hi - lo) // 2
             self.order[lo:hi] = part[np.argpartition(p[part, axis], mid)]
             stack += [(lo + mid, hi), (lo, lo + mid)]
-        self.leaves = np.array(sorted(cuts))
-        self.low = np.array([p[self.order[a:b]].min(axis=0) for a, b in self.leaves])
-        self.high = np.array([p[self.order[a:b]].max(axis=0) for a, b in self.leaves])
+        cuts.sort()
+        self.rows = [np.arange(a, b) for a, b in cuts]
+        self.low = np.array([p[self.order[a:b]].min(axis=0) for a, b in cuts])
+        self.high = np.array([p[self.order[a:b]].max(axis=0) for a, b in cuts])
         self.sorted = np.ascontiguousarray(x[self.order])
 
     def search(self, q: np.ndarray, k: int, sure: float | None) -> np.ndarray:
@@ -80,7 +83,7 @@ class ProjectedTree:
         away = (gap * gap).sum(axis=1)
         order = np.argsort(away, kind="stable")
         limit = chi2_ppf(sure, self.a.shape[1]) if sure is not None else math.inf
-        scores, places, kth, at, step = [], [], -math.inf, 0, 4
+        scores, places, kth, at, step, met = [], [], -math.inf, 0, 4, 0
         while at < len(order):
             if kth > -math.inf:
                 d2 = max(2 * self.m2 - 2 * kth * scale, 1e-12 * self.m2)
@@ -89,11 +92,11 @@ class ProjectedTree:
                     break
             part = order[at : at + step]
             at, step = at + step, min(step * 2, 256)
-            for lo, hi in self.leaves[part]:
-                places.append(np.arange(lo, hi))
-            rows = np.concatenate(places[-len(part) :])
+            rows = np.concatenate([self.rows[leaf] for leaf in part])
+            places.append(rows)
             scores.append(self.sorted[rows] @ q)
-            if sum(map(len, scores)) >= k:
+            met += len(rows)
+            if met >= k:
                 every = np.concatenate(scores)
                 kth = float(np.partition(every, -k)[-k])
         every, rows = np.concatenate(scores), np.concatenate(places)
