@@ -114,10 +114,12 @@ def review_signal(field_type: Column, original: Column, detector: Column, region
     return signal, ~approved & ~first & marker
 
 
-def reference_portal(kind: Column) -> tuple[Column, Column]:
+def reference_portal(kind: Column, text: Column) -> tuple[Column, Column]:
     """Where to look a reference up, and what that proves; never a link for internal or unresolved ones."""
     urls = {k: v[0] for k, v in fixed.PORTALS.items() if v[0]}
-    return mapped(urls, kind), mapped({k: v[1] for k, v in fixed.PORTALS.items()}, kind, F.lit("Internal or unresolved reference - no external link"))
+    words = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    asked = F.when(kind == "bger_case", F.concat(F.lit("?type=simple_query&lang=de&query_words="), F.url_encode(words))).otherwise(F.lit(""))
+    return F.concat(mapped(urls, kind), asked), mapped({k: v[1] for k, v in fixed.PORTALS.items()}, kind, F.lit("Internal or unresolved reference - no external link"))
 
 
 def review_group(field_type: Column, levels: Column, signal: Column, mode: str = "category") -> Column:

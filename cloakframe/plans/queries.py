@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..operators import review, sharing, spans
+from ..operators import layout, quality, review, sharing, spans
 from ..sources.readers import manifest, pages_of, restore, token_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,12 +225,12 @@ _CITE = "CASE " + " ".join(f"WHEN p_partkey % 6 = {i} THEN {x.format(k='(p_partk
 @query(f"""
 with p as (select cast(p_partkey as bigint) doc_id, {_CITE} c, {_case(_KINDS, 'p_partkey % 6')} kind from part)
 select doc_id, 4 as start, 4 + length(c) as "end", kind, kind = 'internal_file' as selected,
-  case kind when 'bger_case' then 'https://search.bger.ch/ext/eurospider/live/de/php/aza/http/index.php' when 'bvger_case' then 'https://www.bvger.ch/de/rechtsprechung/entscheiddatenbank'
+  case kind when 'bger_case' then 'https://search.bger.ch/ext/eurospider/live/de/php/aza/http/index.php?type=simple_query&lang=de&query_words=' || replace(c, '/', '%2F') when 'bvger_case' then 'https://www.bvger.ch/de/rechtsprechung/entscheiddatenbank'
   when 'published_case' then 'https://www.bger.ch/ext/eurospider/live/fr/php/clir/http/index.php?lang=de&type=start' when 'internal_file' then null else 'https://www.fedlex.admin.ch/de/cc' end as url from p""")
 def legal_reference_kinds(spark, sf):
     pages = _made(spark, sf, "part", "cast(p_partkey as bigint)", ("'See ' || " + _CITE + " || ' there.'").replace("varchar", "string"))
-    f = spans.detect(pages, ["references"])
-    return f.select("doc_id", "start", "end", F.col("subcategory").alias("kind"), exprs.selected_by_default(F.col("field_type"), F.col("subcategory"), F.lit(False)).alias("selected"), exprs.reference_portal(F.col("subcategory"))[0].alias("url"))
+    f = spans.detect(pages, ["references"]).join(pages, ["doc_id", "page"])
+    return f.select("doc_id", "start", "end", F.col("subcategory").alias("kind"), exprs.selected_by_default(F.col("field_type"), F.col("subcategory"), F.lit(False)).alias("selected"), exprs.reference_portal(F.col("subcategory"), exprs.slice_of(F.col("text"), F.col("start"), F.col("end")))[0].alias("url"))
 
 
 @query("""
@@ -586,6 +586,136 @@ def keep_requests(spark, sf):
     return s.select("doc_id", "ord", ((F.col("field_type") == "date") & birth).alias("selected"), sugg.alias("suggestion"))
 
 
+_CHARS = "cast(l_orderkey as bigint) AS doc_id, 1 AS page, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) AS pos, cast(l_partkey % 60 as double) AS x, cast(l_suppkey % 60 as double) AS y"
+_REGION = "cast(o_orderkey as bigint) AS doc_id, 1 AS page, 'r' || cast({n} as varchar) AS region, {label} AS label, cast(o_custkey % 30 as double) AS x0, cast(0 as double) AS y0, cast(o_custkey % 30 + 10 * {n} as double) AS x1, cast(20 * {n} as double) AS y1"
+_REGIONS = [_REGION.format(n=1, label="'text'"), _REGION.format(n=2, label="'list_item'"), _REGION.format(n=4, label="'table'")]
+
+
+def _regions(spark, sf) -> DataFrame:
+    made = [_t(spark, sf, "orders").selectExpr(*_split(c)) for c in _REGIONS]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(f"""
+with c as (select {_CHARS} from lineitem), r as ({' union all '.join(f'select {c} from orders' for c in _REGIONS)}),
+h as (select c.doc_id, c.pos, r.region, row_number() over (partition by c.doc_id, c.pos order by (x1 - x0) * (y1 - y0), region) k from c join r on c.doc_id = r.doc_id and label <> 'table' and x between x0 - 1 and x1 + 1 and y between y0 - 1 and y1 + 1),
+o as (select c.doc_id, c.pos, h.region as owner from c left join h on h.doc_id = c.doc_id and h.pos = c.pos and h.k = 1),
+s as (select *, case when owner is null and lag(owner) over (partition by doc_id order by pos) is not null then 1 else 0 end step from o)
+select doc_id, pos, owner, case when owner is null then cast(sum(step) over (partition by doc_id order by pos rows unbounded preceding) as bigint) end as run from s""")
+def character_owners(spark, sf):
+    c = _t(spark, sf, "lineitem").selectExpr(*_split(_CHARS))
+    return layout.owners(c, _regions(spark, sf)).select("doc_id", "pos", "owner", "run")
+
+
+@query("""
+with p as (select doc_id, text, least(length(text), 40 + cast(doc_id % 20 as int)) n from documents where length(text) > 0),
+k as (select doc_id, text, i from p, range(0, 60) t(i) where i < n and i % 7 <> 3),
+g as (select doc_id, i, case when lag(i) over w is not null and not regexp_matches(substr(any_value(text) over w, coalesce(lag(i) over w, 0) + 2, i - coalesce(lag(i) over w, 0) - 1), '^\\s*-*\\s*$') then 1 else 0 end new from k window w as (partition by doc_id order by i)),
+s as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) isl from g)
+select doc_id as id, min(i) as start, max(i) + 1 as "end" from s group by doc_id, isl""")
+def paragraph_page_ranges(spark, sf):
+    d = _t(spark, sf, "documents").filter("length(text) > 0").selectExpr("doc_id AS id", "text AS page_text", "filter(sequence(0, least(length(text), 40 + cast(doc_id % 20 as int)) - 1), i -> i % 7 <> 3) AS offsets")
+    return layout.page_ranges(d.withColumns({"start": F.lit(0), "end": F.size("offsets")}))
+
+
+_DRUGS = "CASE WHEN c_custkey % 2 = 0 THEN 'Un traitement médicamenteux (Paris, Berne) suit.' ELSE 'Un autre traitement (Paris, Berne) suit encore.' END"
+
+
+@query("""select cast(c_custkey as bigint) as doc_id, 29 as start, case when c_custkey % 3 = 0 then 'ner/fr' else 'model' end as detector from customer where not (c_custkey % 2 = 0 and c_custkey % 3 = 0)""")
+def medication_list_anti(spark, sf):
+    c = _t(spark, sf, "customer")
+    pages = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "1 AS page", _DRUGS + " AS text")
+    s = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "1 AS page", "29 AS start", "34 AS `end`", "'address' AS field_type", "CASE WHEN c_custkey % 3 = 0 THEN 'ner/fr' ELSE 'model' END AS detector")
+    return layout.drop_medication_places(s, pages).select("doc_id", "start", "detector")
+
+
+_ILL = "CASE c_custkey % 3 WHEN 0 THEN 'Ill since 2020-01-05 with flu.' WHEN 1 THEN 'Was born 2020-01-05 and is so.' ELSE 'No date is in this quote now..' END"
+
+
+@query("""
+select cast(c_custkey as bigint) as doc_id, 0 as start, case when c_custkey % 3 = 0 and c_custkey % 4 <> 0 then 10 else 30 end as "end" from customer
+union all select cast(c_custkey as bigint), 20, 30 from customer where c_custkey % 3 = 0 and c_custkey % 4 <> 0""")
+def health_quote_trim(spark, sf):
+    c = _t(spark, sf, "customer")
+    pages = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "1 AS page", _ILL + " AS text")
+    q = pages.selectExpr("doc_id", "page", "0 AS start", "30 AS `end`")
+    kept = pages.filter("doc_id % 4 = 0").selectExpr("doc_id", "page", "12 AS start", "15 AS `end`")
+    return layout.trim_health(q, pages, kept).select("doc_id", "start", "end")
+
+
+@query(f"""with s as ({_SPANS_SQL}), b as (select doc_id, start, "end" from s where ord % 2 = 0), p as ({_PAGES_SQL}),
+q as (select s.doc_id, s.ord, i from s, range(0, 40) t(i) where ord % 2 = 1 and i >= s.start and i < s."end"),
+o as (select distinct q.doc_id, q.ord from q join p on p.doc_id = q.doc_id where not regexp_matches(substr(text, cast(i + 1 as int), 1), '^[\\s\\-]?$') and not exists (select 1 from b where b.doc_id = q.doc_id and i >= b.start and i < b."end"))
+select s.doc_id, s.ord from s where ord % 2 = 1 and not exists (select 1 from o where o.doc_id = s.doc_id and o.ord = s.ord)""")
+def covered_by_blocks(spark, sf):
+    s = _spans(spark, sf)
+    f = s.filter("ord % 2 = 1").select("doc_id", "page", "start", "end", "ord", F.concat_ws("-", "doc_id", "ord").alias("finding_id"))
+    return quality.covered(f, s.filter("ord % 2 = 0").select("doc_id", "page", "start", "end"), _order_pages(spark, sf)).select("doc_id", "ord")
+
+
+@query(f"""with s as ({_SPANS_SQL}), q as (select distinct doc_id, start, "end", field_type from s where ord % 2 = 0)
+select s.doc_id, s.ord, case when q.doc_id is null then 'keep' else 'remove' end as action from s left join q using (doc_id, start, "end", field_type) where ord % 2 = 1""")
+def decide_by_quote(spark, sf):
+    s = _spans(spark, sf)
+    q = s.filter("ord % 2 = 0").select("doc_id", "page", "start", "end", "field_type").distinct().withColumn("action", F.lit("remove"))
+    return quality.decide(s.filter("ord % 2 = 1"), q).select("doc_id", "ord", "action")
+
+
+@query(f"""with s as ({_SPANS_SQL}) select a.doc_id, a.ord as block, b.ord from s a join s b on a.doc_id = b.doc_id and b.start between a.start and a."end" - 1 where a.ord <= 2""")
+def block_candidates(spark, sf):
+    s = _spans(spark, sf)
+    b = s.filter("ord <= 2").select("doc_id", "page", F.col("ord").alias("block"), F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
+    return quality.candidates_of(b, s).select("doc_id", "block", "ord")
+
+
+@query("""select coalesce(f.k, o.k) as finding_id, case when o.k is not null then false else true end as selected from (select c_custkey k from customer where c_custkey % 2 = 0) f full outer join (select c_custkey k from customer where c_custkey % 3 = 0) o on f.k = o.k""")
+def quality_overlay(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("finding_id"))
+    return quality.overlay(c.filter("finding_id % 2 = 0").withColumn("selected", F.lit(True)), c.filter("finding_id % 3 = 0").withColumn("selected", F.lit(False)), ["selected"])
+
+
+@query("""select o_orderkey as doc_id, case when o_orderstatus = 'F' then 'not_analysed' when o_custkey % 5 = 0 then 'old_revision' when exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = 5) then 'unreadable'
+ when exists (select 1 from lineitem where l_orderkey = o_orderkey and l_partkey % 3 = 0 and l_linenumber % 2 = 1) then 'unknown_findings' else 'ok' end as gate from orders""")
+def export_gate(spark, sf):
+    o = _t(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", "o_orderstatus <> 'F' AS analysed", "1 AS revision", "CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS current")
+    l = _t(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber <> 5 AS readable", "concat(l_linenumber, '-', l_partkey) AS finding_id", "l_linenumber % 2 = 1 AS picked", "l_partkey % 3 <> 0 AS known")
+    return quality.export_gate(o, l.select("doc_id", "readable"), l.filter("picked").select("doc_id", "finding_id"), l.filter("known or not picked").select("doc_id", "finding_id").distinct())
+
+
+@query(f"""with s as ({_SPANS_SQL}), t as (select doc_id, start, "end", ord from s where ord % 2 = 1)
+select t.doc_id, t.ord, count(o.ord) as hits, coalesce(bool_or(o.start = t.start and o."end" = t."end"), false) as exact from t left join s o on o.ord % 2 = 0 and o.doc_id = t.doc_id and o.start < t."end" and o."end" > t.start group by 1, 2""")
+def target_comparison(spark, sf):
+    s = _spans(spark, sf)
+    return quality.compare_targets(s.filter("ord % 2 = 1").select("doc_id", "page", "start", "end", "ord"), _outer(s)).select("doc_id", "ord", "hits", "exact")
+
+
+@query(f"""with s as ({_SPANS_SQL}) select doc_id, count(*) filter (ord % 2 = 0) as selected, count(*) filter (ord % 2 <> 0) as kept, count(*) filter (ord < 3) as unreviewed from s group by 1""")
+def review_totals(spark, sf):
+    s = _spans(spark, sf)
+    return quality.totals(s.select("doc_id", (F.col("ord") % 2 == 0).alias("selected"), F.when(F.col("ord") < 3, "unreviewed").otherwise("done").alias("status")))
+
+
+@query("""select doc_id, case label when 'PER' then 'person_name' when 'ORG' then 'organisation_name' else 'address' end as field_type, case label when 'PER' then 'personal-private' else 'professional-secrecy' end as level
+ from (select cast(p_partkey as bigint) doc_id, case p_partkey % 4 when 0 then 'PER' when 1 then 'ORG' when 2 then 'GPE' else 'MISC' end as label from part) where label <> 'MISC'""")
+def entity_label_map(spark, sf):
+    e = _t(spark, sf, "part").selectExpr("cast(p_partkey as bigint) AS doc_id", "1 AS page", "0 AS start", "3 AS `end`", "CASE p_partkey % 4 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' WHEN 2 THEN 'GPE' ELSE 'MISC' END AS label", "1 AS ord")
+    return quality.entity_spans(e, "de").select("doc_id", "field_type", "level")
+
+
+@query(f"""with s as ({_SPANS_SQL}), w as (select * from s where contains(lower(field_type || ' ' || reason), 'name reason 2')) select doc_id, ord from w""")
+def finding_search(spark, sf):
+    s = _spans(spark, sf).withColumns({"original_text": F.lit(None).cast("string"), "excerpt_before": F.lit(None).cast("string"), "excerpt_after": F.lit(None).cast("string")})
+    return quality.searched(s, "NAME reason 2").select("doc_id", "ord")
+
+
+@query("""select c_custkey from customer where not (c_custkey % 3 = 0 and c_nationkey % 2 = 0)""")
+def cache_misses(spark, sf):
+    c = _t(spark, sf, "customer").selectExpr("c_custkey", "c_nationkey AS org", "array(c_name) AS hashes", "array('de') AS languages", "'e1' AS engine")
+    done = c.filter("c_custkey % 3 = 0 and org % 2 = 0")
+    stored = quality.uncached(done, spark.createDataFrame([], "cache_key string")).select("cache_key")
+    return quality.uncached(c, stored).select("c_custkey")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 
