@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, parts, table, written
@@ -20,9 +20,9 @@ WORDS = 5
 #: Signatures of more than so many distinct sets are common: their pairs are compared by pivots, not at once.
 COMMON = 48
 #: Signatures that a task holds before it sends them, and documents hashed at a time.
-FLUSH, SLICE = 2_000_000, 1_000
+FLUSH, SLICE = 400_000, 250
 #: Words whose hashes a worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 _U64 = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U64)
@@ -89,8 +89,12 @@ def band_of(size: int) -> int:
 
 
 def spare(band: int) -> int:
-    """Signatures that a pair shares beyond the first: so many of a document's may be common without harm."""
-    return top_of(band) // 16 if band >= 3 else 0
+    """Signatures that a pair shares beyond the first: so many of a document's may be common without harm.
+
+    As many as a band's smallest sets have partitions for, up to sizes where signatures weigh in the shuffle.
+    """
+    u = top_of(band)
+    return u // 16 if u >= 511 else 3 * u // 16 if u >= 31 else 2 if u == 15 else 0
 
 
 def tags(size: int) -> list[tuple[int, int, int]]:
@@ -101,19 +105,18 @@ def tags(size: int) -> list[tuple[int, int, int]]:
     """
     out = []
     j = band_of(size)
-    u = top_of(j)
     if j:
-        out.append((2 * j, _partitions(u), 2 * u // 7 + 1 + spare(j)))
+        out.append((2 * j, _partitions(top_of(j)), needed(j, False)))
     for low in (j, j - 1):
         if low >= 0:
             u = top_of(low)
             if 4 * size >= 3 * (u + 1) if low == j else 3 * size <= 4 * u:
-                out.append((2 * low + 1, _partitions(u), (u + 4 * u // 3) // 7 + 1 + spare(low)))
+                out.append((2 * low + 1, _partitions(u), needed(low, True)))
     return out
 
 
 def _partitions(u: int) -> int:
-    return u * 5 // 4 if u >= 511 else 2 * u if u >= 63 else 16 * u
+    return u * 5 // 4 if u >= 511 else 16 * u if u >= 31 else 64 * u
 
 
 def signatures(f: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def signatures(f: np.ndarray) -> np.ndarray:
         sums = np.add.reduceat(_mixed(f[:ends] ^ _U64(tag * 2 + 1)), starts)
         out.append(_mixed(sums + p[starts] * _ODD[0] + _U64(tag * int(_ODD[1]) % 2**64)))
         if few:
-            out.append(_mixed(np.arange(spare(tag // 2) + 1, dtype=_U64) * _ODD[2] + _U64(tag * int(_ODD[3]) % 2**64)))
+            out.append(_mixed(np.arange(need, dtype=_U64) * _ODD[2] + _U64(tag * int(_ODD[3]) % 2**64)))
     return np.concatenate(out) if out else np.zeros(0, dtype=_U64)
 
 
@@ -222,7 +225,7 @@ def _similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes kind 0 on; kind 2: (key8, other, n, m: shared signatures) of rare ones; kind 3: (key8, n, other: signature) of common ones.
+    """Passes kind 0 on; kind 2: (key8, other, n: signatures that they need, m: that they share) of rare ones; kind 3: (key8, n, other: signature) of common ones.
 
     A partition holds its share of all signatures, which the number of partitions bounds; it is worked off by bucket.
     """
@@ -258,7 +261,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b = a[near], b[near]
                     a_all.append(key[a])
                     b_all.append(key[b])
-                    n_all.append(np.minimum(size[a], size[b]))
+                    n_all.append(_required(size[a], size[b]))
         if a_all:
             a, b, n = map(np.concatenate, (a_all, b_all, n_all))
             order = np.lexsort((b, a))
@@ -276,20 +279,55 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(kind=np.full(len(name[cut]), 3), key8=key[hot][cut], n=size[hot][cut], other=name[cut])
 
 
-def _spare(n: Column) -> Column:
-    """spare(band_of(n)) as an expression."""
-    top = F.call_function("shiftleft", F.lit(4), F.greatest(F.lit(0), F.length(F.bin(n)) - 2).cast("int")) - 1
-    return F.when(top >= top_of(3), F.floor(top / 16)).otherwise(F.lit(0))
+def needed(low: int, cross: bool) -> int:
+    """Signatures of a set under a tag: k + 1 + spare(), for pairs within a band or across its upper border."""
+    u = top_of(low)
+    return ((u + 4 * u // 3) // 7 if cross else 2 * u // 7) + 1 + spare(low)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a8, b8) of sets, the links (a, b) between representatives, compared exactly.
+def _required(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of signatures that similar sets of these sizes share: they differ in (a + b) / 7 shingles at most."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    bands = np.array([[needed(j, False), needed(j, True)] for j in range(band_of(int(high.max(initial=1))) + 1)])
+    i, j = (np.maximum(0, np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) - 1) for x in (low, high))
+    return bands[i, (i != j).astype(np.int64)] - (low + high) // 7
+
+
+def _top(n: Column) -> Column:
+    """top_of(band_of(n)) as an expression."""
+    return F.call_function("shiftleft", F.lit(4).cast("bigint"), F.greatest(F.lit(0), F.length(F.bin(n)) - 2).cast("int")) - 1
+
+
+def _needed(top: Column, cross: Column) -> Column:
+    spare_ = F.when(top >= 511, F.floor(top / 16)).when(top >= 31, F.floor(top * 3 / 16)).when(top == 15, 2).otherwise(0)
+    return F.when(cross, F.floor((top + F.floor(top * 4 / 3)) / 7)).otherwise(F.floor(top * 2 / 7)) + 1 + spare_
+
+
+def _required_of(a: Column, b: Column) -> Column:
+    """_required() as an expression."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    return _needed(_top(low), _top(low) != _top(high)) - F.floor((a + b) / 7)
+
+
+def _harmless(n: Column) -> Column:
+    """So many common signatures leave a set of n shingles a rare one in common with every similar set.
 
-    Only the representatives' texts are read again; a blocked Bloom filter of at most MAX_BLOCKS words, so of bounded
-    size, keeps the other texts out before any shuffle.
+    The least over its tags, for the largest partner that a tag allows.
     """
-    names = pairs.select(F.col("a8").alias("k")).unionByName(pairs.select(F.col("b8").alias("k"))).distinct()
-    wanted = written(reps.join(names, F.col("r8") == F.col("k")).select("rep"))
+    top = _top(n)
+    below, most = (top + 1) / 2 - 1, F.floor(n * 4 / 3)
+    own = _needed(top, F.lit(False)) - F.floor((n + F.least(top, most)) / 7)
+    up = F.when(4 * n >= 3 * (top + 1), _needed(top, F.lit(True)) - F.floor((n + most) / 7))
+    down = F.when((top > 3) & (3 * n <= 4 * below), _needed(below, F.lit(True)) - F.floor((n + below) / 7))
+    return F.least(F.when(top > 3, own), up, down, F.lit(1 << 30)) - 1
+
+
+def _sets(docs: DataFrame, names: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, k, f) of the sets whose keys are in names (k): their representatives' texts, read again.
+
+    A blocked Bloom filter of at most MAX_BLOCKS words, so of bounded size, keeps the other texts out before any shuffle.
+    """
+    wanted = written(reps.join(names.distinct(), F.col("r8") == F.col("k")).select("rep"))
     blocks = min(MAX_BLOCKS, max(16, wanted.count() // 2))
     bits = wanted.groupBy(_block(F.col("rep"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("rep"))).alias("bits"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("at", _block(F.col("id"), blocks)).withColumn("mask", _mask(F.col("id")))
@@ -303,7 +341,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int.from_bytes(key_of(f)[:8], "little", signed=True) for f in fs], pa.int64()), pa.array([f.tobytes() for f in fs], pa.binary())], names=["id", "k", "f"])
 
     made = rows.mapInArrow(sets, "id bigint, k bigint, f binary")
-    made = written(made.join(wanted, F.col("id") == F.col("rep")).select("rep", "k", "f").dropDuplicates(["rep", "k"]))
+    return written(made.join(wanted, F.col("id") == F.col("rep")).select("rep", "k", "f").dropDuplicates(["rep", "k"]))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of pairs (a8, b8) of sets, the links (a, b) between representatives, compared exactly."""
+    made = _sets(docs, pairs.select(F.col("a8").alias("k")).unionByName(pairs.select(F.col("b8").alias("k"))), reps)
     left = made.select(F.col("k").alias("ka"), F.col("rep").alias("a"), F.col("f").alias("fa"))
     right = made.select(F.col("k").alias("kb"), F.col("rep").alias("b"), F.col("f").alias("fb"))
     both = pairs.join(left, F.col("a8") == F.col("ka")).select("b8", "a", "fa").join(right, F.col("b8") == F.col("kb")).select("a", "b", "fa", "fb")
@@ -322,6 +365,74 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(both.mapInArrow(compare, "a bigint, b bigint"))
 
 
+#: Sets of a block, when all sets under common signatures are compared.
+BLOCK = 1024
+
+
+def _block_links(t: pa.Table) -> pa.Table:
+    """A spanning set of the links (a, b) within one block, or between two."""
+    rep, which = t.column("rep").to_numpy(), np.array(t.column("own").to_pylist(), dtype=bool)
+    sets = [np.frombuffer(x, dtype=_U64) for x in t.column("f").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    same = h[1:] == h[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    h, doc = h[shared], doc[shared]
+    column = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else h.astype(np.int64)
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(column.max(initial=-1)) + 1, 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        m = np.zeros((len(sets), 2048), dtype=np.float32)
+        m[doc[a:b], column[a:b] - lo] = 1
+        common += m @ m.T
+    near = 4 * common >= 3 * (sizes[:, None] + sizes[None] - common)
+    if which.any() and not which.all():
+        near &= which[:, None] != which[None]
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    label = rep.copy()
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        if np.array_equal(before, label):
+            break
+    star = np.nonzero(label != rep)[0]
+    return pa.table({"a": pa.array(rep[star], pa.int64()), "b": pa.array(label[star], pa.int64())})
+
+
+def _blockwise(docs: DataFrame, marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links among the sets of marked (sig, key8, label) that share a signature, labels apart.
+
+    Signatures that share sets make clusters; a cluster's sets are dealt into blocks of about BLOCK, those of a label with
+    many sets into blocks of its own, and every two blocks meet in a task, but for two of one label. Pairs are counted
+    there as matrix products and never leave it. A task holds two blocks, however large a cluster is.
+    """
+    ends = marked.groupBy("sig").agg(F.min("key8").alias("b")).withColumnRenamed("sig", "e_sig")
+    edges = marked.join(ends, F.col("sig") == F.col("e_sig")).select(F.col("key8").alias("a"), "b").distinct()
+    cluster = components(edges).select(F.col("node"), F.col("comp"))
+    nodes = marked.groupBy("key8").agg(F.min("label").alias("label")).join(cluster, F.col("key8") == F.col("node"), "left").select("key8", "label", F.coalesce("comp", "key8").alias("cluster"))
+    nodes = written(nodes)
+    by_label = nodes.groupBy(F.col("cluster").alias("c"), F.col("label").alias("l")).agg(F.count("*").alias("n"))
+    by_cluster = by_label.groupBy("c").agg(F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n"))).alias("rest"))
+    big = by_label.filter(F.col("n") >= BLOCK // 2)
+    n = nodes.join(big, (F.col("cluster") == F.col("c")) & (F.col("label") == F.col("l")), "left").drop("c", "l").join(by_cluster, F.col("cluster") == F.col("c"))
+    own = F.when(F.col("n").isNotNull(), F.col("label")).otherwise(-1)
+    share = F.pmod(F.xxhash64("key8"), F.ceil(F.coalesce("n", F.col("rest")) / BLOCK))
+    n = written(n.select("key8", "cluster", F.struct(own.alias("own"), share.alias("part")).alias("blk")))
+    listed = n.groupBy(F.col("cluster").alias("c")).agg(F.array_sort(F.collect_set("blk")).alias("all"))
+    meets = F.filter("all", lambda o: (o["own"] != F.col("blk.own")) | (o["own"] == -1))
+    sent = n.join(listed, F.col("cluster") == F.col("c")).select("key8", "cluster", "blk", F.explode(meets).alias("o"))
+    sent = sent.select("key8", "cluster", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), (F.col("blk") <= F.col("o")).alias("own"))
+    made = _sets(docs, nodes.select(F.col("key8").alias("k")), reps)
+    got = sent.join(made, F.col("key8") == F.col("k")).select("cluster", "x", "y", "own", "rep", "f")
+    return written(got.groupBy("cluster", "x", "y").applyInArrow(_block_links, "a bigint, b bigint"))
+
+
 def join_similar(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -334,9 +445,10 @@ def join_similar(docs: DataFrame) -> DataFrame:
        ones meet. Equal sets are sent once per task and are one set where they meet.
     2. Rare signatures give pairs with the number of signatures that they share; similar pairs share one + spare() at
        least, less those of them that are common. Of common signatures, only sets with more than spare() of them remain.
-    3. Each set is compared with the partner it shares most with, or, under a common signature, with the least set there;
-       then the other pairs (of common signatures: counted likewise) whose ends aren't yet connected. Comparisons are
-       exact and on whole texts, and every pair that could link is either compared or within one component already.
+    3. Each set is compared with the partner it shares most with, and with a central one under its common signatures;
+       then the other pairs whose ends aren't yet connected: rare signatures' pairs one by one, sets under common ones
+       block by block. Comparisons are exact and on whole texts, and every pair that could link is either compared or
+       within one component already.
     """
     spark = docs.sparkSession
     n = parts(spark)
@@ -347,19 +459,27 @@ def join_similar(docs: DataFrame) -> DataFrame:
     reps = classes.select(F.col("key8").alias("r8"), "rep").filter("rep is not null")
     shared = written(met.filter("kind = 2").groupBy(F.col("key8").alias("a8"), F.col("other").alias("b8")).agg(F.sum("m").alias("m"), F.min("n").alias("n")))
     hot = met.filter("kind = 3").select("key8", "n", F.col("other").alias("sig"))
-    hot_counts = written(hot.groupBy("key8").agg(F.count("*").alias("hot"), F.min("n").alias("n")))
-    count = lambda k: hot_counts.select(F.col("key8").alias(f"h_{k}"), F.col("hot").alias(f"hot_{k}"))
+    hot = written(hot.withColumn("hot", F.count("*").over(Window.partitionBy("key8"))))
+    hot_counts = hot.groupBy("key8").agg(F.max("hot").alias("hot"), F.max("n").alias("n"))
+    hot_counts = written(hot_counts.select("key8", "hot", (F.col("hot") > _harmless(F.col("n"))).alias("held")))
+    count = lambda k: hot_counts.select(F.col("key8").alias(f"h_{k}"), F.col("hot").alias(f"hot_{k}"), F.col("held").alias(f"held_{k}"))
     rare = shared.join(count("a8"), F.col("a8") == F.col("h_a8"), "left").join(count("b8"), F.col("b8") == F.col("h_b8"), "left")
-    rare = written(rare.filter(F.col("m") > _spare(F.col("n")) - F.least(F.coalesce("hot_a8", F.lit(0)), F.coalesce("hot_b8", F.lit(0)))).select("a8", "b8", "m"))
-    # A set's tags have at least the spare signatures of the band below its own.
-    below = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
-    many = written(hot_counts.filter(F.col("hot") > _spare(below)).select(F.col("key8").alias("m8")))
-    held = written(hot.join(many, F.col("key8") == F.col("m8")).select("sig", "key8", "n"))
-    pivots = held.groupBy(F.col("sig").alias("p_sig")).agg(F.min("key8").alias("pivot"))
-    stars = held.join(pivots, F.col("sig") == F.col("p_sig")).filter("pivot <> key8").groupBy(F.col("pivot").alias("a8"), F.col("key8").alias("b8")).agg(F.count("*").alias("m"))
-    each = rare.unionByName(stars).unionByName(rare.select(F.col("b8").alias("a8"), F.col("a8").alias("b8"), "m"))
-    best = each.groupBy("b8").agg(F.min(F.struct((-F.col("m")).alias("o"), "a8")).alias("x")).select(F.least("x.a8", "b8").alias("a8"), F.greatest("x.a8", "b8").alias("b8")).distinct()
-    best = written(best)
+    # Two held sets meet under their common signatures, if they share any; without, they need rare ones alone.
+    held = F.coalesce(F.col("held_a8") & F.col("held_b8"), F.lit(False))
+    allowed = F.when(held, 0).otherwise(F.least(F.coalesce("hot_a8", F.lit(0)), F.coalesce("hot_b8", F.lit(0))))
+    rare = written(rare.filter(F.col("m") >= F.col("n") - allowed).select("a8", "b8", "m"))
+    held = hot.filter(F.col("hot") > _harmless(F.col("n")))
+    # A text and its many edited copies share more common signatures than two copies do: each set looks to the one with
+    # the most of them, under a few of its own, picked alike by all (least hashes). Only a choice of what to compare first.
+    leaders = held.groupBy(F.col("sig").alias("l_sig")).agg(F.max(F.struct("hot", "key8"))["key8"].alias("leader"))
+    few = held.groupBy("key8").agg(*[F.min_by("sig", F.xxhash64(F.lit(i), "sig")).alias(f"s{i}") for i in range(4)])
+    picked = few.select("key8", F.col("s0").alias("sig"))
+    for i in range(1, 4):
+        picked = picked.unionByName(few.select("key8", F.col(f"s{i}").alias("sig")))
+    stars = picked.join(leaders, F.col("sig") == F.col("l_sig")).filter("leader <> key8").groupBy(F.col("leader").alias("a8"), F.col("key8").alias("b8")).agg(F.count("*").alias("m"))
+    each = rare.unionByName(rare.select(F.col("b8").alias("a8"), F.col("a8").alias("b8"), "m"))
+    top = lambda p: p.groupBy("b8").agg(F.min(F.struct((-F.col("m")).alias("o"), "a8")).alias("x")).select(F.least("x.a8", "b8").alias("a8"), F.greatest("x.a8", "b8").alias("b8"))
+    best = written(top(each).unionByName(top(stars)).distinct())
     links = _verified(docs, best, reps)
 
     comps = components(links)
@@ -367,17 +487,18 @@ def join_similar(docs: DataFrame) -> DataFrame:
     label = written(label.groupBy("r8").agg(F.min("label").alias("label")))
     on = lambda k: label.select(F.col("r8").alias(f"l_{k}"), F.col("label").alias(f"label_{k}"))
     rest = rare.select("a8", "b8").join(on("a8"), F.col("a8") == F.col("l_a8")).join(on("b8"), F.col("b8") == F.col("l_b8")).filter("label_a8 <> label_b8").select("a8", "b8")
-    marked = held.join(on("k"), F.col("key8") == F.col("l_k")).select("sig", "key8", "n", F.col("label_k").alias("label"))
+    none = F.lit(None).cast("bigint")
+    marked = held.select("key8", "sig", "n", none.alias("label")).unionByName(label.select(F.col("r8").alias("key8"), none.alias("sig"), none.alias("n"), "label"))
+    marked = marked.withColumn("label", F.max("label").over(Window.partitionBy("key8"))).filter("sig is not null")
     mixed = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(F.col("sig").alias("x_sig"))
-    marked = written(marked.join(mixed, F.col("sig") == F.col("x_sig")).select("sig", "key8", "n", "label"))
-    x, y = marked.alias("x"), marked.alias("y")
-    cond = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key8") < F.col("y.key8")) & (F.col("x.label") != F.col("y.label")) & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n"))
-    near = x.join(y, cond).groupBy(F.col("x.key8").alias("a8"), F.col("y.key8").alias("b8")).agg(F.count("*").alias("c"), F.min(F.least("x.n", "y.n")).alias("n"))
-    s = shared.select(F.col("a8").alias("s_a"), F.col("b8").alias("s_b"), "m")
-    near = near.join(s, (F.col("a8") == F.col("s_a")) & (F.col("b8") == F.col("s_b")), "left").filter(F.col("c") + F.coalesce("m", F.lit(0)) > _spare(F.col("n"))).select("a8", "b8")
-    rest = written(rest.unionByName(near).distinct().join(best.select(F.col("a8").alias("d_a"), F.col("b8").alias("d_b")), (F.col("a8") == F.col("d_a")) & (F.col("b8") == F.col("d_b")), "left_anti"))
-    if not rest.isEmpty():
-        comps = components(links.unionByName(_verified(docs, rest, reps)))
+    marked = written(marked.join(mixed, F.col("sig") == F.col("x_sig")).select("sig", "key8", "label"))
+    rest = written(rest.join(best.select(F.col("a8").alias("d_a"), F.col("b8").alias("d_b")), (F.col("a8") == F.col("d_a")) & (F.col("b8") == F.col("d_b")), "left_anti"))
+    more = [_verified(docs, rest, reps)] if not rest.isEmpty() else []
+    more += [_blockwise(docs, marked, reps)] if not marked.isEmpty() else []
+    for found in more:
+        links = links.unionByName(found)
+    if more:
+        comps = components(links)
     final = written(classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.coalesce("comp", "rep").alias("comp")))
     got = rows.select("doc_id", "n_shingles", "key").join(final, (F.col("key") == F.col("c_key")) & (F.col("n_shingles") > 0), "left")
     return got.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
