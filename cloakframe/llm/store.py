@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import parts, prefix_sums, shared_dir, table
+from .common import parts, prefix_sums, shared_dir, table, written
+from .url_filter import MAX_BLOCKS, _block, _mask
 
 #: The id after each document.
 END_ID = 2
@@ -129,8 +130,8 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Null texts have the end id only. Rows with equal ids (or null ids, which come first) follow each other, in the order
     of their Merkle roots. Other columns aren't read; no rows make an empty store.
 
-    Texts are encoded once, into a staging table; chunks are deduplicated with partial aggregates before the shuffle, so
-    that a chunk which a third of the documents share arrives once per task.
+    Texts are encoded once, into a staging table; only chunks that occur twice are shuffled, with partial aggregates
+    before, so that a chunk which a third of the documents share arrives once per task.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or vocabulary("word_bpe_49k.json")
@@ -171,9 +172,18 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     stage = f"{path}/_staging"
     docs.select(id_col, text_col).mapInArrow(run, schema).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.parquet(stage)
-    flat = staged.select(F.explode(F.arrays_zip("digests", "sizes", "bodies")).alias("c")).select("c.digests", "c.sizes", "c.bodies").filter("bodies is not null")
-    chunks = flat.groupBy(F.col("digests").alias("digest")).agg(F.min("sizes").alias("n"), F.first("bodies").alias("body"))
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Only chunks that occur twice must meet. A blocked Bloom filter of their digests, of bounded size, picks them (and a
+    # few others) out; all the rest are unique for sure and are written where they are.
+    twice = written(staged.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest"))
+    blocks = min(MAX_BLOCKS, max(16, twice.count() // 2))
+    key = F.hex("digest")
+    bits = twice.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("bits"))
+    flat = staged.select(F.explode(F.arrays_zip("digests", "sizes", "bodies")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.bodies").alias("body")).filter("body is not null")
+    flat = flat.withColumn("at", _block(key, blocks)).withColumn("mask", _mask(key))
+    listed = (F.col("at") == F.col("block")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    once = flat.join(F.broadcast(bits), listed, "left_anti").select("digest", "n", "body")
+    chunks = flat.join(F.broadcast(bits), listed, "left_semi").groupBy("digest").agg(F.min("n").alias("n"), F.first("body").alias("body"))
+    chunks.unionByName(once).write.option("compression", "zstd").parquet(f"{path}/chunks")
     # Same text, same root: rows with equal ids and roots are alike, so that either order gives the same files.
     recipes = prefix_sums(staged.select("doc_id", "n_tokens", F.col("digests").alias("chunks"), "root", F.monotonically_increasing_id().alias("u")), ["doc_id", "root", "u"], "n_tokens", "start")
     recipes = recipes.repartitionByRange(parts(spark), "doc_id", "root", "u").sortWithinPartitions("doc_id", "root", "u").drop("u")
@@ -194,42 +204,38 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _shift(crc: int, n: int) -> int:
-    """The CRC-32 register moved on by n zero bytes, by squarings of x**8 modulo the polynomial."""
-    p = _power(n)
-    return _times(crc, p)
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """Products of polynomials with one modulo the CRC-32 polynomial, all with reflected bits."""
+    out = np.zeros_like(a)
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), np.uint32(b), np.uint32(0))
+        b = b >> 1 ^ 0xEDB88320 if b & 1 else b >> 1
+    return out
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC-32 polynomial, both with reflected bits."""
-    out, m = 0, 1 << 31
-    while m:
-        if a & m:
-            out ^= b
-            if not a & (m - 1):
-                break
-        m >>= 1
-        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
-    return out
+@lru_cache(maxsize=64)
+def _square(k: int) -> int:
+    """x ** (8 * 2**k), reflected."""
+    if not k:
+        return 1 << 23
+    half = _square(k - 1)
+    return int(_times(np.array([half], dtype=np.uint32), half)[0])
 
 
-@lru_cache(maxsize=65536)
-def _power(n: int) -> int:
-    """x ** (8 n), reflected."""
-    out, base = 1 << 31, 1 << 23
-    while n:
-        if n & 1:
-            out = _times(base, out)
-        base, n = _times(base, base), n >> 1
+def shifted(crcs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """CRC-32 registers moved on by n zero bytes each: times x ** (8 n), by the bits of n."""
+    out, n = crcs.astype(np.uint32), n.astype(np.int64)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        some = np.flatnonzero(n >> k & 1)
+        out[some] = _times(out[some], _square(k))
     return out
 
 
 def crc_joined(items: list[tuple[int, int]]) -> int:
-    """CRC-32 of joined parts from their (crc, bytes)."""
-    out = 0
-    for crc, n in items:
-        out = _shift(out, n) ^ crc
-    return out
+    """CRC-32 of joined parts from their (crc, bytes): each moved on by the bytes after it."""
+    sizes = np.array([n for _, n in items], dtype=np.int64)
+    after = sizes.sum() - np.cumsum(sizes)
+    return int(np.bitwise_xor.reduce(shifted(np.array([c for c, _ in items], dtype=np.uint32), after), initial=np.uint32(0)))
 
 
 def _ids(body: bytes) -> np.ndarray:
@@ -261,12 +267,22 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, good = [], []
+            good, crc, after, begins, known = [], [], [], [], []
             for n, root, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 items = sorted(items or [], key=lambda x: x["pos"])
-                ok = all(x["good"] for x in items) and sum(x["n"] or 0 for x in items) == n and merkle([x["r_digest"] for x in items]) == root
-                good.append(ok)
-                crcs.append(crc_joined([(x["crc"], 4 * x["n"]) for x in items]) if all(x["n"] for x in items) else None)
+                sizes = [x["n"] or 0 for x in items]
+                good.append(all(x["good"] for x in items) and sum(sizes) == n and merkle([x["r_digest"] for x in items]) == root)
+                known.append(all(sizes) and bool(sizes))
+                begins.append(len(crc))
+                left = sum(sizes)
+                for x, size in zip(items, sizes):
+                    left -= size
+                    crc.append(x["crc"] or 0)
+                    after.append(4 * left)
+            # All parts of the batch move on at once; a document's CRC is what its parts add up to.
+            moved = shifted(np.array(crc, dtype=np.uint32), np.array(after, dtype=np.int64))
+            ends = [*begins[1:], len(crc)]
+            crcs = [int(np.bitwise_xor.reduce(moved[i:j])) if k else None for i, j, k in zip(begins, ends, known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     kind = next(f.dataType.simpleString() for f in recipes.schema if f.name == "doc_id")
