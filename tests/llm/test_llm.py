@@ -414,9 +414,10 @@ def test_url_filter(spark):
 # --- together
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [0, common.ONE_TASK])
+def test_components_of_a_long_path_and_a_star(spark, one_task):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 7)]
-    got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint"), one_task=one_task).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 300)) and len(got) == 499
 
 
