@@ -1,7 +1,12 @@
-"""License scan [native]: units of normalised text compared to licence templates by Dice over word bigrams."""
+"""License scan [native]: units and runs of words of normalised text compared to licence templates by Dice over word bigrams."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +37,14 @@ TEMPLATES = [
 THRESHOLD = 0.8
 
 
-def _template_bigrams(text: str) -> list[str]:
+def _template_words(text: str) -> list[str]:
     import re
 
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
+def _template_bigrams(text: str) -> list[str]:
+    words = _template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -43,7 +52,90 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _least(n: int, threshold: float) -> int:
+    """Bigrams of a template of n that any unit or run of words at the threshold shares with it."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9)
+
+
+def _gate(text: str, threshold: float) -> list[list[str]]:
+    """Sets of words of a template; a run at the threshold has a word of each: without all of a set's, too few bigrams are left."""
+    grams = [g.split() for g in _template_bigrams(text)]
+    spare = len(grams) - _least(len(grams), threshold)
+    covers = lambda ws: sum(any(w in g for w in ws) for g in grams) > spare
+    words = sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w))
+    sets = [[w] for w in words if covers([w])]
+    some: list[str] = []
+    for w in words:
+        if [w] not in sets:
+            some.append(w)
+            if covers(some):
+                sets.append(some)
+                some = []
+    return sets
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+_RUNS = "array<struct<d:double,id:string,line:int,first:int,last:int,upto:int>>"
+
+
+def _runs(clean: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """Runs of words at the threshold: d (minus the coefficient), id, line of the first word, first and last bigram, line of the last word.
+
+    A run has at most as many words as the size bound gives for the template's own words, and starts and ends with a
+    bigram of the template (any other run gains by leaving its ends off).
+    """
+    known = F.array(*[
+        F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, b)).alias("grams"), F.lit(len(b)).alias("n"), F.lit(_least(len(b), threshold)).alias("least"), F.lit(int(len(_template_words(t)) * (2 - threshold) / threshold)).alias("most"))
+        for i, t in templates if (b := _template_bigrams(t))
+    ])
+
+    def of_template(t: Column, grams: Column, lines: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(t["grams"], F.get(grams, i - 1)))
+
+        def from_start(at: Column, k: Column) -> Column:
+            first = F.get(at, k)
+            ends = F.filter(F.slice(at, k + t["least"], t["most"]), lambda last: last - first < t["most"])
+
+            def scored(last: Column) -> Column:
+                d = _let(F.slice(grams, first, last - first + 1), lambda g: F.round(2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(F.array_distinct(g)) + t["n"]), 12))
+                return F.struct((-d).alias("d"), t["id"].alias("id"), F.get(lines, first - 1).alias("line"), first.alias("first"), last.alias("last"), F.get(lines, last).alias("upto"))
+
+            return F.filter(F.transform(ends, scored), lambda h: h["d"] <= -threshold + 1e-12)
+
+        def from_all(at: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: F.get(at, k + t["least"] - 1) - F.get(at, k) < t["most"])
+            return F.flatten(F.transform(starts, lambda k: from_start(at, k)))
+
+        return _let(at, lambda at: F.when(F.size(at) >= t["least"], from_all(at)).otherwise(F.array().cast(_RUNS)))
+
+    def of_words(words: Column) -> Column:
+        def of_grams(grams: Column, lines: Column) -> Column:
+            near = F.filter(known, lambda t: F.size(F.array_intersect(grams, t["grams"])) >= t["least"])
+            return F.flatten(F.transform(near, lambda t: of_template(t, grams, lines)))
+
+        pairs = F.zip_with(F.slice(words["w"], F.lit(1), F.size(words) - 1), F.slice(words["w"], F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(F.size(words) > 1, _let(F.struct(pairs.alias("g"), words["line"].alias("l")), lambda x: of_grams(x["g"], x["l"]))).otherwise(F.array().cast(_RUNS))
+
+    worded = F.flatten(F.transform(F.split(clean, "\n"), lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    def gate(padded: Column) -> Column:
+        return reduce(or_, [reduce(and_, [reduce(or_, [F.contains(padded, F.lit(f" {w} ")) for w in some]) for some in _gate(t, threshold)]) for _, t in templates if _template_bigrams(t)], F.lit(False))
+
+    has = _let(F.concat(F.lit(" "), F.translate(clean, "\n", " "), F.lit(" ")), gate)
+    return F.when(has, _let(worded, of_words)).otherwise(F.array().cast(_RUNS))
+
+
+def _groups(runs: Column) -> Column:
+    """Number of groups of runs that overlap."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    step = lambda acc, r: F.struct((acc["n"] + F.when(r["first"] > acc["upto"], 1).otherwise(0)).alias("n"), F.greatest(acc["upto"], r["last"]).alias("upto"))
+    return F.aggregate(F.array_sort(F.transform(runs, lambda r: F.struct(r["first"], r["last"]))), start, step, lambda acc: acc["n"])
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """One row per row of docs: id_col, license, dice (rounded to 12 places), line (1-based; 0: the whole text), n_hits.
 
     Units are each line and the whole text, lower-cased, with runs of characters other than a-z and 0-9 as one blank.
@@ -52,6 +144,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     license is the best template's id, from the highest dice (ties: the smaller id, then the smaller line); n_hits
     counts the units with any hit. Null or empty texts and texts without hits: license null, dice 0, line null, 0 hits.
     Repeated rows give repeated results; ids may be null; other columns, whatever their names, are not read.
+    With windows, runs of consecutive words anywhere in the text are compared too, within lines and across them, of up to
+    (2 - t) / t times a template's words. line is then where the run starts; a group of overlapping runs counts as one
+    hit more if no unit with a hit touches it.
 
     Each row is judged on its own in the JVM: no shuffle, no Python, nothing that grows with the table is broadcast.
     Units outside the word bounds of all templates are dropped before any bigram is built.
@@ -81,12 +176,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.array_min(scored)
 
     hits = F.filter(F.transform(F.col("_grams"), best), lambda h: h["d"] <= -threshold + 1e-12)
-    got = docs.select(F.col(id_col), clean.alias("_clean")).select(id_col, grams.alias("_grams")).select(id_col, hits.alias("_hits")).select(id_col, F.array_min("_hits").alias("_top"), F.size("_hits").alias("n_hits"))
+    got = docs.select(F.col(id_col), clean.alias("_clean"))
+    if not windows:
+        got = got.select(id_col, grams.alias("_grams")).select(id_col, hits.alias("_hits")).select(id_col, F.array_min("_hits").alias("_top"), F.size("_hits").alias("n_hits"))
+    else:
+        free = F.filter("_runs", lambda r: ~F.exists("_hits", lambda h: (h["line"] == 0) | h["line"].between(r["line"], r["upto"])))
+        every = F.concat("_hits", F.transform("_runs", lambda r: F.struct(r["d"].alias("d"), r["id"].alias("id"), r["line"].alias("line"))))
+        got = got.select(id_col, grams.alias("_grams"), _runs(F.col("_clean"), templates, threshold).alias("_runs")).select(id_col, hits.alias("_hits"), "_runs")
+        got = got.select(id_col, F.array_min(every).alias("_top"), (F.size("_hits") + _groups(free)).alias("n_hits"))
     return got.select(id_col, F.col("_top.id").alias("license"), F.coalesce(-F.col("_top.d"), F.lit(0.0)).alias("dice"), F.col("_top.line").alias("line"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), windows=True)
 
 
 def _sql() -> str:

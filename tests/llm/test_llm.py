@@ -70,6 +70,54 @@ def test_licence_scan_has_no_shuffle_and_no_python(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+MIT_TEXT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def run_brute(text):
+    """(-dice, id, line) of the best run of words and the number of groups of runs that overlap, by trying all runs."""
+    words = [(w, i + 1) for i, u in enumerate((text or "").replace("\r", "\n").split("\n")) for w in re.sub(r"[^a-z0-9]+", " ", u.lower()).split()]
+    grams = [f"{a[0]} {b[0]}" for a, b in zip(words, words[1:])]
+    found = []
+    for name, t in licenses.TEMPLATES:
+        want, most = set(licenses._template_bigrams(t)), int(len(licenses._template_words(t)) * 1.5)
+        for i in range(len(grams)):
+            for j in range(i, min(len(grams), i + most)):
+                if grams[i] in want and grams[j] in want and (d := round(dice(set(grams[i : j + 1]), want), 12)) >= licenses.THRESHOLD:
+                    found.append((i, j, -d, name, words[i][1]))
+    n, upto = 0, -1
+    for i, j, *_ in sorted(found):
+        n, upto = n + (i > upto), max(upto, j)
+    return min((f[2:] for f in found), default=None), n
+
+
+def test_licences_in_runs_of_words(spark):
+    """Notices wrapped over lines or beside other prose, which are no unit of their own."""
+    t = licenses.TEMPLATES
+    prose = "Some words of prose that go on here. " * 5
+    rows = [(1, MIT_TEXT), (2, prose + "\n" + MIT_TEXT + "\n" + prose), (3, "Copyright 2020 Someone. Released under the MIT License."), (4, prose + "\nThis work is licensed under\nthe GNU General Public License, version 3. " + prose + t[9][1] + " " + prose), (5, prose), (6, None), (7, "license"), (8, "The license of the software is under the license of the license. " * 20)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows), windows=True).collect()}
+    for i, x in rows:
+        best, n = run_brute(x)
+        assert licence_brute(x)[3] == 0
+        assert (got[i].license, got[i].dice, got[i].line, got[i].n_hits) == ((best[1], -best[0], best[2], n) if best else (None, 0.0, None, 0)), i
+    assert [got[i].license for i in (1, 2, 3)] == ["MIT"] * 3 and got[2].line == 4 and got[4].n_hits == 2
+    same = [(1, "Some prose.\n" + t[4][1]), (2, t[0][1]), (3, t[9][1] + "\n" + prose + "\n" + t[9][1])]
+    assert sorted(licenses.scan_licenses(docs(spark, same), windows=True).collect()) == sorted(licenses.scan_licenses(docs(spark, same)).collect())
+    plan = licenses.scan_licenses(docs(spark, [(1, "x")]), windows=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 # --- 2 toxicity
 
 
