@@ -1,4 +1,4 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes."""
+"""Toxicity: votes of the nearest labelled examples by exact cosine of whole texts, TF-IDF weighted by the label's tie to each word."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,8 @@ from .common import table, written
 
 #: Labelled documents the model learns from at most (those with the smallest hash of the id), a fixed bound.
 EXAMPLES = 24_000
-#: Terms of the vectors at most, a fixed bound: those most tied to the label among the examples.
-TERMS = 4096
-#: A term must occur in so many toxic examples, these must be so large a part of its examples, and that part must be so
-#: unlikely at the base rate (nats: examples times the divergence of the rates), since many rare words are toxic by chance.
-LEAST_DF, LEAST_SHARE, SURPRISE = 3, 0.5, 9.0
-#: Neighbours that vote, and examples in a block of the index.
-K, BLOCK = 15, 64
+#: Neighbours that vote, and terms of the index held as a matrix: those of the most examples.
+K, FREQUENT = 15, 512
 #: Weight of the base rate beside the votes.
 PRIOR = 0.5
 
@@ -38,108 +34,123 @@ def words(text: str | None) -> list[str]:
     return _WORD(text.lower())
 
 
-class BlockMaxIndex:
-    """An inverted index over unit vectors: per term its examples and weights, and its largest weight in each block.
+class VectorIndex:
+    """An index over unit vectors: a matrix of the terms most examples have, inverted lists of the others.
 
-    search() is exact: blocks are scored in descending order of their bound (the query's weights times the blocks'
-    largest weights) until the bound can't beat the k-th best. Ties go to the smaller example number.
+    search() is exact: sums in single precision choose the k best and all within their error of them, which are then
+    summed in double precision. Ties go to the smaller example number.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n, self.blocks = len(vectors), max(1, math.ceil(len(vectors) / BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.docs = [np.array([i for i, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.docs]
-        self.top = np.zeros((n_terms, self.blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights)):
-            np.maximum.at(self.top[t], d // BLOCK, w)
-
-    def search(self, query: dict[int, float], k: int = K) -> list[tuple[float, int]]:
+    def __init__(self, vectors: Iterable[dict[int, float] | tuple[np.ndarray, np.ndarray]], n_terms: int):
+        pairs = [(np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
+        self.n, self.n_terms = len(pairs), n_terms
+        self.cuts = np.concatenate([[0], np.cumsum([len(t) for t, _ in pairs])]).astype(np.int64)
+        self.terms = np.concatenate([t for t, _ in pairs] or [np.array([], np.int32)])
+        self.weights = np.concatenate([w for _, w in pairs] or [np.array([])])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.cuts))
+        held = np.bincount(self.terms, minlength=n_terms)
+        frequent = np.argsort(-held, kind="stable")[:FREQUENT]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        at = self.column[self.terms]
+        self.matrix = np.zeros((self.n, len(frequent)), np.float32)
+        self.matrix[owner[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        rare = np.nonzero(at < 0)[0]
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.lists = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int64)
+        self.list_docs, self.list_weights = owner[rare], self.weights[rare].astype(np.float32)
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.cuts[i] : self.cuts[i + 1]], self.weights[self.cuts[i] : self.cuts[i + 1]]
+
+    def search(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int = K) -> list[tuple[float, int]]:
         """The k nearest examples with a positive cosine, (cosine, number), nearest first."""
-        terms = sorted(query)
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    score[self.docs[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            hit = np.nonzero(score > 0)[0]
-            best += [(round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in hit]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        return self.search_all([query], k)[0]
+
+    def search_all(self, queries: list, k: int = K) -> list[list[tuple[float, int]]]:
+        queries = [(np.fromiter(q, np.int32, len(q)), np.fromiter(q.values(), float, len(q))) if isinstance(q, dict) else q for q in queries]
+        dense = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        for row, (t, w) in zip(dense, queries):
+            at = self.column[t]
+            row[at[at >= 0]] = w[at >= 0]
+        sums = dense @ self.matrix.T
+        full, found = np.zeros(self.n_terms), []
+        for score, (t, w) in zip(sums, queries):
+            rare = self.column[t] < 0
+            lo, hi = self.lists[t[rare]], self.lists[t[rare] + 1]
+            size = hi - lo
+            if size.sum():
+                at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                score += np.bincount(self.list_docs[at], np.repeat(w[rare], size) * self.list_weights[at], minlength=self.n).astype(np.float32)
+            least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0
+            full[t] = w
+            best = []
+            for i in np.nonzero(score >= max(least - 1e-5, 1e-30))[0]:
+                terms, weights = self.vector(i)
+                best.append((round(float(full[terms] @ weights), 12), int(i)))
+            full[t] = 0
+            found.append(sorted((x for x in best if x[0] > 0), key=lambda x: (-x[0], x[1]))[:k])
+        return found
+
+
+#: The index's former name.
+BlockMaxIndex = VectorIndex
 
 
 class Scorer:
-    """Scores texts' term counts. Plain data, so that it can be sent to the workers: bounded by EXAMPLES and TERMS."""
-
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, dict[int, int], int]], rest: tuple[int, int]):
-        """examples: (doc_id, term counts, label) of those with any term; rest: number and toxic ones of those without."""
-        self.terms, self.idf = terms, idf
-        # Alike examples beside each other give the blocks sharp bounds.
-        vectors = sorted(((self.unit(c), i, y) for i, c, y in examples), key=lambda x: (max(x[0], key=lambda t: (x[0][t], -t)), x[1]))
-        self.ids, self.labels = [i for _, i, _ in vectors], [y for _, _, y in vectors]
-        self.index = BlockMaxIndex([v for v, _, _ in vectors], len(terms))
-        n, toxic = len(examples) + rest[0], sum(y for _, _, y in examples) + rest[1]
-        self.base = (toxic + 0.5) / (n + 1)
-        self.none = (rest[1] + self.base) / (rest[0] + 1)
-        self.steps = self._calibrate([v for v, _, _ in vectors])
-        self._kept: dict[tuple, tuple[float, list[int]]] = {}
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    def _vote(self, near: list[tuple[float, int]]) -> float:
+    """Votes on texts' term counts. Plain data, so that it can be sent to the workers: bounded by EXAMPLES' texts."""
+
+    def __init__(self, weight: np.ndarray, other: float, examples: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int]):
+        """weight: of each word; other: of words that no example has; examples: (terms, counts) of those with any word."""
+        self.weight, self.other, self.ids, self.labels = weight, other, ids, labels
+        self.examples = examples
+        self.base = (sum(labels) + 0.5) / (len(labels) + 1)
+
+    def __getstate__(self) -> dict:
+        """Counts instead of weights, and no index, which each worker builds once: a broadcast lies on every executor's disk."""
+        terms, counts = (np.concatenate([x[k] for x in self.examples] or [np.array([], np.int32)]) for k in (0, 1))
+        small = (terms, counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), np.cumsum([len(t) for t, _ in self.examples])[:-1])
+        return {k: v for k, v in self.__dict__.items() if k not in ("examples", "index")} | {"small": small}
+
+    def __setstate__(self, state: dict) -> None:
+        terms, counts, cuts = state.pop("small")
+        self.__dict__.update(state)
+        self.examples = list(zip(np.split(terms, cuts), np.split(counts, cuts))) if len(self.ids) else []
+
+    @cached_property
+    def index(self) -> VectorIndex:
+        return VectorIndex((self.unit(t, n, 0.0) for t, n in self.examples), len(self.weight))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a text; rest: the sum of squares of (1 + log count) over its words that no example has."""
+        w = (1 + np.log(counts, dtype=float)) * self.weight[terms]
+        return terms, w / math.sqrt(w @ w + rest * self.other**2 or 1.0)
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
         """The labels of the neighbours, weighted by nearness, beside the base rate."""
         weight = sum(s for s, _ in near)
         return (sum(s * self.labels[i] for s, i in near) + PRIOR * self.base) / (weight + PRIOR)
 
-    def _calibrate(self, vectors: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Isotonic steps from votes to observed rates, each example voted on by the others (pool adjacent violators)."""
-        votes = sorted((self._vote([x for x in self.index.search(v, K + 1) if x[1] != i][:K]), y) for i, (v, y) in enumerate(zip(vectors, self.labels)))
-        pools: list[list[float]] = []
-        for v, y in votes:
-            pools.append([v, y, 1])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                v2, y2, n2 = pools.pop()
-                pools[-1] = [v2, pools[-1][1] + y2, pools[-1][2] + n2]
-        if not pools:
-            return np.array([0.0, 1.0]), np.array([self.none, self.none])
-        xs = np.array([p[0] for p in pools])
-        ys = np.array([(p[1] + self.base) / (p[2] + 1) for p in pools])
-        return xs, ys
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Score from 0 to 1 and the ids of the examples that voted."""
-        if not counts:
-            return self.none, []
-        key = tuple(sorted(counts.items()))
-        if key not in self._kept:
-            near = self.index.search(self.unit(counts))
-            got = float(np.interp(self._vote(near), *self.steps)), [self.ids[i] for _, i in near[:5]]
-            if len(self._kept) > 100_000:
-                self._kept.clear()
-            self._kept[key] = got
-        return self._kept[key]
+
+def calibrate(votes: list[tuple[float, int]], base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps from (vote, label) to observed rates (pool adjacent violators)."""
+    pools: list[list[float]] = []
+    for v, y in sorted(votes):
+        pools.append([v, y, 1])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            v2, y2, n2 = pools.pop()
+            pools[-1] = [v2, pools[-1][1] + y2, pools[-1][2] + n2]
+    if not pools:
+        return np.array([0.0, 1.0]), np.array([base, base])
+    return np.array([p[0] for p in pools]), np.array([(p[1] + base) / (p[2] + 1) for p in pools])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS) -> tuple[list[str], DataFrame]:
-    """The vectors' terms, and the examples (id, text, toxic): at most n_terms and `examples`.
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> pa.Table:
+    """The examples in the order of their ids: (id, toxic, terms, counts), the words and their counts in the whole text.
 
     Examples are labelled documents that aren't held out; where there are more, those with the smallest hash of the id.
     A document with several labels is toxic if any says so.
@@ -148,69 +159,97 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms:
     known = known.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(examples)
     # At most `examples` rows, a fixed bound, so the documents needn't move.
-    got = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "text", F.col("toxic").cast("int").alias("toxic"))
+    got = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n: Counter = Counter()
-            toxic: Counter = Counter()
-            for text, y in zip(batch.column(1), batch.column(2)):
-                seen = set(words(text.as_py()))
-                n.update(seen)
-                if y.as_py():
-                    toxic.update(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], names=["term", "n", "toxic"])
-
-    terms = got.mapInArrow(count, "term string, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    counts = known.agg(F.avg(F.col("toxic").cast("double"))).first()
-    base = min(max(counts[0] or 0.0, 1e-6), 1 - 1e-6)
-    n, k = F.col("n"), F.col("toxic")
-    gain = k * F.log(k / n / base) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - base))).otherwise(0.0)
-    terms = terms.filter((k >= LEAST_DF) & (k >= LEAST_SHARE * n) & (gain >= SURPRISE))
-    return [r.term for r in terms.orderBy(F.desc("toxic"), "n", "term").limit(n_terms).collect()], got
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS) -> DataFrame:
+            rows = [Counter(words(text.as_py())) for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int32()))], names=["id", "toxic", "h", "terms", "counts"])
+
+    return got.mapInArrow(count, "id bigint, toxic int, h bigint, terms array<string>, counts array<int>").toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, calibrated), predicted, neighbours (ids of examples).
 
-    Every whole text is read once, for the counts of the model's terms; document frequencies are of all documents; each
-    vector then asks the block-max index for its K nearest examples, whose labels vote by cosine; isotonic steps learned
-    on the examples turn votes into rates. Texts without any of the terms (null and empty ones, too) score the
-    rate of such examples. Without any usable labelled document every score is 0. An empty table of documents gives no
+    Vectors have all words of the whole texts. A word weighs (1 + log count) times idf (document frequencies are of all
+    documents) times 1 + gain, the nats of evidence that the examples with it differ from the base rate; so no word is
+    left out, and words tied to the label count for more. Words that no example has are in no product and only add to a text's
+    length, as if one document had them. Each vector asks the index for its K nearest examples, whose labels vote by
+    cosine; isotonic steps learned on the examples turn votes into rates. Texts without words (null and empty ones, too)
+    score the rate of such examples. Without any usable labelled document every score is 0. An empty table of documents gives no
     rows. Labels, language, source and id are no inputs of a score. Rows with repeated or null ids are scored each;
     other columns aren't read.
 
-    The text pass and the scoring need no shuffle of texts; the model is broadcast and bounded by examples and n_terms.
+    The text pass and the scoring need no shuffle of texts; the model is broadcast and bounded by the examples' texts.
     """
     spark = docs.sparkSession
-    terms, sample = learn(docs, labels, examples, n_terms)
-    known = {w: i for i, w in enumerate(terms)}
+    sample = learn(docs, labels, examples).combine_chunks()
+    toxic, size = sample["toxic"].to_numpy(), sample["counts"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    coded = sample["terms"].combine_chunks().flatten().dictionary_encode()
+    codes, tf, vocabulary = coded.indices.to_numpy(), sample["counts"].combine_chunks().flatten().to_numpy(), coded.dictionary
+    vocabulary_b = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known
+        known = {w: i for i, w in enumerate(vocabulary_b.value.to_pylist())}
         for batch in batches:
-            rows = []
-            for text in batch.column(batch.num_columns - 1):
-                c = Counter(w for w in words(text.as_py()) if w in vocabulary)
-                rows.append([(vocabulary[w], n) for w, n in c.items()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.map_(pa.int32(), pa.int32()))], names=[*batch.schema.names[:-1], "counts"])
+            ends, terms, counts, other = [0], [], [], []
+            for text in batch.column(1):
+                rest = 0.0
+                for w, n in Counter(words(text.as_py())).items():
+                    if (i := known.get(w)) is None:
+                        rest += (1 + math.log(n)) ** 2
+                    else:
+                        terms.append(i)
+                        counts.append(n)
+                ends.append(len(terms))
+                other.append(rest)
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (terms, counts)), pa.array(other, pa.float64())], names=["doc_id", "terms", "counts", "rest"])
 
     kind = next(f.dataType.simpleString() for f in docs.schema if f.name == "doc_id")
-    counted = written(docs.select("doc_id", "text").mapInArrow(vectors, f"doc_id {kind}, counts map<int,int>"))
+    counted = written(docs.select("doc_id", "text").mapInArrow(vectors, f"doc_id {kind}, terms array<int>, counts array<int>, rest double"))
     total = counted.count()
-    df = {r.term: r.n for r in counted.select(F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = [math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))]
-    rows = sample.select("id", "toxic", "text").mapInArrow(vectors, f"id {kind}, toxic int, counts map<int,int>").collect()
-    rows.sort(key=lambda r: (r.id, sorted(r.counts.items())))
-    some = [(r.id, r.counts, r.toxic) for r in rows if r.counts]
-    rest = [r.toxic for r in rows if not r.counts]
-    model = spark.sparkContext.broadcast(Scorer(terms, idf, some, (len(rest), sum(rest)))) if rows else None
+    seen = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary))
+    df[seen["term"].to_numpy()] = seen["n"].to_numpy()
+    model, steps, none = None, None, 0.0
+    if len(toxic):
+        base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
+        n = np.bincount(codes, minlength=len(df))
+        k = np.bincount(codes, np.repeat(toxic, size), minlength=len(df))
+        gain = k * np.log(np.maximum(k, 1) / n / base) + (n - k) * np.log(np.maximum(n - k, 1) / n / (1 - base))
+        ends = np.cumsum(size)
+        some = np.nonzero(size)[0]
+        scorer = Scorer((np.log((1 + total) / (1 + df)) + 1) * (1 + np.maximum(gain, 0)), math.log((1 + total) / 2) + 1, [(codes[ends[i] - size[i] : ends[i]], tf[ends[i] - size[i] : ends[i]]) for i in some], sample["id"].to_numpy()[some].tolist(), toxic[some].tolist())
+        empty = toxic[size == 0]
+        none = float((empty.sum() + scorer.base) / (len(empty) + 1))
+        model = spark.sparkContext.broadcast(scorer)
+
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each example voted on by the others."""
+            m = model.value
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                got = [near for a in range(0, len(ids), 64) for near in m.index.search_all([m.index.vector(i) for i in ids[a : a + 64]], K + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([m.vote([x for x in near if x[1] != i][:K]) for i, near in zip(ids, got)], pa.float64()), pa.array([m.labels[i] for i in ids], pa.int64())], names=["vote", "y"])
+
+        votes = spark.range(len(some)).mapInArrow(vote, "vote double, y bigint").collect()
+        steps = calibrate([(r.vote, r.y) for r in votes], scorer.base)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.value if model else None
+        m = model.value if model else None
         for batch in batches:
-            got = [scorer.score(dict(c.as_py())) if scorer else (0.0, []) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["doc_id", "score", "neighbours"])
+            scores, ids = [0.0] * len(batch), [[]] * len(batch)
+            if m:
+                terms, counts, rest = (batch.column(c) for c in (1, 2, 3))
+                for a in range(0, len(batch), 64):
+                    part = range(a, min(a + 64, len(batch)))
+                    units = [m.unit(terms[i].values.to_numpy(), counts[i].values.to_numpy(), rest[i].as_py()) for i in part]
+                    for i, (t, _), near in zip(part, units, m.index.search_all(units)):
+                        scores[i] = float(np.interp(m.vote(near), *steps)) if len(t) or rest[i].as_py() else none
+                        ids[i] = [m.ids[j] for _, j in near[:5]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "score", "neighbours"])
 
     scored = counted.mapInArrow(score, f"doc_id {kind}, score double, neighbours array<bigint>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")

@@ -161,6 +161,22 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), lab).collect() == []
 
 
+def test_toxicity_reads_all_words(spark):
+    """A long clean text with one word that most of its few examples are toxic for isn't toxic; all other words count."""
+    rng = random.Random(11)
+    plain = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 8 == 0
+        rows.append((i, " ".join(rng.choices(plain, k=40) + ["vileword"] * toxic + ["filler"] * (i % 40 == 0 or i in (1, 3)))))
+        labels.append((i, 1, int(toxic)))
+    rows += [(1000, " ".join(rng.choices(plain, k=400) + ["filler"])), (1001, "vileword")]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert got[1001].predicted == 1 and got[1000].predicted == 0
+    clean = [got[i] for i in range(400) if i % 8]
+    assert all(r.neighbours for r in clean) and not any(r.predicted for r in clean)
+
+
 # --- 3 archives
 
 
