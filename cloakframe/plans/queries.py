@@ -618,6 +618,16 @@ def paragraph_page_ranges(spark, sf):
     return layout.page_ranges(d.withColumns({"start": F.lit(0), "end": F.size("offsets")}))
 
 
+@query(r"""
+with p as (select doc_id, text, length(text) n from documents where length(text) > 0),
+s as (select doc_id, n, 0 as start from p union all select doc_id, n, i from (select doc_id, text, n, unnest(range(4, n, 7)) i from p) where not regexp_matches(substr(text, cast(i as int), 1), '^[\s\p{Z}\x{AD}-]?$'))
+select doc_id as id, start, coalesce(lead(start) over (partition by doc_id order by start) - 1, case when n % 7 = 4 then n - 1 else n end) as "end" from s""")
+def paragraph_page_ranges_whole(spark, sf):
+    """paragraph_page_ranges over whole texts. In the SQL a gap is the one character before an offset with remainder 4."""
+    d = _t(spark, sf, "documents").filter("length(text) > 0").selectExpr("doc_id AS id", "text AS page_text", "filter(sequence(0, length(text) - 1), i -> i % 7 <> 3) AS offsets")
+    return layout.page_ranges(d.withColumns({"start": F.lit(0), "end": F.size("offsets")}))
+
+
 _DRUGS = "CASE WHEN c_custkey % 2 = 0 THEN 'Un traitement médicamenteux (Paris, Berne) suit.' ELSE 'Un autre traitement (Paris, Berne) suit encore.' END"
 
 
