@@ -288,6 +288,17 @@ def memory_upsert(spark, sf):
     return got.select("org", F.col("key").alias("k"), F.array_join("levels", ",").alias("levels"))
 
 
+@query(f"""
+with s as ({_SPANS_SQL})
+select org, k, array_to_string(list_filter(lv, lambda x, i: not list_contains(lv[1:i-1], x)), ',') as levels from
+ (select doc_id % 100 org, field_type k, list(level order by ord > 1, doc_id, ord, level) lv from s group by all)""")
+def memory_upsert_whole(spark, sf):
+    """memory_upsert with every span of an order."""
+    s = _spans(spark, sf).selectExpr("doc_id % 100 AS org", "field_type AS key", "'x' AS field_type", "'*' AS review_set", "array(level) AS levels", "struct(doc_id, ord) AS at", "ord")
+    got = review.remember(s.filter("ord = 1").drop("ord"), s.filter("ord > 1").drop("ord"))
+    return got.select("org", F.col("key").alias("k"), F.array_join("levels", ",").alias("levels"))
+
+
 _OUTER_SQL = f"select doc_id, page, start o_start, \"end\" o_end, ord o_ord from ({_SPANS_SQL}) where ord % 2 = 0"
 
 
@@ -332,6 +343,17 @@ def interval_subtraction(spark, sf):
     return spans.subtract(s.filter("ord = 1").select("doc_id", "page", "start", "end"), _outer(s)).select("doc_id", "start", "end")
 
 
+@query(f"""with s as (select distinct doc_id, start, "end" from ({_SPANS_SQL}) where ord % 2 = 1), h as (select doc_id, start, "end", generate_series p from s, generate_series(0, 30) where generate_series >= start and generate_series < "end"),
+o as ({_OUTER_SQL}), k as (select h.* from h where not exists (select 1 from o where o.doc_id = h.doc_id and p >= o_start and p < o_end)),
+g as (select *, p - row_number() over (partition by doc_id, start, "end" order by p) i from k)
+select doc_id, start as of_start, "end" as of_end, min(p) as start, max(p) + 1 as "end" from g group by doc_id, of_start, of_end, i""")
+def interval_subtraction_whole(spark, sf):
+    """interval_subtraction from every odd span, equal ones once."""
+    s = _spans(spark, sf)
+    left = s.filter("ord % 2 = 1").select("doc_id", "page", "start", "end").distinct().withColumns({"of_start": F.col("start"), "of_end": F.col("end")})
+    return spans.subtract(left, _outer(s)).select("doc_id", "of_start", "of_end", "start", "end")
+
+
 @query(f"""
 with recursive s as (select *, row_number() over (partition by doc_id order by start - "end", start, ord) r from ({_SPANS_SQL})),
 w as (select doc_id, r, [{{'a': start, 'b': "end"}}] acc from s where r = 1 union all
@@ -678,6 +700,14 @@ def block_candidates(spark, sf):
     return quality.candidates_of(b, s).select("doc_id", "block", "ord")
 
 
+@query(f"""with s as ({_SPANS_SQL}) select a.doc_id, a.ord as block, b.ord from s a join s b on a.doc_id = b.doc_id and b.start between a.start and a."end" - 1""")
+def block_candidates_whole(spark, sf):
+    """block_candidates with every span as a block."""
+    s = _spans(spark, sf)
+    b = s.select("doc_id", "page", F.col("ord").alias("block"), F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
+    return quality.candidates_of(b, s).select("doc_id", "block", "ord")
+
+
 @query("""select coalesce(f.k, o.k) as finding_id, case when o.k is not null then false else true end as selected from (select c_custkey k from customer where c_custkey % 2 = 0) f full outer join (select c_custkey k from customer where c_custkey % 3 = 0) o on f.k = o.k""")
 def quality_overlay(spark, sf):
     c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("finding_id"))
