@@ -72,6 +72,21 @@ def contact_excerpts(spark, sf):
     return f.select("doc_id", "x.start", "x.end", "original_text", "x.excerpt_before", "x.excerpt_after", "x.finding_id")
 
 
+@query(f"""
+with m as (select doc_id, text, regexp_extract_all(text, '{EMAIL_SQL}') vs, regexp_split_to_array(text, '{EMAIL_SQL}') gaps from documents),
+n as (select *, unnest(range(1, len(vs) + 1)) k from m),
+p as (select doc_id, text, vs[k] v, cast(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda x: length(x))), 0) as bigint) s from n)
+select doc_id, s as start, s + length(v) as "end", v as original_text,
+  regexp_replace(substr(text, greatest(0, s - 110) + 1, s - greatest(0, s - 110)), '\\s+', ' ', 'g') as excerpt_before,
+  regexp_replace(substr(text, s + length(v) + 1, 110), '\\s+', ' ', 'g') as excerpt_after,
+  substr(sha256(doc_id || '|1|(' || s || ', ' || (s + length(v)) || ', ''email'')'), 1, 20) as finding_id from p""")
+def contact_excerpts_whole(spark, sf):
+    """contact_excerpts with every mention of an address."""
+    pages = _pages(spark, sf)
+    found = spans.merge_duplicates(spans.detect(pages, ["contacts"]).filter("field_type = 'email'"))
+    return spans.classify(found, pages).select("doc_id", "start", "end", "original_text", "excerpt_before", "excerpt_after", "finding_id")
+
+
 @query("""
 select doc_id, substr(sha256(doc_id || '|1|(0, ' || least(20, length(text)) || ', ''other'')'), 1, 20) as finding_id,
   substr(sha256(doc_id || '|other|' || trim(regexp_replace(lower(substr(text, 1, 20)), '[\\s]+', ' ', 'g'))), 1, 12) as entity_id from documents""")
