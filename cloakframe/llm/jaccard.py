@@ -509,6 +509,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with the columns of docs."""
-    gone = written(join_similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dup_id")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_dup_id"), "left_anti")
+    """One row of each group, that with the smallest doc_id (nulls last; ties: by the text's hash), with the columns of docs.
+
+    Rows are numbered, so repeated and null ids, and equal rows, are told apart.
+    """
+    laid = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = written(join_similar(laid.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_r"), "component_id"))
+    named = groups.join(laid.select("_row", "doc_id", F.xxhash64("text").alias("_h")), F.col("_r") == F.col("_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    gone = groups.join(first.withColumnRenamed("component_id", "_c"), F.col("component_id") == F.col("_c")).filter("_r <> _first").select("_r")
+    return laid.join(written(gone), F.col("_row") == F.col("_r"), "left_anti").drop("_row")

@@ -489,3 +489,14 @@ def test_prefix_sums_of_a_hot_key(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"), F.lit(2).cast("bigint").alias("v"))
     assert all(r.s == 2 * (r.id if r.k == "hot" else r.id - 900) for r in common.prefix_sums(df, ["id"], "v", "s", within="k").collect())
     assert all(r.s == 2 * r.id for r in common.prefix_sums(df, ["id"], "v", "s").collect())
+
+
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    """Repeated ids, null ids and an id that stands for two texts."""
+    copied, single = " ".join(f"c{i}" for i in range(60)), " ".join(f"s{i}" for i in range(60))
+    rows = [(1, copied), (1, copied), (2, copied), (None, copied), (2, single), (None, "n1 n2 n3 n4 n5 n6 n7"), (None, "n1 n2 n3 n4 n5 n6 n7"), (5, None), (5, "")]
+    df = docs(spark, rows)
+    got = jaccard.jaccard_stage(spark, df, SF)
+    assert got.columns == df.columns
+    want = [(1, copied), (2, single), (None, "n1 n2 n3 n4 n5 n6 n7"), (5, None), (5, "")]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
