@@ -272,6 +272,16 @@ def exact_term_matches(spark, sf):
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+@query(r"""
+with t(t) as (values ('worthless'), ('disgusting'), ('thention')),
+e as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from documents), f as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[''-][\p{L}\p{N}_]+)*')) w from documents)
+select doc_id, t as term, 'exact' as how, count(*) as n from e join t on w = t group by all
+union all select doc_id, t, 'fuzzy', count(*) from f join t on abs(length(w) - length(t)) <= 1 and damerau_levenshtein(w, t) = 1 and regexp_full_match(w, '[\p{L}''-]+') group by all""")
+def near_term_matches(spark, sf):
+    """Words of the documents that are terms or one edit from them."""
+    return review.match_common_terms(_pages(spark, sf), ["worthless", "disgusting", "thention"]).groupBy("doc_id", "term", "how").agg(F.count("*").alias("n"))
+
+
 @query("""
 with f as (select cast(o_custkey as bigint) doc_id, cast(o_orderkey as bigint) page, 'Note on Client' || cast(o_custkey % 9 as varchar) || ' and Client' || cast(o_orderkey % 9 as varchar) || '.' t, o_custkey % 9 k, o_orderkey % 9 o from orders),
 s as (select distinct doc_id, 'Client' || cast(k as varchar) term, k from f)

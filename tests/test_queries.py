@@ -50,3 +50,10 @@ def test_every_mention_has_its_excerpt(spark, tmp_path):
     got = sorted((r.start, r.original_text, r.excerpt_before) for r in QUERIES["contact_excerpts_whole"](spark, str(tmp_path)).collect())
     assert [(a, b) for a, b, _ in got] == [(9, "a@b.ch"), (33, "a@b.ch"), (47, "c@d.ch")]
     assert got[1][2].endswith("again to ")
+
+
+def test_near_term_matches_against_brute_force(spark, tmp_path):
+    text = "Thention, thestion and thntion; htention thention's xthentionx worthles Worthless-like un-worthless worthlessly disgustin9"
+    spark.createDataFrame([(1, text), (2, "thention"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.term, r.how): r.n for r in QUERIES["near_term_matches"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "thention", "exact"): 2, (1, "thention", "fuzzy"): 3, (1, "worthless", "exact"): 2, (1, "worthless", "fuzzy"): 1, (2, "thention", "exact"): 1}
