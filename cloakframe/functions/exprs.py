@@ -15,16 +15,40 @@ def mapped(values: dict, key: Column, default: Column | None = None) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Words joined by single blanks, in lower case (full case folding differs for a few letters such as ß; see casefold)."""
+    """Words joined by single blanks, in lower case."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def blank(text: Column) -> Column:
+    """White space of any kind alone, or nothing."""
+    return text.rlike(r"(?U)\A\s*\z")
+
+
+#: Letters that full case folding writes with several, or others than the lower case has (the common ones).
+_SHARP, _FULL = "ẞßſς", ["ss", "ss", "s", "σ"]
+
+
+def casefolded(text: Column) -> Column:
+    """Lower case with the letters of _SHARP folded, so that STRASSE and Straße are equal."""
+    got = F.lower(text)
+    for a, b in zip(_SHARP, _FULL):
+        got = F.replace(got, F.lit(a), F.lit(b))
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ŉ", "ʼn"), ("µ", "μ")):
+        got = F.replace(got, F.lit(a), F.lit(b))
+    return got
+
+
+def token_key(text: Column) -> Column:
+    """Equal for mentions that differ in case and white space alone."""
+    return F.trim(F.regexp_replace(casefolded(text), r"(?U)\s+", " "))
+
+
 def finding_id(doc: Column, page: Column, start: Column, end: Column, field_type: Column) -> Column:
     return F.substring(F.sha2(F.concat(doc.cast("string"), F.lit("|"), page.cast("string"), F.lit("|("), start.cast("string"), F.lit(", "), end.cast("string"), F.lit(", '"), field_type, F.lit("')")), 256), 1, 20)
 
 
 def entity_id(doc: Column, field_type: Column, text: Column) -> Column:
-    return F.substring(F.sha2(F.concat(doc.cast("string"), F.lit("|"), field_type, F.lit("|"), collapse(text)), 256), 1, 12)
+    return F.substring(F.sha2(F.concat(doc.cast("string"), F.lit("|"), field_type, F.lit("|"), token_key(text)), 256), 1, 12)
 
 
 def excerpts(text: Column, start: Column, end: Column, width: int = 110) -> tuple[Column, Column]:
@@ -107,7 +131,9 @@ def review_signal(field_type: Column, original: Column, detector: Column, region
     approved = F.arrays_overlap(sources, F.array(*map(F.lit, fixed.APPROVED_SOURCES)))
     structural = F.coalesce(region_label.isin(fixed.STRUCTURAL_LABELS), F.lit(False))
     marker = F.trim(original).rlike(r"^(?:[A-Z]|[IVXLCDM]{1,6}|\d{1,3})[.)]?$") & structural & F.coalesce(F.trim(region_text) == F.trim(original), F.lit(False))
-    plain = F.trim(F.translate(F.lower(original), "éèêëàâäáîïíôöóûüúùçñ", "eeeeaaaaiiiooouuuucn"))
+    # Accents beside their letters (U+0300 to U+036F) go; those within are the letters of the generic words' languages.
+    bare = F.regexp_replace(F.lower(original), r"[\u0300-\u036F]+", "")
+    plain = F.regexp_replace(F.translate(bare, "éèêëàâäáãåîïíìôöóòõûüúùçñý", "eeeeaaaaaaiiiiooooouuuucny"), r"(?U)^\s+|\s+$", "")
     weak = F.contains(detector, F.lit("-fuzzy")) | plain.isin(fixed.GENERIC_WORDS) | structural
     first = field_type.isin(fixed.PRIORITY_TYPES)
     signal = F.when(approved, "approved").when(first, "priority").when(marker | weak, "weak").otherwise("candidate")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +53,14 @@ def match_terms(pages: DataFrame, terms: DataFrame, fuzzy: bool = True, on: str
     return j.mapInArrow(run, f"doc_id {kind}, page {page_kind}, term string, field_type string, start int, end int, how string")
 
 
+#: Terms of a list that goes with the plan, at most.
+MOST_TERMS = 1000
+
+
 def match_common_terms(pages: DataFrame, terms: list[str], field_type: str = "confidential_term", fuzzy: bool = True) -> DataFrame:
-    """Matches of one list of terms, bounded and sent with the plan, on every page."""
+    """Matches of one list of at most MOST_TERMS terms, sent with the plan, on every page; longer ones are for match_terms()."""
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"{len(terms)} terms: give them as a table to match_terms()")
     kind = pages.schema["doc_id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +132,47 @@ FRAGMENT_TYPES = ["person_name", "organisation_name", "date", "case_reference",
 MACHINE_SOURCES = r"^(model|quality|legal-rule|date-rule|legal-reference|legal-reference-rule|document-match|document-repeat|ner/.*)$"
 
 
-def reconcile_keeps(findings: DataFrame, kept: DataFrame) -> DataFrame:
+def reconcile_keeps(findings: DataFrame, kept: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Unselects machine-found fragments inside kept public companies and citations. findings: doc_id, page, start, end,
-    field_type, finding_id, detector, selected, protected; kept: doc_id, page, o_start, o_end, o_id (public ones only)."""
+    field_type, finding_id, detector, selected, protected; kept: doc_id, page, o_start, o_end, o_id (public ones only).
+
+    explicit: finding_ids that the check itself asks to protect, which stay as they are. inside_of is the enclosing
+    finding; suggestion, reason and detector, where findings have them, say so.
+    """
     from .spans import overlap_join
 
     machine = F.forall(F.split("detector", r" \+ "), lambda s: s.rlike(MACHINE_SOURCES))
     can = findings.filter(F.col("selected") & ~F.col("protected") & F.col("field_type").isin(FRAGMENT_TYPES) & machine)
+    if explicit is not None:
+        can = can.join(explicit.select("finding_id"), "finding_id", "left_anti")
     hit = overlap_join(can, kept, "inner", inside=True).filter("o_id <> finding_id").groupBy("finding_id").agg(F.max("o_id").alias("inside_of"))
-    return findings.join(hit, "finding_id", "left").withColumn("selected", F.col("selected") & F.col("inside_of").isNull())
-
-
-def learned(findings: DataFrame, key: str, field_type: str, kept_ids: list[str]) -> DataFrame:
-    """After a term is learned: its mentions are confirmed to go, the listed others to stay."""
-    same = (F.col("key") == key) & (F.col("field_type") == field_type)
-    keep = F.col("finding_id").isin(kept_ids)
-    return findings.withColumns({"selected": F.when(same, True).when(keep, False).otherwise(F.col("selected")), "status": F.when(same, "confirmed_remove").when(keep, "confirmed_keep").otherwise(F.col("status"))})
+    hits = F.col("inside_of").isNotNull()
+    told = {"selected": F.col("selected") & ~hits}
+    if "suggestion" in findings.columns:
+        told["suggestion"] = F.when(hits, "keep").otherwise(F.col("suggestion"))
+    if "reason" in findings.columns:
+        told["reason"] = F.when(hits, F.concat(F.lit("Inside a public text that the check keeps: "), "inside_of")).otherwise(F.col("reason"))
+    sources = F.split("detector", r" \+ ")
+    told["detector"] = F.when(hits & ~F.array_contains(sources, "quality"), F.concat("detector", F.lit(" + quality"))).otherwise(F.col("detector"))
+    return findings.join(hit, "finding_id", "left").withColumns(told)
+
+
+def learned(findings: DataFrame, taught: DataFrame, kept: DataFrame) -> DataFrame:
+    """After terms are learned: their mentions are confirmed to go, the listed others to stay. findings: doc_id, finding_id,
+    key, field_type, selected, status; taught: doc_id, key, field_type; kept: doc_id, finding_id."""
+    t = taught.select("doc_id", "key", "field_type", F.lit(True).alias("taught")).distinct()
+    k = kept.select("doc_id", "finding_id", F.lit(True).alias("kept")).distinct()
+    same, keep = F.coalesce("taught", F.lit(False)), F.coalesce("kept", F.lit(False))
+    findings = findings.join(t, ["doc_id", "key", "field_type"], "left").join(k, ["doc_id", "finding_id"], "left")
+    return findings.withColumns({"selected": F.when(same, True).when(keep, False).otherwise(F.col("selected")), "status": F.when(same, "confirmed_remove").when(keep, "confirmed_keep").otherwise(F.col("status"))}).drop("taught", "kept")
+
+
+def check_acknowledged(sent: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """The blocks sent (doc_id, id), if each was acknowledged (doc_id, id) exactly once and no other was; else the query fails."""
+    back = acknowledged.groupBy("doc_id", "id").agg(F.count("*").alias("times"))
+    j = sent.withColumn("sent", F.lit(True)).join(back, ["doc_id", "id"], "full_outer")
+    ok = F.coalesce(F.col("sent") & (F.col("times") == 1), F.lit(False))
+    return j.select("doc_id", F.when(ok, F.col("id")).otherwise(F.raise_error(F.lit("the check did not acknowledge every text block once"))).alias("id"))
 
 
 def quotes(blocks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -158,26 +189,37 @@ def quotes(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     return j.withColumn("start", F.when(~part, F.col("at"))).withColumn("end", F.col("start") + F.length("quote")).drop("at")
 
 
-def blocks(pages: DataFrame, size: int = 2500) -> DataFrame:
-    """Texts cut at the last blank within `size` characters: (doc_id, page, n, begin, block), n from 1."""
-    kind = pages.schema["doc_id"].dataType.simpleString()
+def blocks(paragraphs: DataFrame, size: int = 2500) -> DataFrame:
+    """Paragraphs (doc_id, page, begin, text[, offsets]) in pieces of at most `size` characters, each cut before the last
+    blank that it could hold (at `size` where there is none): (doc_id, page, n, id, begin, block[, offsets]).
+
+    n numbers a document's pieces in order of page and paragraph; id is P<page>B<n>; begin is where the piece starts in its
+    paragraph, and its offsets lead back to the page.
+    """
+    kind = paragraphs.schema["doc_id"].dataType.simpleString()
+    cut = re.compile(rf"(?s)(?:.{{1,{size}}}\Z|(.{{1,{size - 1}}})(?= )|.{{{size}}})")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            rows = []
-            for doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                begin, n = 0, 0
-                while begin < len(text or ""):
-                    end = min(begin + size, len(text))
-                    if end < len(text) and (blank := text.rfind(" ", begin, end)) > begin:
-                        end = blank
-                    n += 1
-                    rows.append((doc, page, n, begin, text[begin:end]))
-                    begin = end
+            rows = [(doc, page, first, m.start(), m.group()) for doc, page, first, text in zip(*(c.to_pylist() for c in b.columns)) for m in cut.finditer(text or "")]
             types = [b.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["doc_id", "page", "n", "begin", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["doc_id", "page", "first", "begin", "block"])
+
+    page = F.col("page").cast("int")
+    parts = paragraphs.select("doc_id", page, F.col("begin").cast("int").alias("first"), "text").mapInArrow(run, f"doc_id {kind}, page int, first int, begin int, block string")
+    if "offsets" in paragraphs.columns:
+        own = paragraphs.select("doc_id", page.alias("page"), F.col("begin").cast("int").alias("first"), F.col("offsets").alias("o"))
+        parts = parts.join(own, ["doc_id", "page", "first"]).withColumn("offsets", F.slice("o", F.col("begin") + 1, F.length("block"))).drop("o")
+    order = Window.partitionBy("doc_id").orderBy("page", "first", "begin")
+    n = parts.withColumn("n", F.row_number().over(order)).withColumn("id", F.concat(F.lit("P"), "page", F.lit("B"), "n"))
+    return n.select("doc_id", "page", "n", "id", "begin", "block", *(["offsets"] if "offsets" in parts.columns else []))
 
-    return pages.select("doc_id", F.col("page").cast("int"), "text").mapInArrow(run, f"doc_id {kind}, page int, n int, begin int, block string")
+
+def json_size(blocks: DataFrame) -> DataFrame:
+    """Adds size, the characters of {"id", "page", "text"} as JSON with a blank after each comma and colon, for pack()."""
+    text = F.to_json(F.struct(F.col("block").alias("t")))
+    # {"t":"..."} has 8 characters beside the escaped text; the whole has 32 beside id, page and text.
+    return blocks.withColumn("size", (F.length(text) - 8 + F.length("id") + F.length(F.col("page").cast("string")) + 32).cast("bigint"))
 
 
 def pack(items: DataFrame, budget: int = 16_000) -> DataFrame:
@@ -197,10 +239,6 @@ def pack(items: DataFrame, budget: int = 16_000) -> DataFrame:
     return g.select("doc_id", F.explode(F.aggregate("i", start, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.ord", "x.size", "x.batch")
 
 
-def json_size(doc, page, text) -> int:
-    return len(json.dumps({"id": doc, "page": page, "text": text}, ensure_ascii=False))
-
-
 def groups(findings: DataFrame, mode: str = "category") -> DataFrame:
     """Review groups with their mentions, entities, selected and unreviewed ones, by sort key."""
     g = findings.withColumn("group_key", exprs.review_group(F.col("field_type"), F.col("levels"), F.col("signal"), mode))

@@ -7,19 +7,25 @@ Spans are rows (doc_id, page, start, end, field_type, level, subcategory, detect
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..functions.detectors import REGISTRY
+from ..functions.detectors import GATES, REGISTRY
 
 SPAN = "page int, start int, end int, field_type string, level string, subcategory string, detector string, reason string, ord int"
 
 
 def detect(pages: DataFrame, names: Iterable[str] = ("contacts",), extra: dict[str, Callable] | None = None, text_col: str = "text") -> DataFrame:
-    """All spans of the named detectors, with ord their order within the page: detector by detector, left to right."""
+    """All spans of the named detectors, with ord their order within the page: detector by detector, left to right.
+
+    Texts in which no gate of the named detectors matches never leave the JVM.
+    """
+    names = list(names)
     run = [(extra or {}).get(n) or REGISTRY[n] for n in names]
     kind = pages.schema["doc_id"].dataType.simpleString()
 
@@ -35,7 +41,10 @@ def detect(pages: DataFrame, names: Iterable[str] = ("contacts",), extra: dict[s
             cols = list(zip(*rows)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.types[0]), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "page", "start", "end", "field_type", "level", "subcategory", "detector", "reason", "ord"])
 
-    return pages.select("doc_id", F.col("page").cast("int"), text_col).mapInArrow(batches, f"doc_id {kind}, {SPAN}")
+    texts = pages.select("doc_id", F.col("page").cast("int"), text_col)
+    if all(n in GATES and n not in (extra or {}) for n in names):
+        texts = texts.filter(reduce(or_, [F.col(text_col).rlike(GATES[n]) for n in names]))
+    return texts.mapInArrow(batches, f"doc_id {kind}, {SPAN}")
 
 
 def label_spans(model: DataFrame, pages: DataFrame) -> DataFrame:
@@ -85,7 +94,7 @@ def islands(spans: DataFrame) -> DataFrame:
 def number_tokens(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Adds prefix, key and token to (doc_id, field_type, original_text, ord): numbers in order of first mention per document
     and prefix, so people and companies with equal texts share one. Tokens of `known` (doc_id, prefix, key, number) stay."""
-    m = mentions.withColumn("prefix", exprs.token_prefix(F.col("field_type"))).withColumn("key", exprs.collapse(F.col("original_text")))
+    m = mentions.withColumn("prefix", exprs.token_prefix(F.col("field_type"))).withColumn("key", exprs.token_key(F.col("original_text")))
     first = m.groupBy("doc_id", "prefix", "key").agg(F.min("ord").alias("first"))
     if known is not None:
         top = known.groupBy("doc_id", "prefix").agg(F.max("number").alias("top"))
@@ -192,4 +201,4 @@ def smallest_region(findings: DataFrame, regions: DataFrame, slack: float = 2.0)
 
 def line_boxes(chars: DataFrame) -> DataFrame:
     """One rectangle per (finding_id, line) around the boxes of its characters that aren't blank."""
-    return chars.filter(F.trim("char") != "").groupBy("finding_id", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return chars.filter(~exprs.blank(F.col("char"))).groupBy("finding_id", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

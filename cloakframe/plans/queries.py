@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..operators import layout, quality, review, sharing, spans
+from ..functions.detectors import terms as term_detector
+from ..operators import analysis, layout, quality, review, sharing, spans
 from ..sources.readers import manifest, pages_of, restore, token_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,20 +59,6 @@ def detect_contacts_by_lang(spark, sf):
     return found.join(lang, "doc_id").groupBy("lang", "field_type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
-@query(f"""
-with m as (select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{EMAIL_SQL}'))) v from documents),
-p as (select doc_id, text, v, strpos(text, v) - 1 s from m)
-select doc_id, s as start, s + length(v) as "end", v as original_text,
-  regexp_replace(substr(text, greatest(0, s - 110) + 1, s - greatest(0, s - 110)), '\\s+', ' ', 'g') as excerpt_before,
-  regexp_replace(substr(text, s + length(v) + 1, 110), '\\s+', ' ', 'g') as excerpt_after,
-  substr(sha256(doc_id || '|1|(' || s || ', ' || (s + length(v)) || ', ''email'')'), 1, 20) as finding_id from p""".replace("\\\\s", "\\s"))
-def contact_excerpts(spark, sf):
-    pages = _pages(spark, sf)
-    found = spans.merge_duplicates(spans.detect(pages, ["contacts"]).filter("field_type = 'email'"))
-    f = spans.classify(found, pages).groupBy("doc_id", "original_text").agg(F.min_by(F.struct("start", "end", "excerpt_before", "excerpt_after", "finding_id"), "start").alias("x"))
-    return f.select("doc_id", "x.start", "x.end", "original_text", "x.excerpt_before", "x.excerpt_after", "x.finding_id")
-
-
 @query(f"""
 with m as (select doc_id, text, regexp_extract_all(text, '{EMAIL_SQL}') vs, regexp_split_to_array(text, '{EMAIL_SQL}') gaps from documents),
 n as (select *, unnest(range(1, len(vs) + 1)) k from m),
@@ -80,19 +67,18 @@ select doc_id, s as start, s + length(v) as "end", v as original_text,
   regexp_replace(substr(text, greatest(0, s - 110) + 1, s - greatest(0, s - 110)), '\\s+', ' ', 'g') as excerpt_before,
   regexp_replace(substr(text, s + length(v) + 1, 110), '\\s+', ' ', 'g') as excerpt_after,
   substr(sha256(doc_id || '|1|(' || s || ', ' || (s + length(v)) || ', ''email'')'), 1, 20) as finding_id from p""")
-def contact_excerpts_whole(spark, sf):
-    """contact_excerpts with every mention of an address."""
+def contact_excerpts(spark, sf):
     pages = _pages(spark, sf)
     found = spans.merge_duplicates(spans.detect(pages, ["contacts"]).filter("field_type = 'email'"))
     return spans.classify(found, pages).select("doc_id", "start", "end", "original_text", "excerpt_before", "excerpt_after", "finding_id")
 
 
 @query("""
-select doc_id, substr(sha256(doc_id || '|1|(0, ' || least(20, length(text)) || ', ''other'')'), 1, 20) as finding_id,
-  substr(sha256(doc_id || '|other|' || trim(regexp_replace(lower(substr(text, 1, 20)), '[\\s]+', ' ', 'g'))), 1, 12) as entity_id from documents""")
+select doc_id, substr(sha256(doc_id || '|1|(0, ' || length(text) || ', ''other'')'), 1, 20) as finding_id,
+  substr(sha256(doc_id || '|other|' || trim(regexp_replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ'), 'µ', 'μ'), '[\\s]+', ' ', 'g'))), 1, 12) as entity_id from documents""")
 def finding_identity(spark, sf):
-    p = _pages(spark, sf).withColumn("end", F.least(F.lit(20), F.length("text")))
-    return p.select("doc_id", exprs.finding_id(F.col("doc_id"), F.col("page"), F.lit(0), F.col("end"), F.lit("other")).alias("finding_id"), exprs.entity_id(F.col("doc_id"), F.lit("other"), F.substring("text", 1, 20)).alias("entity_id"))
+    p = _pages(spark, sf).withColumn("end", F.length("text"))
+    return p.select("doc_id", exprs.finding_id(F.col("doc_id"), F.col("page"), F.lit(0), F.col("end"), F.lit("other")).alias("finding_id"), exprs.entity_id(F.col("doc_id"), F.lit("other"), F.col("text")).alias("entity_id"))
 
 
 _TYPES = ["person_name", "organisation_name", "date", "amount"]
@@ -303,22 +289,11 @@ def memory_scope_join(spark, sf):
     return review.in_scope(docs, mem).select("c_custkey", "s_suppkey")
 
 
-@query(f"""
-with s as (select * from ({_SPANS_SQL}) where ord <= 3)
-select org, k, array_to_string(list_filter(lv, lambda x, i: not list_contains(lv[1:i-1], x)), ',') as levels from
- (select doc_id % 100 org, field_type k, list(level order by ord > 1, doc_id, ord, level) lv from s group by all)""")
-def memory_upsert(spark, sf):
-    s = _spans(spark, sf).filter("ord <= 3").selectExpr("doc_id % 100 AS org", "field_type AS key", "'x' AS field_type", "'*' AS review_set", "array(level) AS levels", "struct(doc_id, ord) AS at", "ord")
-    got = review.remember(s.filter("ord = 1").drop("ord"), s.filter("ord > 1").drop("ord"))
-    return got.select("org", F.col("key").alias("k"), F.array_join("levels", ",").alias("levels"))
-
-
 @query(f"""
 with s as ({_SPANS_SQL})
 select org, k, array_to_string(list_filter(lv, lambda x, i: not list_contains(lv[1:i-1], x)), ',') as levels from
  (select doc_id % 100 org, field_type k, list(level order by ord > 1, doc_id, ord, level) lv from s group by all)""")
-def memory_upsert_whole(spark, sf):
-    """memory_upsert with every span of an order."""
+def memory_upsert(spark, sf):
     s = _spans(spark, sf).selectExpr("doc_id % 100 AS org", "field_type AS key", "'x' AS field_type", "'*' AS review_set", "array(level) AS levels", "struct(doc_id, ord) AS at", "ord")
     got = review.remember(s.filter("ord = 1").drop("ord"), s.filter("ord > 1").drop("ord"))
     return got.select("org", F.col("key").alias("k"), F.array_join("levels", ",").alias("levels"))
@@ -359,21 +334,11 @@ def date_coverage_class(spark, sf):
     return spans.coverage(s.filter("ord % 2 = 1").select("doc_id", "page", "start", "end").distinct(), _outer(s)).groupBy("coverage").agg(F.count("*").alias("n"))
 
 
-@query(f"""with s as ({_SPANS_SQL}), l as (select * from s where ord = 1), h as (select doc_id, generate_series p from l, generate_series(0, 30) where generate_series >= start and generate_series < "end"),
-o as ({_OUTER_SQL}), k as (select h.* from h where not exists (select 1 from o where o.doc_id = h.doc_id and p >= o_start and p < o_end)),
-g as (select doc_id, p, p - row_number() over (partition by doc_id order by p) i from k)
-select doc_id, min(p) as start, max(p) + 1 as "end" from g group by doc_id, i""")
-def interval_subtraction(spark, sf):
-    s = _spans(spark, sf)
-    return spans.subtract(s.filter("ord = 1").select("doc_id", "page", "start", "end"), _outer(s)).select("doc_id", "start", "end")
-
-
 @query(f"""with s as (select distinct doc_id, start, "end" from ({_SPANS_SQL}) where ord % 2 = 1), h as (select doc_id, start, "end", generate_series p from s, generate_series(0, 30) where generate_series >= start and generate_series < "end"),
 o as ({_OUTER_SQL}), k as (select h.* from h where not exists (select 1 from o where o.doc_id = h.doc_id and p >= o_start and p < o_end)),
 g as (select *, p - row_number() over (partition by doc_id, start, "end" order by p) i from k)
 select doc_id, start as of_start, "end" as of_end, min(p) as start, max(p) + 1 as "end" from g group by doc_id, of_start, of_end, i""")
-def interval_subtraction_whole(spark, sf):
-    """interval_subtraction from every odd span, equal ones once."""
+def interval_subtraction(spark, sf):
     s = _spans(spark, sf)
     left = s.filter("ord % 2 = 1").select("doc_id", "page", "start", "end").distinct().withColumns({"of_start": F.col("start"), "of_end": F.col("end")})
     return spans.subtract(left, _outer(s)).select("doc_id", "of_start", "of_end", "start", "end")
@@ -476,7 +441,19 @@ with recursive w as (select doc_id, 1 n, text rest, case when length(text) <= 25
  select doc_id, n + 1, substr(rest, cut + 1), case when length(rest) - cut <= 2500 then length(rest) - cut else (case when strpos(reverse(substr(rest, cut + 1, 2500)), ' ') in (0, 2500) then 2500 else 2500 - strpos(reverse(substr(rest, cut + 1, 2500)), ' ') end) end from w where length(rest) > cut)
 select doc_id, n, length(substr(rest, 1, cut)) as size from w""")
 def block_split(spark, sf):
-    return review.blocks(_pages(spark, sf)).select("doc_id", "n", F.length("block").alias("size"))
+    return review.blocks(_pages(spark, sf).withColumn("begin", F.lit(0))).select("doc_id", "n", F.length("block").alias("size"))
+
+
+@query("""
+with b as (select cast(conv_id as bigint) doc_id, turn, text, row_number() over (partition by conv_id, turn order by text) r from conversations where length(text) between 1 and 2500),
+n as (select doc_id, turn, text, 'P' || turn || 'B' || row_number() over (partition by doc_id order by turn) id from b where r = 1)
+select doc_id, id, cast(length('{"id": "' || id || '", "page": ' || turn || ', "text": ' || to_json(text) || '}') as bigint) as size from n""")
+def block_sizes(spark, sf):
+    """Turns as paragraphs, numbered through the conversation, and their size as JSON."""
+    first = Window.partitionBy("conv_id", "turn").orderBy("text")
+    c = _t(spark, sf, "conversations").filter("length(text) between 1 and 2500").withColumn("r", F.row_number().over(first)).filter("r = 1")
+    p = pages_of(c, "conv_id", "text", "turn").withColumns({"doc_id": F.col("doc_id").cast("bigint"), "begin": F.lit(0)})
+    return review.json_size(review.blocks(p)).select("doc_id", "id", "size")
 
 
 _QUOTED = "'In 100% of cases, then ' || cast(o_orderkey % 10 as varchar) || '0% again 0%.'"
@@ -548,9 +525,9 @@ def policy_history(spark, sf):
     return sharing.policy_versions(e).select("seq", "sequence", "policy_version")
 
 
-@query("""select page_id, case when url like '%utm%' then 'a' else 'b' end as kind, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(string_split(url, '/')[-1], '(?i)\\.pdf$', ''), '[\\x00-\\x1f\\x7f<>:"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'document')[1:180] || '.txt' as name from pages where url is not null""")
+@query("""select page_id, case when url like '%utm%' then 'a' else 'b' end as kind, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(string_split(url, '/')[-1], '(?i)\\.pdf$', ''), '[\\x00-\\x1f\\x7f<>:"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'document')[1:180] || '.txt' as name from pages""")
 def download_names(spark, sf):
-    p = _t(spark, sf, "pages").filter("url is not null")
+    p = _t(spark, sf, "pages")
     return p.select("page_id", F.when(F.col("url").like("%utm%"), "a").otherwise("b").alias("kind"), exprs.download_name(F.col("url"), "txt").alias("name"))
 
 
@@ -584,6 +561,7 @@ def restore_findings(spark, sf):
     pages = _order_pages(spark, sf)
     s = _spans(spark, sf).join(pages.select("doc_id", F.col("text").alias("t")), "doc_id")
     s = s.withColumn("original_text", F.when(F.col("ord") % 2 == 0, exprs.slice_of(F.col("t"), F.col("start"), F.col("end"))).otherwise("?")).withColumn("levels", F.array("level"))
+    s = s.filter((F.col("ord") % 2 == 0) & (F.col("end") <= F.length("t")))  # what doesn't match would fail the query
     back = restore(s.select("doc_id", "page", "start", "end", "field_type", "original_text", "levels", "ord"), pages)
     return back.join(s.filter("ord % 2 = 0").select("doc_id", "start", "end", "field_type", "level", "ord").distinct(), ["doc_id", "start", "end", "field_type", "level"]).select("doc_id", "ord", "level", "finding_id").distinct()
 
@@ -625,10 +603,10 @@ def private_keys(spark, sf):
     return k.select("doc_id", F.size("keys").cast("bigint").alias("keys"), F.array_join(F.transform(F.array_sort(F.map_entries("keys")), lambda e: F.concat(e["key"], e["value"])), ";").alias("listed"))
 
 
-@query(f"""with s as ({_SPANS_SQL}) select doc_id, ord, field_type in ('date') and ord % 2 = 0 as selected, case when field_type = 'date' then case when ord % 2 = 0 then 'remove' else 'keep' end when field_type = 'amount' then 'keep' else 'review' end as suggestion from s where field_type in ('date', 'amount')""")
+@query(f"""with s as ({_SPANS_SQL}) select doc_id, ord, field_type in ('date') and ord % 2 = 0 as selected, case when field_type = 'date' then case when ord % 2 = 0 then 'remove' else 'keep' end when field_type = 'amount' then 'keep' else 'review' end as suggestion from s""")
 def keep_requests(spark, sf):
     birth = F.col("ord") % 2 == 0
-    s = _spans(spark, sf).filter("field_type in ('date', 'amount')")
+    s = _spans(spark, sf)
     sugg = exprs.suggestion(F.col("field_type"), birth, F.lit("Translator"), F.lit("Please keep dates and amounts"), F.array().cast("array<string>"))
     return s.select("doc_id", "ord", ((F.col("field_type") == "date") & birth).alias("selected"), sugg.alias("suggestion"))
 
@@ -654,23 +632,12 @@ def character_owners(spark, sf):
     return layout.owners(c, _regions(spark, sf)).select("doc_id", "pos", "owner", "run")
 
 
-@query("""
-with p as (select doc_id, text, least(length(text), 40 + cast(doc_id % 20 as int)) n from documents where length(text) > 0),
-k as (select doc_id, text, i from p, range(0, 60) t(i) where i < n and i % 7 <> 3),
-g as (select doc_id, i, case when lag(i) over w is not null and not regexp_matches(substr(any_value(text) over w, coalesce(lag(i) over w, 0) + 2, i - coalesce(lag(i) over w, 0) - 1), '^\\s*-*\\s*$') then 1 else 0 end new from k window w as (partition by doc_id order by i)),
-s as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) isl from g)
-select doc_id as id, min(i) as start, max(i) + 1 as "end" from s group by doc_id, isl""")
-def paragraph_page_ranges(spark, sf):
-    d = _t(spark, sf, "documents").filter("length(text) > 0").selectExpr("doc_id AS id", "text AS page_text", "filter(sequence(0, least(length(text), 40 + cast(doc_id % 20 as int)) - 1), i -> i % 7 <> 3) AS offsets")
-    return layout.page_ranges(d.withColumns({"start": F.lit(0), "end": F.size("offsets")}))
-
-
 @query(r"""
 with p as (select doc_id, text, length(text) n from documents where length(text) > 0),
 s as (select doc_id, n, 0 as start from p union all select doc_id, n, i from (select doc_id, text, n, unnest(range(4, n, 7)) i from p) where not regexp_matches(substr(text, cast(i as int), 1), '^[\s\p{Z}\x{AD}-]?$'))
 select doc_id as id, start, coalesce(lead(start) over (partition by doc_id order by start) - 1, case when n % 7 = 4 then n - 1 else n end) as "end" from s""")
-def paragraph_page_ranges_whole(spark, sf):
-    """paragraph_page_ranges over whole texts. In the SQL a gap is the one character before an offset with remainder 4."""
+def paragraph_page_ranges(spark, sf):
+    """Ranges of whole texts. In the SQL a gap is the one character before an offset with remainder 4."""
     d = _t(spark, sf, "documents").filter("length(text) > 0").selectExpr("doc_id AS id", "text AS page_text", "filter(sequence(0, length(text) - 1), i -> i % 7 <> 3) AS offsets")
     return layout.page_ranges(d.withColumns({"start": F.lit(0), "end": F.size("offsets")}))
 
@@ -686,16 +653,20 @@ def medication_list_anti(spark, sf):
     return layout.drop_medication_places(s, pages).select("doc_id", "start", "detector")
 
 
-_ILL = "CASE c_custkey % 3 WHEN 0 THEN 'Ill since 2020-01-05 with flu.' WHEN 1 THEN 'Was born 2020-01-05 and is so.' ELSE 'No date is in this quote now..' END"
+_ILL = "'Ill ' || CASE c_custkey % 3 WHEN 0 THEN 'since' WHEN 1 THEN 'born ' ELSE 'about' END || ' 2020-01-' || lpad(cast(1 + c_custkey % 28 as varchar), 2, '0') || ' with flu and more.'"
 
 
-@query("""
-select cast(c_custkey as bigint) as doc_id, 0 as start, case when c_custkey % 3 = 0 and c_custkey % 4 <> 0 then 10 else 30 end as "end" from customer
-union all select cast(c_custkey as bigint), 20, 30 from customer where c_custkey % 3 = 0 and c_custkey % 4 <> 0""")
+@query(rf"""
+with q as (select cast(c_custkey as bigint) doc_id, {_ILL} t, 15 + cast(c_custkey % 14 as int) n from customer),
+d as (select doc_id, t, n, regexp_extract(t[1:n], '\b\d{{4}}-\d\d-\d\d\b') v from q),
+h as (select *, strpos(t, v) - 1 s from d where v <> '' and not contains(t, 'born') and doc_id % 4 <> 0)
+select doc_id, 0 as start, n as "end" from d where doc_id not in (select doc_id from h) union all
+select doc_id, 0, s from h union all select doc_id, s + 10, n from h where not regexp_full_match(substr(t, s + 11, n - s - 10), '\s*')""")
 def health_quote_trim(spark, sf):
+    """Quotes of 15 to 28 characters, some of which end within the date or behind a blank."""
     c = _t(spark, sf, "customer")
-    pages = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "1 AS page", _ILL + " AS text")
-    q = pages.selectExpr("doc_id", "page", "0 AS start", "30 AS `end`")
+    pages = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "1 AS page", _ILL.replace("varchar", "string") + " AS text")
+    q = pages.selectExpr("doc_id", "page", "0 AS start", "cast(15 + doc_id % 14 as int) AS `end`")
     kept = pages.filter("doc_id % 4 = 0").selectExpr("doc_id", "page", "12 AS start", "15 AS `end`")
     return layout.trim_health(q, pages, kept).select("doc_id", "start", "end")
 
@@ -718,16 +689,8 @@ def decide_by_quote(spark, sf):
     return quality.decide(s.filter("ord % 2 = 1"), q).select("doc_id", "ord", "action")
 
 
-@query(f"""with s as ({_SPANS_SQL}) select a.doc_id, a.ord as block, b.ord from s a join s b on a.doc_id = b.doc_id and b.start between a.start and a."end" - 1 where a.ord <= 2""")
-def block_candidates(spark, sf):
-    s = _spans(spark, sf)
-    b = s.filter("ord <= 2").select("doc_id", "page", F.col("ord").alias("block"), F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
-    return quality.candidates_of(b, s).select("doc_id", "block", "ord")
-
-
 @query(f"""with s as ({_SPANS_SQL}) select a.doc_id, a.ord as block, b.ord from s a join s b on a.doc_id = b.doc_id and b.start between a.start and a."end" - 1""")
-def block_candidates_whole(spark, sf):
-    """block_candidates with every span as a block."""
+def block_candidates(spark, sf):
     s = _spans(spark, sf)
     b = s.select("doc_id", "page", F.col("ord").alias("block"), F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
     return quality.candidates_of(b, s).select("doc_id", "block", "ord")
@@ -781,6 +744,102 @@ def cache_misses(spark, sf):
     return quality.uncached(c, stored).select("c_custkey")
 
 
+_LOCAL = "'Call 0' || lpad(cast(c_custkey % 90 + 10 as varchar), 2, '0') || CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN '.' ELSE '/' END || lpad(cast(c_custkey % 1000 as varchar), 3, '1') || '-' || lpad(cast(c_nationkey as varchar), 2, '1') || ' 07' || CASE WHEN c_custkey % 5 = 0 THEN '5' ELSE '' END || ' or AHV 756.' || lpad(cast(c_custkey % 10000 as varchar), 4, '1') || CASE WHEN c_custkey % 4 = 0 THEN '.12.34' ELSE '.1234.56' END || ' now'"
+
+
+@query(rf"""
+with c as (select cast(c_custkey as bigint) doc_id, {_LOCAL} t from customer),
+m as (select doc_id, t, 'phone' field_type, regexp_extract(t, '\b0\d\d[ \t.-]\d\d\d[ \t.-]\d\d[ \t.-]\d\d\b') v from c union all select doc_id, t, 'personal_identifier', regexp_extract(t, '\b756\.\d\d\d\d\.\d\d\d\d\.\d\d\b') from c)
+select doc_id, field_type, strpos(t, v) - 1 as start, v as original_text from m where v <> ''""")
+def local_identifiers(spark, sf):
+    """Local telephone and social insurance numbers, beside some that only look like them."""
+    pages = _made(spark, sf, "customer", "cast(c_custkey as bigint)", _LOCAL.replace("varchar", "string"))
+    found = spans.detect(pages, ["contacts"]).join(pages.select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", "field_type", "start", exprs.slice_of(F.col("text"), F.col("start"), F.col("end")).alias("original_text"))
+
+
+@query(r"""
+select doc_id, t as term, count(*) as n, sum(length(t)) as chars from (select doc_id, t, unnest(regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}_])' || t || '(?:$|[^\p{L}\p{N}_])')) v
+  from documents, (values ('idiot'), ('queeau'), ('worthless')) w(t)) group by all""")
+def user_terms(spark, sf):
+    """The user's own terms as a detector of the composed detection."""
+    pages = _pages(spark, sf)
+    found = spans.detect(pages, ["terms"], {"terms": term_detector(["idiot", "queeau", "worthless"], fuzzy=False)}).join(pages.select("doc_id", "text"), "doc_id")
+    return found.groupBy("doc_id", F.lower(exprs.slice_of(F.col("text"), F.col("start"), F.col("end"))).alias("term")).agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+@query(f"""with s as ({_SPANS_SQL}), l as (select doc_id, ord, field_type, detector, ord % 3 = 0 decided, case ord % 4 when 0 then [] when 1 then [level] when 2 then [level, 'public'] else [level, 'odd'] end lv from s)
+select doc_id, ord, ord % 4 = 1 as valid, case when field_type = 'organisation_name' then 'professional-secrecy' else 'personal-private' end as quoted,
+ decided or ord % 5 = 0 or ord % 7 = 0 as protected from l""")
+def level_rules(spark, sf):
+    """Which lists of levels are valid, the level of a quote's kind, and whom a person has protected."""
+    s = _spans(spark, sf)
+    o = F.col("ord")
+    lv = F.when(o % 4 == 0, F.array().cast("array<string>")).when(o % 4 == 1, F.array("level")).when(o % 4 == 2, F.array("level", F.lit("public"))).otherwise(F.array("level", F.lit("odd")))
+    held = review.human_protected(F.when(o % 3 == 0, "confirmed_keep").otherwise("unreviewed"), F.when(o % 5 == 0, "approved").otherwise("candidate"), F.when(o % 7 == 0, F.concat("detector", F.lit(" + user-term"))).otherwise(F.concat("detector", F.lit(" + user-term-fuzzy"))))
+    return s.select("doc_id", "ord", quality.valid_levels(lv).alias("valid"), quality.quote_levels(F.col("field_type"))[0].alias("quoted"), held.alias("protected"))
+
+
+@query("""select c_custkey, case when c_custkey % 4 = 0 then 'own' when c_custkey % 3 = 0 or c_custkey % 5 = 0 then 'personal-private,professional-secrecy' else 'public' end as levels,
+ array_to_string(list_sort(list_filter([c_name, c_mktsegment, 'x'], lambda v: v <> case when c_custkey % 2 = 0 then 'x' else c_name end)), ',') as hidden from customer""")
+def sharing_values(spark, sf):
+    """Levels of a value by its people's roles, and what a reveal leaves hidden."""
+    c = _t(spark, sf, "customer")
+    k = F.col("c_custkey")
+    roles = F.when(k % 4 != 0, F.when(k % 3 == 0, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("lawyer"))))
+    levels = sharing.value_levels(roles, k % 5 == 0, F.array(F.lit("own")))
+    hidden = sharing.selection(F.array("c_name", "c_mktsegment", F.lit("x")), F.array(F.when(k % 2 == 0, F.lit("x")).otherwise(F.col("c_name"))))
+    return c.select("c_custkey", F.array_join(levels, ",").alias("levels"), F.array_join(hidden, ",").alias("hidden"))
+
+
+@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 64")
+def newest_results(spark, sf):
+    """The newest 64 results of each key, as a store of bounded size keeps them."""
+    e = _t(spark, sf, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return quality.newest(e, 64, ["user_id"], "at").select("user_id", "event_id")
+
+
+@query(f"""with s as ({_SPANS_SQL}), c as (select doc_id, ord, case ord % 3 when 0 then 'keep' when 1 then 'remove' end action from s)
+select s.doc_id, s.ord, case when c.action is null or s.ord % 4 = 0 then s.ord % 2 = 0 else c.action <> 'keep' end as selected, case when c.action is null then 'unchanged' when s.ord % 4 = 0 then 'protected' else 'changed' end as outcome from s join c using (doc_id, ord)""")
+def model_changes(spark, sf):
+    s = _spans(spark, sf).select("doc_id", "ord", F.concat_ws("-", "doc_id", "ord").alias("finding_id"), (F.col("ord") % 2 == 0).alias("selected"), (F.col("ord") % 4 == 0).alias("protected"))
+    c = s.filter("ord % 3 < 2").select("finding_id", F.when(F.col("ord") % 3 == 0, "keep").otherwise("remove").alias("action"))
+    return review.apply_changes(s, c).select("doc_id", "ord", "selected", "outcome")
+
+
+@query(f"""with s as ({_SPANS_SQL}), t as (select distinct doc_id, field_type from s where ord = 1 and doc_id % 3 = 0)
+select s.doc_id, s.ord, case when t.doc_id is not null then true when s.ord % 4 = 0 then false else s.ord % 2 = 0 end as selected, case when t.doc_id is not null then 'confirmed_remove' when s.ord % 4 = 0 then 'confirmed_keep' else 'unreviewed' end as status
+from s left join t on s.doc_id = t.doc_id and s.field_type = t.field_type""")
+def learned_terms(spark, sf):
+    """Findings after terms are learned: mentions of the first finding's text and type go, listed others stay."""
+    s = _spans(spark, sf).select("doc_id", "ord", F.concat_ws("-", "doc_id", "ord").alias("finding_id"), F.concat("field_type", F.when(F.col("ord") % 2 == 0, " MUSTER").otherwise(" Muster")).alias("original_text"), "field_type", (F.col("ord") % 2 == 0).alias("selected"), F.lit("unreviewed").alias("status"))
+    taught = s.filter("ord = 1 and doc_id % 3 = 0").select("doc_id", F.col("original_text").alias("term"), F.col("field_type").alias("term_type"))
+    none = F.array().cast("array<string>")
+    kept = s.filter("ord % 4 = 0").groupBy("doc_id").agg(F.collect_list("finding_id").alias("kept_ids"))
+    ok = taught.withColumn("kept_ids", none).unionByName(kept.select("doc_id", F.lit("no such term").alias("term"), F.lit("none").alias("term_type"), "kept_ids")).withColumn("outcome", F.lit("ok"))
+    return analysis.apply_learning(s, ok).select("doc_id", "ord", "selected", "status")
+
+
+@query(f"""with s as ({_SPANS_SQL}), f as (select *, row_number() over (partition by doc_id, start, "end", field_type order by ord) r from s), k as (select * from f where r = 1),
+c as (select *, case when ord % 3 = 0 then 'keep' else 'review' end act, ord % 5 = 0 prot from k)
+select doc_id, count(*) filter (not prot) as changed, count(*) filter (prot) as protected, count(*) filter (case when prot then ord % 2 <> 0 else act = 'keep' end) as kept from c group by 1""")
+def quality_counts(spark, sf):
+    """A quality check's changes to every finding of an order, without public ones, and their counts."""
+    s = spans.merge_duplicates(_spans(spark, sf))
+    place = [F.col(c) for c in ("doc_id", "page", "start", "end", "field_type")]
+    f = s.withColumns({"finding_id": exprs.finding_id(*place), "selected": F.col("ord") % 2 == 0, "status": F.when(F.col("ord") % 5 == 0, "confirmed").otherwise("unreviewed"), "signal": F.lit("candidate"), "suggestion": F.lit("review"), "levels": F.array(F.lit(fixed.PRIVATE))})
+    c = f.select("doc_id", "finding_id", F.when(F.col("ord") % 3 == 0, "keep").otherwise("review").alias("action"), "field_type", "levels", F.lit("r").alias("reason"))
+    none = f.select(*place, "levels", F.lit("keep").alias("action"), "reason").limit(0)
+    return analysis.quality_edits(f, c, none)[1].select("doc_id", "changed", "protected", "kept")
+
+
+@query()
+def analysed_documents(spark, sf):
+    """The composed analysis of every whole document, counted by type and detector."""
+    found = analysis.analyse(_pages(spark, sf), terms=["worthless", "thention"])
+    return found.groupBy("field_type", "detector", "signal").agg(F.count("*").alias("n"), F.count_if("selected").alias("selected"), F.sum(F.length("original_text")).alias("chars"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 

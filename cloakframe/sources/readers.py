@@ -78,17 +78,24 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore(findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Spans of findings whose text is still at its place, one row per level, with new ids."""
-    j = findings.join(pages, ["doc_id", "page"])
+    """Spans of findings, one row per level, with new ids. Findings on unknown pages, with another text than the page has at
+    their place, or with an id that occurs twice (where they have one, as source_id) fail the query."""
+    j = findings.join(pages, ["doc_id", "page"], "left")
     ok = exprs.valid_span(F.col("text"), F.col("start"), F.col("end")) & (exprs.slice_of(F.col("text"), F.col("start"), F.col("end")) == F.col("original_text"))
-    return j.filter(ok).select("doc_id", "page", "start", "end", "field_type", F.explode("levels").alias("level"), exprs.finding_id(F.col("doc_id"), F.col("page"), F.col("start"), F.col("end"), F.col("field_type")).alias("finding_id"))
+    if "source_id" in findings.columns:
+        twice = findings.groupBy(F.col("doc_id").alias("t_doc"), F.col("source_id").alias("t_id")).agg(F.count("*").alias("t_n"))
+        j = j.join(twice, (F.col("doc_id") == F.col("t_doc")) & (F.col("source_id") == F.col("t_id")), "left")
+        ok = ok & (F.coalesce("t_n", F.lit(1)) == 1)
+    kind = F.when(F.coalesce(ok, F.lit(False)), F.col("field_type")).otherwise(F.raise_error(F.lit("a restored finding does not match the page, or its id occurs twice")))
+    j = j.withColumn("field_type", kind)
+    return j.select("doc_id", "page", "start", "end", "field_type", F.explode("levels").alias("level"), exprs.finding_id(F.col("doc_id"), F.col("page"), F.col("start"), F.col("end"), F.col("field_type")).alias("finding_id"))
 
 
 def manifest(pages: DataFrame) -> DataFrame:
     """Per document: characters, hash of the joined text, empty pages."""
     from ..operators.spans import joined_pages
 
-    empty = pages.groupBy("doc_id").agg(F.count_if(F.trim("text") == "").alias("empty_pages"))
+    empty = pages.groupBy("doc_id").agg(F.count_if(exprs.blank(F.col("text"))).alias("empty_pages"))
     return joined_pages(pages).join(empty, "doc_id").select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), "empty_pages")
 
 
