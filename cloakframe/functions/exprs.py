@@ -176,3 +176,19 @@ def equivalent_key(text: Column) -> Column:
     low = F.lower(text)
     gone = F.when(low.rlike(r"\d"), F.regexp_replace(low, r"[\p{P}\p{S}]+", " ")).otherwise(F.regexp_replace(low, r"[\p{P}\p{S}]+", ""))
     return F.trim(F.regexp_replace(gone, r"\s+", " "))
+
+
+def html_escaped(text: Column) -> Column:
+    """&, <, >, double and single quotes as entities, for texts that go into a page."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+#: Pages, and characters of a label and of a text, that a layout region may have.
+MOST_PAGES, LABEL_LENGTH, REGION_LENGTH = 40, 80, 200_000
+
+
+def valid_region(page: Column, label: Column, text: Column) -> Column:
+    """A layout region's page, label and text are within their limits."""
+    return F.coalesce(page.between(1, MOST_PAGES) & (F.length(label) <= LABEL_LENGTH) & (F.length(F.coalesce(text, F.lit(""))) <= REGION_LENGTH), F.lit(False))

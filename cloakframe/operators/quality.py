@@ -103,3 +103,43 @@ def newest(rows: DataFrame, n: int, by: list[str], at: str) -> DataFrame:
 
     order = Window.partitionBy(*by).orderBy(F.desc(at))
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def model_comparison(changes: DataFrame, expected: DataFrame) -> DataFrame:
+    """Checks that each model passes: expected (finding_id, want) is keep, protect (no change, or one that doesn't keep) or a
+    field type; changes: model, finding_id, action, field_type. Every model is held against every expectation."""
+    models = changes.agg(F.array_sort(F.collect_set("model")).alias("models"))  # one row: the models that were tried
+    every = expected.withColumn("one", F.lit(1)).join(models.withColumn("one", F.lit(1)), "one").select("finding_id", "want", F.explode("models").alias("model"))
+    j = every.join(changes, ["model", "finding_id"], "left")
+    passed = F.when(F.col("want") == "keep", F.coalesce(F.col("action") == "keep", F.lit(False))).when(F.col("want") == "protect", F.coalesce(F.col("action") != "keep", F.lit(True))).otherwise(F.coalesce(F.col("field_type") == F.col("want"), F.lit(False)))
+    return j.groupBy("model").agg(F.count_if(passed).alias("passed"), F.count("*").alias("total"))
+
+
+def reference_list(findings: DataFrame) -> DataFrame:
+    """Legal references of each document with where to look them up, what that proves, and how often each is mentioned.
+    findings: doc_id, page, field_type, original_text, subcategory."""
+    from ..functions.exprs import reference_portal
+
+    r = findings.filter("field_type = 'case_reference'").groupBy("doc_id", "original_text", "subcategory").agg(F.count("*").alias("mentions"), F.min("page").alias("first_page"))
+    url, status = reference_portal(F.col("subcategory"), F.col("original_text"))
+    return r.withColumn("url", url).withColumn("status", status)
+
+
+def bulk(findings: DataFrame, selected: bool) -> DataFrame:
+    """All findings chosen to go, or to stay, as a person's decision."""
+    return findings.withColumns({"selected": F.lit(selected), "status": F.lit("confirmed_remove" if selected else "confirmed_keep")})
+
+
+def per_category(rows: DataFrame, category: str, order: list, n: int, most: int | None = None) -> DataFrame:
+    """The first n rows of each category by the order, and of those the first `most` categories' by name (None: all)."""
+    from pyspark.sql import Window
+
+    got = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(category).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    if most is None:
+        return got
+    return got.join(rows.select(category).distinct().orderBy(category).limit(most), category, "left_semi")
+
+
+def counted(rows: DataFrame, label: str, who: str) -> DataFrame:
+    """Rows and different `who` of each label."""
+    return rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.count_distinct(who).alias("users"))

@@ -84,11 +84,23 @@ def in_scope(documents: DataFrame, memory: DataFrame) -> DataFrame:
     return documents.join(m, (F.col("org") == F.col("m_org")) & ((F.col("m_set") == F.col("review_set")) | (F.col("m_set") == "*")))
 
 
-def remember(memory: DataFrame, new: DataFrame) -> DataFrame:
-    """Upserts terms (org, key, field_type, review_set, levels, at): a known term gets the union of its levels, old ones first."""
+#: Terms that an organisation may have remembered.
+MOST_REMEMBERED = 500
+
+
+def remember(memory: DataFrame, new: DataFrame, most: int | None = None) -> DataFrame:
+    """Upserts terms (org, key, field_type, review_set, levels, at): a known term gets the union of its levels, old ones first.
+
+    most: where new terms bring an organisation beyond so many (MOST_REMEMBERED in production), the query fails.
+    """
     keys = ["org", "key", "field_type", "review_set"]
     both = memory.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
     g = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", "at", "levels"))).alias("i"))
+    if most is not None:
+        g = g.withColumn("first", F.element_at("i", 1)["o"])
+        held = g.groupBy("org").agg(F.count("*").alias("held"), F.max("first").alias("some_new"))
+        kind = F.when((F.col("held") > most) & (F.col("some_new") == 1), F.raise_error(F.lit("too many remembered terms of an organisation")).cast(g.schema["key"].dataType)).otherwise(F.col("key"))
+        g = g.join(held, "org").withColumn("key", kind)
     return g.select(*keys, F.array_distinct(F.flatten(F.transform("i", lambda x: x["levels"]))).alias("levels"), F.element_at("i", -1)["at"].alias("at"))
 
 

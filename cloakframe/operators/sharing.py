@@ -70,3 +70,50 @@ def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
     """Sliding sessions: a key's events, none `minutes` or more after the one before; they end that long after the last."""
     g = events.groupBy("user_id", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
+
+
+#: Seconds that a grant may last, and live grants at most.
+TTL, MOST_GRANTS = (1, 3600), 100
+
+
+def issue(requests: DataFrame, documents: DataFrame, findings: DataFrame, grants: DataFrame, most: int = MOST_GRANTS) -> DataFrame:
+    """The first reason against each request to share, or issued; with what stays hidden and the grants it replaces.
+
+    requests: request_id, doc_id, recipient, revision, selected_ids, reveal_ids, ttl, at; documents: doc_id, analysed,
+    current; findings: doc_id, finding_id; grants: token, g_doc, g_recipient, expires_at, revoked. Grants that have expired
+    don't count for the limit of `most`. Each request is judged against the grants as given.
+    """
+    asked = requests.select("request_id", "doc_id", F.explode(F.array_union("selected_ids", "reveal_ids")).alias("finding_id"))
+    odd = asked.join(findings.select("doc_id", "finding_id").distinct(), ["doc_id", "finding_id"], "left_anti").groupBy("request_id").agg(F.count("*").alias("odd"))
+    moments = requests.select("at").distinct()
+    live = moments.join(grants.select("expires_at"), F.col("expires_at") > F.col("at"), "left").groupBy("at").agg(F.count("expires_at").alias("live"))
+    same = requests.select("request_id", "doc_id", "recipient", "at").join(grants, (F.col("doc_id") == F.col("g_doc")) & (F.col("recipient") == F.col("g_recipient")) & ~F.col("revoked") & (F.col("expires_at") > F.col("at")))
+    replaced = same.groupBy("request_id").agg(F.array_sort(F.collect_list("token")).alias("replaced"))
+    j = requests.join(documents, "doc_id", "left").join(odd, "request_id", "left").join(live, "at", "left").join(replaced, "request_id", "left")
+    outcome = (
+        F.when(~F.col("ttl").between(*TTL), "invalid_ttl")
+        .when(~F.coalesce(F.col("analysed") & (F.col("revision") == F.col("current")), F.lit(False)), "version_changed")
+        .when(F.col("odd") > 0, "unknown_finding")
+        .when(F.col("live") >= most, "too_many_grants")
+        .otherwise("issued")
+    )
+    gone = F.when(F.col("outcome") == "issued", F.coalesce("replaced", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    j = j.withColumn("outcome", outcome)
+    return j.select("request_id", "outcome", selection(F.col("selected_ids"), F.col("reveal_ids")).alias("hidden"), gone.alias("replaced"))
+
+
+def identity(requests: DataFrame, runs: DataFrame, sessions_: DataFrame) -> DataFrame:
+    """Who asks (run_id, token, at, as_curator): the user, and the first reason against it, or allowed.
+
+    runs: run_id, run_org, run_expires; sessions_: run_id, token, user_id, user_org, session_expires. A session ends with its run.
+    """
+    j = requests.join(runs, "run_id", "left").join(sessions_, ["run_id", "token"], "left")
+    ends = F.least("session_expires", "run_expires")
+    outcome = (
+        F.when(~F.coalesce(F.col("run_expires") > F.col("at"), F.lit(False)), "no_run")
+        .when(~F.coalesce(ends > F.col("at"), F.lit(False)), "no_session")
+        .when(F.col("as_curator") & ((F.col("user_id") != "curator") | (F.col("user_org") != F.col("run_org"))), "not_curator")
+        .when(F.col("user_org") != F.col("run_org"), "other_organisation")
+        .otherwise("allowed")
+    )
+    return j.withColumn("outcome", outcome)

@@ -577,13 +577,12 @@ def review_signals(spark, sf):
 
 @query("select event_type as label, count(*) as n, count(distinct user_id) as users from events group by 1")
 def entity_counts(spark, sf):
-    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return quality.counted(_t(spark, sf, "events"), "event_type", "user_id")
 
 
 @query("select p_brand, p_partkey from (select *, row_number() over (partition by p_brand order by p_name, p_partkey) r from part) where r <= 12")
 def first_per_category(spark, sf):
-    order = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
-    return _t(spark, sf, "part").withColumn("r", F.row_number().over(order)).filter("r <= 12").select("p_brand", "p_partkey")
+    return quality.per_category(_t(spark, sf, "part"), "p_brand", ["p_name", "p_partkey"], 12).select("p_brand", "p_partkey")
 
 
 @query("""with c as (select conv_id, turn, text, case when regexp_matches(lower(text), '\\d') then trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')) else trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]+', '', 'g'), '\\s+', ' ', 'g')) end k from conversations)
@@ -840,6 +839,54 @@ def analysed_documents(spark, sf):
     return found.groupBy("field_type", "detector", "signal").agg(F.count("*").alias("n"), F.count_if("selected").alias("selected"), F.sum(F.length("original_text")).alias("chars"))
 
 
+@query("""
+with r as (select o_orderkey k, cast(o_custkey as bigint) d, case when o_orderkey % 11 = 0 then 4000 else 60 end ttl, o_orderkey % 3 rev, o_orderkey % 5 = 0 odd from orders)
+select cast(k as varchar) as request_id, case when ttl > 3600 then 'invalid_ttl' when d % 7 = 0 or rev <> 1 then 'version_changed' when odd then 'unknown_finding' else 'issued' end as outcome,
+ case when d % 4 = 0 and ttl <= 3600 and d % 7 <> 0 and rev = 1 and not odd then 't' || d else '' end as replaced from r""")
+def grant_requests(spark, sf):
+    """Requests to share against revisions, findings and live grants."""
+    r = _t(spark, sf, "orders").selectExpr("cast(o_orderkey as string) AS request_id", "cast(o_custkey as bigint) AS doc_id", "'r' AS recipient", "cast(o_orderkey % 3 as int) AS revision", "CASE WHEN o_orderkey % 5 = 0 THEN array('f', 'zz') ELSE array('f') END AS selected_ids", "array('f') AS reveal_ids", "CASE WHEN o_orderkey % 11 = 0 THEN 4000 ELSE 60 END AS ttl", "timestamp'2024-01-01' AS at")
+    c = _t(spark, sf, "customer").selectExpr("cast(c_custkey as bigint) AS doc_id", "c_custkey % 7 <> 0 AS analysed", "1 AS current")
+    live = c.filter("doc_id % 4 = 0").selectExpr("concat('t', doc_id) AS token", "doc_id AS g_doc", "'r' AS g_recipient", "timestamp'2025-01-01' AS expires_at", "false AS revoked")
+    got = sharing.issue(r, c, c.select("doc_id", F.lit("f").alias("finding_id")), live, most=1 << 40)
+    return got.select("request_id", "outcome", F.array_join("replaced", ",").alias("replaced"))
+
+
+@query("""
+select o_orderkey as k, case when o_orderkey % 6 in (0, 5) then 'no_run' when o_custkey % 3 = 0 then 'no_session' when o_custkey % 2 = 0 and (o_custkey % 5 <> 0 or o_custkey % 7 = 0) then 'not_curator' when o_custkey % 7 = 0 then 'other_organisation' else 'allowed' end as outcome from orders""")
+def curator_identity(spark, sf):
+    """Who may act as a curator, by runs and sessions that end."""
+    r = _t(spark, sf, "orders").selectExpr("o_orderkey AS k", "cast(o_orderkey % 6 as int) AS run_id", "cast(o_custkey as bigint) AS token", "timestamp'2024-01-01' AS at", "o_custkey % 2 = 0 AS as_curator")
+    runs = spark.range(5).selectExpr("cast(id as int) AS run_id", "'o' AS run_org", "CASE WHEN id = 0 THEN timestamp'2023-01-01' ELSE timestamp'2025-01-01' END AS run_expires")
+    s = _t(spark, sf, "customer").selectExpr("explode(sequence(0, 4)) AS run_id", "cast(c_custkey as bigint) AS token", "CASE WHEN c_custkey % 5 = 0 THEN 'curator' ELSE 'translator' END AS user_id", "CASE WHEN c_custkey % 7 = 0 THEN 'p' ELSE 'o' END AS user_org", "CASE WHEN c_custkey % 3 = 0 THEN timestamp'2023-01-01' ELSE timestamp'2026-01-01' END AS session_expires")
+    return sharing.identity(r, runs, s).select("k", "outcome")
+
+
+@query(f"""with s as ({_SPANS_SQL}) select doc_id, 'BGE ' || (100 + ord) || ' II ' || start as original_text, count(*) as mentions, min(ord % 2) as first_page, 'https://www.bger.ch/ext/eurospider/live/fr/php/clir/http/index.php?lang=de&type=start' as url from s where field_type = 'date' group by 1, 2""")
+def legal_reference_list(spark, sf):
+    s = _spans(spark, sf).select("doc_id", (F.col("ord") % 2).alias("page"), F.when(F.col("field_type") == "date", "case_reference").otherwise("date").alias("field_type"), F.concat(F.lit("BGE "), F.col("ord") + 100, F.lit(" II "), "start").alias("original_text"), F.lit("published_case").alias("subcategory"))
+    return quality.reference_list(s).select("doc_id", "original_text", "mentions", "first_page", "url")
+
+
+@query("""
+with m as (select unnest(['a', 'b', 'c']) model), e as (select p_partkey k, case p_partkey % 3 when 0 then 'keep' when 1 then 'protect' else 'date' end want from part),
+c as (select model, k, case when k % 2 = 0 then 'keep' else 'remove' end act, case when k % 5 = 0 then 'date' else 'amount' end ft from m, e where model <> 'c' or k % 4 = 0)
+select model, count(*) filter (case want when 'keep' then coalesce(act = 'keep', false) when 'protect' then coalesce(act <> 'keep', true) else coalesce(ft = 'date', false) end) as passed, count(*) as total
+from m cross join e left join c using (model, k) group by 1""")
+def model_comparison(spark, sf):
+    e = _t(spark, sf, "part").selectExpr("p_partkey AS finding_id", "CASE p_partkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'protect' ELSE 'date' END AS want")
+    c = e.selectExpr("explode(array('a', 'b', 'c')) AS model", "finding_id", "CASE WHEN finding_id % 2 = 0 THEN 'keep' ELSE 'remove' END AS action", "CASE WHEN finding_id % 5 = 0 THEN 'date' ELSE 'amount' END AS field_type")
+    return quality.model_comparison(c.filter("model <> 'c' or finding_id % 4 = 0"), e)
+
+
+@query("""select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')) as escaped,
+ coalesce(page_id % 50 between 1 and 40 and length(url) <= 80 and length(coalesce(html, '')) <= 200000, false) as valid from pages""")
+def escaped_pages(spark, sf):
+    """Texts escaped for a page, and which could be a layout region's."""
+    p = _t(spark, sf, "pages")
+    return p.select("page_id", F.md5(exprs.html_escaped(F.col("html"))).alias("escaped"), exprs.valid_region(F.col("page_id") % 50, F.col("url"), F.col("html")).alias("valid"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 
