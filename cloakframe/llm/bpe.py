@@ -154,8 +154,13 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents encoded, decoded and hashed; see encode()."""
     return encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null texts are empty, repeated rows and null ids give a row each, other columns aren't read; no rows give no rows.
+    """
     return encode(docs, with_ids=False)

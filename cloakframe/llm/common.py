@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,13 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _removed_at_exit(base: str) -> None:
+    """The application's own folder goes when it ends; a job that is killed leaves it behind."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests on one machine) a local one."""
+    """A new path under spark.checkpoint.dir, in a folder that is removed when the application ends.
+
+    Where that is unset, a temporary folder serves on one machine (local[...]); on a cluster, whose executors don't share
+    such folders, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cloakframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cloakframe/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/cloakframe/{spark.sparkContext.applicationId}"
+    _removed_at_exit(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def unused(name: str, *dfs: DataFrame) -> str:
+    """The name, made longer until none of the tables has such a column (in any case)."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -90,7 +115,7 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
     Up to one_task distinct links, a fixed bound, are joined in one task. Beyond it:
     alternating large-star and small-star steps; each keeps one row per link at most and shuffles by node, after partial
     minima, so that a hub's links never have to meet in one task uncombined. Links and labels stay distributed; the
-    driver sees only whether anything changed.
+    driver sees only whether anything changed. Both ways give the same rows. Should `rounds` not do, it is an error.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     if e.count() <= one_task:
@@ -108,4 +133,6 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components haven't converged in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))

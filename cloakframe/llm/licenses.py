@@ -188,6 +188,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every whole text of documents, units and runs of words; see scan_licenses()."""
     return scan_licenses(table(spark, sf_dir, "documents"), windows=True)
 
 
