@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, parts, table, written
+from .common import components, parts, table, unused, written
 from .url_filter import MAX_BLOCKS, _block, _mask
 
 #: Words of a shingle.
@@ -21,6 +21,8 @@ WORDS = 5
 COMMON = 48
 #: Signatures that a task holds before it sends them, and documents hashed at a time.
 FLUSH, SLICE = 400_000, 250
+#: Buckets of hashes, one of which a task works off at a time, at least (else one a partition): so many sets' names are sent.
+BUCKETS = 64
 #: Words whose hashes a worker keeps.
 CACHE = 1 << 17
 
@@ -158,26 +160,26 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
+def _packed(buckets: int, values: list[np.ndarray], keys: list[int], sizes: list[int]) -> Iterator[tuple[int, bytes]]:
+    """Sets' 64-bit values by range of the value, one blob a bucket: 6 bytes a value (the range is the rest), 16 a set."""
+    value, doc = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
+    key, size = np.array(keys, dtype=np.int64), np.array(sizes, dtype="<u4")
+    bucket = (((value >> _U64(32)) * _U64(buckets)) >> _U64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    value, doc, bucket = value[order], doc[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        lo, hi = cut[b], cut[b + 1]
+        used, many = np.unique(doc[lo:hi], return_counts=True)  # the sort is stable: values lie set by set
+        six = np.ascontiguousarray(value[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
+        yield b, b"".join([len(used).to_bytes(4, "little"), key[used].tobytes(), size[used].tobytes(), many.astype("<u4").tobytes(), six.tobytes()])
+
+
 def _sketch(buckets: int):
     """documents -> kind 0: (doc_id, n, key, key8); kind 1: signatures of new sets, packed by bucket of the signature."""
 
     def pack(sigs: list[np.ndarray], keys: list[int], sizes: list[int]) -> pa.RecordBatch:
-        lengths = np.array([len(s) for s in sigs])
-        sig, doc = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), lengths)
-        key, size = np.array(keys, dtype=np.int64), np.array(sizes, dtype="<u4")
-        bucket = (((sig >> _U64(32)) * _U64(buckets)) >> _U64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sig, doc, bucket = sig[order], doc[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        which, blobs = [], []
-        for b in range(buckets):
-            lo, hi = cut[b], cut[b + 1]
-            if lo < hi:
-                used, local = np.unique(doc[lo:hi], return_inverse=True)
-                six = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
-                small = len(used) < 1 << 16
-                blobs.append(b"".join([len(used).to_bytes(4, "little"), key[used].tobytes(), size[used].tobytes(), six.tobytes(), local.astype("<u2" if small else "<u4").tobytes()]))
-                which.append(b)
+        which, blobs = zip(*_packed(buckets, sigs, keys, sizes))
         return _batch(kind=[1] * len(which), bucket=which, blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +213,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     keys = np.frombuffer(blob, dtype="<i8", count=n, offset=4)
     sizes = np.frombuffer(blob, dtype="<u4", count=n, offset=4 + 8 * n)
-    at = 4 + 12 * n
-    width = 2 if n < 1 << 16 else 4
-    count = (len(blob) - at) // (6 + width)
+    many = np.frombuffer(blob, dtype="<u4", count=n, offset=4 + 12 * n)
+    count = int(many.sum())
     sig = np.zeros((count, 8), dtype=np.uint8)
-    sig[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * count, offset=at).reshape(-1, 6)
-    local = np.frombuffer(blob, dtype=f"<u{width}", count=count, offset=at + 6 * count)
-    return sig.view("<i8").ravel(), keys[local], sizes[local].astype(np.int64)
+    sig[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * count, offset=4 + 16 * n).reshape(-1, 6)
+    return sig.view("<i8").ravel(), np.repeat(keys, many), np.repeat(sizes, many).astype(np.int64)
 
 
 def _similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,40 +322,147 @@ def _harmless(n: Column) -> Column:
     return F.least(F.when(top > 3, own), up, down, F.lit(1 << 30)) - 1
 
 
-def _sets(docs: DataFrame, names: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, k, f) of the sets whose keys are in names (k): their representatives' texts, read again.
+def _read_again(docs: DataFrame, names: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, text) of the representatives of the sets whose keys are in names (k).
 
-    A blocked Bloom filter of at most MAX_BLOCKS words, so of bounded size, keeps the other texts out before any shuffle.
+    A blocked Bloom filter of at most MAX_BLOCKS words, so of bounded size, keeps the other texts out, so that no text is
+    shuffled; a few others may pass, which do no harm: sets that nobody asks for.
     """
     wanted = written(reps.join(names.distinct(), F.col("r8") == F.col("k")).select("rep"))
     blocks = min(MAX_BLOCKS, max(16, wanted.count() // 2))
     bits = wanted.groupBy(_block(F.col("rep"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("rep"))).alias("bits"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("at", _block(F.col("id"), blocks)).withColumn("mask", _mask(F.col("id")))
-    rows = rows.join(F.broadcast(bits), (F.col("at") == F.col("block")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))).select("id", "text")
+    return rows.join(F.broadcast(bits), (F.col("at") == F.col("block")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))).select("text")
+
+
+def _short(f: np.ndarray) -> int:
+    return int.from_bytes(key_of(f)[:8], "little", signed=True)
+
+
+def _six(f: np.ndarray) -> bytes:
+    """A sorted set by the upper 48 bits of its hashes."""
+    return np.ascontiguousarray(f >> _U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _whole(raw) -> np.ndarray:
+    six = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), dtype=np.uint8)
+    out[:, :6] = six
+    return out.view(_U64).ravel()
+
+
+def _sets(docs: DataFrame, names: DataFrame, reps: DataFrame) -> DataFrame:
+    """(k, f) of the sets whose keys are in names (k), read again from their representatives' texts; a set may come once from each task."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # 8 bytes a set of the task's own split
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                fs = features(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int.from_bytes(key_of(f)[:8], "little", signed=True) for f in fs], pa.int64()), pa.array([f.tobytes() for f in fs], pa.binary())], names=["id", "k", "f"])
+                new = {k: f for f in features(batch.column(0).slice(lo, SLICE).to_pylist()) if (k := _short(f)) not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([_six(f) for f in new.values()], pa.binary())], names=["k", "f"])
+
+    return written(_read_again(docs, names, reps).mapInArrow(sets, "k bigint, f binary"))
 
-    made = rows.mapInArrow(sets, "id bigint, k bigint, f binary")
-    return written(made.join(wanted, F.col("id") == F.col("rep")).select("rep", "k", "f").dropDuplicates(["rep", "k"]))
 
+def _lone(docs: DataFrame, names: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(k, n, lone) of the sets named (k): their shingles, and those of them that no other of these sets has.
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a8, b8) of sets, the links (a, b) between representatives, compared exactly."""
-    made = _sets(docs, pairs.select(F.col("a8").alias("k")).unionByName(pairs.select(F.col("b8").alias("k"))), reps)
-    left = made.select(F.col("k").alias("ka"), F.col("rep").alias("a"), F.col("f").alias("fa"))
-    right = made.select(F.col("k").alias("kb"), F.col("rep").alias("b"), F.col("f").alias("fb"))
-    both = pairs.join(left, F.col("a8") == F.col("ka")).select("b8", "a", "fa").join(right, F.col("b8") == F.col("kb")).select("a", "b", "fa", "fb")
+    Shingles meet by range of the hash, packed as the signatures are; counts go back packed by key.
+    """
+    buckets = max(BUCKETS, n)
+    rows = _read_again(docs, names, reps)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        fs: list[np.ndarray] = []
+        keys: list[int] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            which, blobs = zip(*_packed(buckets, fs, keys, [len(f) for f in fs]))
+            return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                for f in features(batch.column(0).slice(lo, SLICE).to_pylist()):
+                    if len(f) >= 3 and (k := _short(f)) not in seen:
+                        seen.add(k)
+                        fs.append(f)
+                        keys.append(k)
+                        held += len(f)
+                if held >= FLUSH:
+                    yield flush()
+                    fs, keys, held = [], [], 0
+        if fs:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs.setdefault(b, []).append(blob)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in list(blobs):
+            value, key, size = (np.concatenate(c) for c in zip(*map(_unpack, blobs.pop(b))))
+            order = np.lexsort((key, value))
+            value, key, size = value[order], key[order], size[order]
+            same = value[1:] == value[:-1]
+            again = same & (key[1:] == key[:-1])  # equal sets from several tasks are one
+            other = same & ~again
+            # A run of one value holds one set's key alone if no step within it changes the key.
+            run = np.cumsum(np.concatenate([[0], ~same])) if len(value) else np.zeros(0, dtype=np.int64)
+            several = np.bincount(run[1:][other], minlength=run[-1] + 1 if len(run) else 0) > 0
+            first = np.concatenate([[True], ~again]) if len(value) else np.zeros(0, dtype=bool)
+            found.append(_sums(key[first], size[first], ~several[run[first]]))
+        if found:
+            ks, sizes, lone = _sums(*(np.concatenate(c) for c in zip(*found)))
+            to = (ks.view(_U64) >> _U64(32)) * _U64(n) >> _U64(32)
+            order = np.argsort(to, kind="stable")
+            ks, sizes, lone, to = ks[order].astype("<i8"), sizes[order].astype("<u4"), lone[order].astype("<u4"), to[order]
+            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])).tolist()
+            parts_ = [slice(i, j) for i, j in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[p.start]) for p in parts_], pa.int32()), pa.array([int(p.stop - p.start).to_bytes(4, "little") + ks[p].tobytes() + sizes[p].tobytes() + lone[p].tobytes() for p in parts_], pa.binary())], names=["bucket", "blob"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got.setdefault(b, []).append(blob)
+        for b in list(got):
+            rows_ = []
+            for blob in got.pop(b):
+                c = int.from_bytes(blob[:4], "little")
+                rows_.append((np.frombuffer(blob, "<i8", c, 4), np.frombuffer(blob, "<u4", c, 4 + 8 * c), np.frombuffer(blob, "<u4", c, 4 + 12 * c)))
+            ks, sizes, lone = _sums(*(np.concatenate(x) for x in zip(*rows_)))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(lone.astype(np.int64))], names=["k", "n", "lone"])
+
+    met = rows.mapInArrow(spread, "bucket int, blob binary").repartitionById(n, F.col("bucket") % n).mapInArrow(meet, "bucket int, blob binary")
+    return met.repartitionById(n, "bucket").mapInArrow(add, "k bigint, n bigint, lone bigint")
+
+
+def _sums(key: np.ndarray, size: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their size, and the sum of lone."""
+    ks, at = np.unique(key, return_inverse=True)
+    sizes = np.zeros(len(ks), dtype=np.int64)
+    sizes[at] = size
+    return ks, sizes, np.bincount(at, lone, minlength=len(ks))
+
+
+def _verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a8, b8) of sets, the links (a, b) between their keys, compared exactly."""
+    # Only the sets of these pairs move, and no more of them than there are pairs.
+    mine = pairs.select(F.col("a8").alias("p")).unionByName(pairs.select(F.col("b8").alias("p"))).distinct()
+    made = made.join(written(mine), F.col("k") == F.col("p"), "left_semi")
+    left = made.select(F.col("k").alias("ka"), F.col("f").alias("fa"))
+    right = made.select(F.col("k").alias("b"), F.col("f").alias("fb"))
+    both = pairs.join(left, F.col("a8") == F.col("ka")).select(F.col("a8").alias("a"), "b8", "fa").join(right, F.col("b8") == F.col("b")).select("a", "b", "fa", "fb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=_U64), np.frombuffer(y.as_buffer(), dtype=_U64)
+                x, y = _whole(x.as_buffer()), _whole(y.as_buffer())
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
                 good.append(4 * common >= 3 * (len(x) + len(y) - common))
@@ -371,8 +478,8 @@ BLOCK = 1024
 
 def _block_links(t: pa.Table) -> pa.Table:
     """A spanning set of the links (a, b) within one block, or between two."""
-    rep, which = t.column("rep").to_numpy(), np.array(t.column("own").to_pylist(), dtype=bool)
-    sets = [np.frombuffer(x, dtype=_U64) for x in t.column("f").to_pylist()]
+    rep, which = t.column("key8").to_numpy(), np.array(t.column("own").to_pylist(), dtype=bool)
+    sets = [_whole(x) for x in t.column("f").to_pylist()]
     sizes = np.array([len(x) for x in sets])
     doc = np.repeat(np.arange(len(sets)), sizes)
     h = np.concatenate(sets)
@@ -405,18 +512,19 @@ def _block_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(rep[star], pa.int64()), "b": pa.array(label[star], pa.int64())})
 
 
-def _blockwise(docs: DataFrame, marked: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links among the sets of marked (sig, key8, label) that share a signature, labels apart.
+def _blockwise(made: DataFrame, held: DataFrame) -> DataFrame:
+    """Links among the sets of held (key8, label, sigs) that share a signature, labels apart.
 
-    Signatures that share sets make clusters; a cluster's sets are dealt into blocks of about BLOCK, those of a label with
+    Labels that share a signature make clusters; a cluster's sets are dealt into blocks of about BLOCK, those of a label with
     many sets into blocks of its own, and every two blocks meet in a task, but for two of one label. Pairs are counted
     there as matrix products and never leave it. A task holds two blocks, however large a cluster is.
     """
-    ends = marked.groupBy("sig").agg(F.min("key8").alias("b")).withColumnRenamed("sig", "e_sig")
-    edges = marked.join(ends, F.col("sig") == F.col("e_sig")).select(F.col("key8").alias("a"), "b").distinct()
-    cluster = components(edges).select(F.col("node"), F.col("comp"))
-    nodes = marked.groupBy("key8").agg(F.min("label").alias("label")).join(cluster, F.col("key8") == F.col("node"), "left").select("key8", "label", F.coalesce("comp", "key8").alias("cluster"))
-    nodes = written(nodes)
+    marked = written(held.repartition(parts(held.sparkSession)).select("label", F.explode("sigs").alias("sig")).distinct())
+    ends = marked.groupBy("sig").agg(F.min("label").alias("b"), F.count("*").alias("c")).filter("c > 1").select(F.col("sig").alias("e_sig"), "b")
+    edges = marked.join(ends, F.col("sig") == F.col("e_sig")).select(F.col("label").alias("a"), "b").distinct()
+    cluster = components(edges)
+    cluster = written(cluster.unionByName(cluster.select(F.col("comp").alias("node"), "comp")).distinct())
+    nodes = written(held.join(cluster, F.col("label") == F.col("node")).select("key8", "label", F.col("comp").alias("cluster")))
     by_label = nodes.groupBy(F.col("cluster").alias("c"), F.col("label").alias("l")).agg(F.count("*").alias("n"))
     by_cluster = by_label.groupBy("c").agg(F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n"))).alias("rest"))
     big = by_label.filter(F.col("n") >= BLOCK // 2)
@@ -428,8 +536,7 @@ def _blockwise(docs: DataFrame, marked: DataFrame, reps: DataFrame) -> DataFrame
     meets = F.filter("all", lambda o: (o["own"] != F.col("blk.own")) | (o["own"] == -1))
     sent = n.join(listed, F.col("cluster") == F.col("c")).select("key8", "cluster", "blk", F.explode(meets).alias("o"))
     sent = sent.select("key8", "cluster", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), (F.col("blk") <= F.col("o")).alias("own"))
-    made = _sets(docs, nodes.select(F.col("key8").alias("k")), reps)
-    got = sent.join(made, F.col("key8") == F.col("k")).select("cluster", "x", "y", "own", "rep", "f")
+    got = sent.join(made, F.col("key8") == F.col("k")).select("cluster", "x", "y", "own", "key8", "f")
     return written(got.groupBy("cluster", "x", "y").applyInArrow(_block_links, "a bigint, b bigint"))
 
 
@@ -445,77 +552,91 @@ def join_similar(docs: DataFrame) -> DataFrame:
        ones meet. Equal sets are sent once per task and are one set where they meet.
     2. Rare signatures give pairs with the number of signatures that they share; similar pairs share one + spare() at
        least, less those of them that are common. Of common signatures, only sets with more than spare() of them remain.
-    3. Each set is compared with the partner it shares most with, and with a central one under its common signatures;
+    3. The candidates' shingles meet by hash. A set with a partner has three quarters of its shingles in common with it at
+       least, so candidates with more lone shingles go, and pairs whose remaining shingles can't be enough. What shares
+       but a passage, and copies too far from all others, end here, at a cost in proportion to their length.
+    4. Each set is compared with the partner it shares most with, and with a central one under its common signatures;
        then the other pairs whose ends aren't yet connected: rare signatures' pairs one by one, sets under common ones
        block by block. Comparisons are exact and on whole texts, and every pair that could link is either compared or
        within one component already.
     """
     spark = docs.sparkSession
     n = parts(spark)
-    pairs_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(4 * n), _SKETCH)
-    met = written(pairs_of.repartition(n, "bucket").mapInArrow(_collide, _SKETCH))
+    pairs_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(max(BUCKETS, n)), _SKETCH)
+    met = written(pairs_of.repartitionById(n, F.col("bucket") % n).mapInArrow(_collide, _SKETCH))
     rows = met.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key", "key8")
     classes = written(rows.filter("n_shingles > 0").groupBy("key", "key8").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")))
     reps = classes.select(F.col("key8").alias("r8"), "rep").filter("rep is not null")
-    shared = written(met.filter("kind = 2").groupBy(F.col("key8").alias("a8"), F.col("other").alias("b8")).agg(F.sum("m").alias("m"), F.min("n").alias("n")))
-    hot = met.filter("kind = 3").select("key8", "n", F.col("other").alias("sig"))
-    hot = written(hot.withColumn("hot", F.count("*").over(Window.partitionBy("key8"))))
-    hot_counts = hot.groupBy("key8").agg(F.max("hot").alias("hot"), F.max("n").alias("n"))
-    hot_counts = written(hot_counts.select("key8", "hot", (F.col("hot") > _harmless(F.col("n"))).alias("held")))
-    count = lambda k: hot_counts.select(F.col("key8").alias(f"h_{k}"), F.col("hot").alias(f"hot_{k}"), F.col("held").alias(f"held_{k}"))
+    shared = met.filter("kind = 2").groupBy(F.col("key8").alias("a8"), F.col("other").alias("b8")).agg(F.sum("m").alias("m"), F.min("n").alias("n"))
+    # A set's own common signatures, as many as it has signatures at most, are one row.
+    hot = met.filter("kind = 3").groupBy("key8").agg(F.count("*").alias("hot"), F.max("n").alias("n"), F.collect_list("other").alias("sigs"))
+    hot = hot.withColumn("held", F.col("hot") > _harmless(F.col("n")))
+    hot = written(hot.select("key8", "hot", "held", F.when(F.col("held"), F.col("sigs")).alias("sigs")))
+    count = lambda k: hot.select(F.col("key8").alias(f"h_{k}"), F.col("hot").alias(f"hot_{k}"), F.col("held").alias(f"held_{k}"))
     rare = shared.join(count("a8"), F.col("a8") == F.col("h_a8"), "left").join(count("b8"), F.col("b8") == F.col("h_b8"), "left")
     # Two held sets meet under their common signatures, if they share any; without, they need rare ones alone.
-    held = F.coalesce(F.col("held_a8") & F.col("held_b8"), F.lit(False))
-    allowed = F.when(held, 0).otherwise(F.least(F.coalesce("hot_a8", F.lit(0)), F.coalesce("hot_b8", F.lit(0))))
+    both = F.coalesce(F.col("held_a8") & F.col("held_b8"), F.lit(False))
+    allowed = F.when(both, 0).otherwise(F.least(F.coalesce("hot_a8", F.lit(0)), F.coalesce("hot_b8", F.lit(0))))
     rare = written(rare.filter(F.col("m") >= F.col("n") - allowed).select("a8", "b8", "m"))
-    held = hot.filter(F.col("hot") > _harmless(F.col("n")))
+
+    named = rare.select(F.col("a8").alias("k")).unionByName(rare.select(F.col("b8").alias("k"))).unionByName(hot.filter("held").select(F.col("key8").alias("k")))
+    alive = _lone(docs, named, reps, n).filter("4 * (n - lone) >= 3 * n")
+    alive = written(alive.select("k", "n", (F.col("n") - F.col("lone")).alias("met")))
+    size = lambda k: alive.select(F.col("k").alias(f"s_{k}"), F.col("n").alias(f"n_{k}"), F.col("met").alias(f"met_{k}"))
+    rare = rare.join(size("a8"), F.col("a8") == F.col("s_a8")).join(size("b8"), F.col("b8") == F.col("s_b8"))
+    rare = written(rare.filter(7 * F.least("met_a8", "met_b8") >= 3 * (F.col("n_a8") + F.col("n_b8"))).select("a8", "b8", "m"))
+    held = written(hot.filter("held").join(alive, F.col("key8") == F.col("k")).select("key8", "hot", "sigs"))
+    made = _sets(docs, rare.select(F.col("a8").alias("k")).unionByName(rare.select(F.col("b8").alias("k"))).unionByName(held.select(F.col("key8").alias("k"))), reps)
+
     # A text and its many edited copies share more common signatures than two copies do: each set looks to the one with
     # the most of them, under a few of its own, picked alike by all (least hashes). Only a choice of what to compare first.
-    leaders = held.groupBy(F.col("sig").alias("l_sig")).agg(F.max(F.struct("hot", "key8"))["key8"].alias("leader"))
-    few = held.groupBy("key8").agg(*[F.min_by("sig", F.xxhash64(F.lit(i), "sig")).alias(f"s{i}") for i in range(4)])
-    picked = few.select("key8", F.col("s0").alias("sig"))
-    for i in range(1, 4):
-        picked = picked.unionByName(few.select("key8", F.col(f"s{i}").alias("sig")))
-    stars = picked.join(leaders, F.col("sig") == F.col("l_sig")).filter("leader <> key8").groupBy(F.col("leader").alias("a8"), F.col("key8").alias("b8")).agg(F.count("*").alias("m"))
+    leaders = held.repartition(n).select("key8", "hot", F.explode("sigs").alias("l_sig")).groupBy("l_sig").agg(F.max(F.struct("hot", "key8"))["key8"].alias("leader"))
+    few = F.array_distinct(F.array(*[F.array_min(F.transform("sigs", lambda s, i=i: F.struct(F.xxhash64(F.lit(i), s), s.alias("s"))))["s"] for i in range(4)]))
+    stars = held.select("key8", F.explode(few).alias("sig")).join(leaders, F.col("sig") == F.col("l_sig")).filter("leader <> key8").groupBy(F.col("leader").alias("a8"), F.col("key8").alias("b8")).agg(F.count("*").alias("m"))
     each = rare.unionByName(rare.select(F.col("b8").alias("a8"), F.col("a8").alias("b8"), "m"))
     top = lambda p: p.groupBy("b8").agg(F.min(F.struct((-F.col("m")).alias("o"), "a8")).alias("x")).select(F.least("x.a8", "b8").alias("a8"), F.greatest("x.a8", "b8").alias("b8"))
     best = written(top(each).unionByName(top(stars)).distinct())
-    links = _verified(docs, best, reps)
+    links = _verified(made, best)
 
     comps = components(links)
-    label = reps.join(comps, F.col("rep") == F.col("node"), "left").select("r8", F.coalesce("comp", "rep").alias("label"))
-    label = written(label.groupBy("r8").agg(F.min("label").alias("label")))
+    label = written(alive.select(F.col("k").alias("r8")).join(comps, F.col("r8") == F.col("node"), "left").select("r8", F.coalesce("comp", "r8").alias("label")))
     on = lambda k: label.select(F.col("r8").alias(f"l_{k}"), F.col("label").alias(f"label_{k}"))
     rest = rare.select("a8", "b8").join(on("a8"), F.col("a8") == F.col("l_a8")).join(on("b8"), F.col("b8") == F.col("l_b8")).filter("label_a8 <> label_b8").select("a8", "b8")
-    none = F.lit(None).cast("bigint")
-    marked = held.select("key8", "sig", "n", none.alias("label")).unionByName(label.select(F.col("r8").alias("key8"), none.alias("sig"), none.alias("n"), "label"))
-    marked = marked.withColumn("label", F.max("label").over(Window.partitionBy("key8"))).filter("sig is not null")
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(F.col("sig").alias("x_sig"))
-    marked = written(marked.join(mixed, F.col("sig") == F.col("x_sig")).select("sig", "key8", "label"))
     rest = written(rest.join(best.select(F.col("a8").alias("d_a"), F.col("b8").alias("d_b")), (F.col("a8") == F.col("d_a")) & (F.col("b8") == F.col("d_b")), "left_anti"))
-    more = [_verified(docs, rest, reps)] if not rest.isEmpty() else []
-    more += [_blockwise(docs, marked, reps)] if not marked.isEmpty() else []
+    held = written(held.join(label, F.col("key8") == F.col("r8")).select("key8", "label", "sigs"))
+    more = [_verified(made, rest)] if not rest.isEmpty() else []
+    more += [_blockwise(made, held)] if not held.isEmpty() else []
     for found in more:
         links = links.unionByName(found)
     if more:
         comps = components(links)
-    final = written(classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.coalesce("comp", "rep").alias("comp")))
+    named = classes.join(comps, F.col("key8") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "key8").alias("comp"))
+    named = written(named)
+    # Only components of several sets have to meet; their smallest key's own class has no row in comps.
+    roots = written(comps.select(F.col("comp").alias("root")).distinct())
+    several = named.join(roots, F.col("comp") == F.col("root"), "left_semi")
+    least = several.groupBy(F.col("comp").alias("l_comp")).agg(F.min("rep").alias("least"))
+    final = written(named.join(least, F.col("comp") == F.col("l_comp"), "left").select(F.col("key").alias("c_key"), F.coalesce("least", "rep").alias("comp")))
     got = rows.select("doc_id", "n_shingles", "key").join(final, (F.col("key") == F.col("c_key")) & (F.col("n_shingles") > 0), "left")
     return got.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and components of all documents; see join_similar()."""
     return join_similar(table(spark, sf_dir, "documents"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that with the smallest doc_id (nulls last; ties: by the text's hash), with the columns of docs.
 
-    Rows are numbered, so repeated and null ids, and equal rows, are told apart.
+    Rows are numbered, so repeated and null ids, and equal rows, are told apart. Null texts and texts without words are in
+    no group and stay. Columns may have any names. No rows give no rows.
     """
-    laid = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = written(join_similar(laid.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_r"), "component_id"))
-    named = groups.join(laid.select("_row", "doc_id", F.xxhash64("text").alias("_h")), F.col("_r") == F.col("_row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_row"))["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    gone = groups.join(first.withColumnRenamed("component_id", "_c"), F.col("component_id") == F.col("_c")).filter("_r <> _first").select("_r")
-    return laid.join(written(gone), F.col("_row") == F.col("_r"), "left_anti").drop("_row")
+    row, gone_row = unused("_row", docs), unused("_gone", docs)
+    laid = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    slim = laid.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    groups = written(join_similar(laid.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("g_row"), "component_id"))
+    named = groups.join(slim, F.col("g_row") == F.col("row"))
+    first = named.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row"))["row"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = groups.join(first, F.col("component_id") == F.col("c")).filter("g_row <> first").select(F.col("g_row").alias(gone_row))
+    return laid.join(written(gone), F.col(row) == F.col(gone_row), "left_anti").drop(row)
