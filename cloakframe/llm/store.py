@@ -22,6 +22,8 @@ END_ID = 2
 #: Ids that the rolling hash sees; a cut falls where its low bits are 0 (one place in 2**CUT_BITS), after LEAST ids at least
 #: and MOST at most.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Ids that a leaf of the manifest's tree covers, and children that an inner node has at most, as powers of two.
+SPAN_BITS, FAN_BITS = 20, 12
 #: Pieces, and words of pieces, whose ids a worker keeps, about.
 CACHE = 1 << 19
 
@@ -67,11 +69,19 @@ def encode_packed(texts: list[str], path: str) -> list[bytes]:
     seen: set[str] = set()
     for p in parts:
         seen.update(p or ())
-    new = {w: _PIECES(w.lower()) for w in seen.difference(words)}
-    fresh = _learn(tokenizer, ends, list({p for ps in new.values() for p in ps}.difference(kept)))
+    seen.difference_update(words)
+    # Most words are of letters a to z alone, so one piece.
+    plain = {w: w.lower() for w in seen if w.isascii() and w.isalpha()}
+    new = {w: _PIECES(w.lower()) for w in seen.difference(plain)}
+    pieces = set(plain.values())
+    for ps in new.values():
+        pieces.update(ps)
+    fresh = _learn(tokenizer, ends, list(pieces.difference(kept)))
     kept.update(fresh)
     get = kept.__getitem__
+    words.update(zip(plain, map(get, plain.values())))
     words.update((w, b"".join(map(get, ps))) for w, ps in new.items())
+    new.update(plain)
     get = words.__getitem__
     out = [_library(tokenizer, t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
     for cache, late in ((kept, fresh), (words, new)):
@@ -121,12 +131,54 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+class StoreDamaged(ValueError):
+    """Recipes were lost, added or changed since the manifest was written."""
+
+
+_NODE = "level int, at bigint, docs bigint, ids bigint, root binary"
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """The Merkle tree over the documents of recipes: _NODE rows, the last level of which is the one root.
+
+    A document's hash is over its id, place, length and the root over its chunks. Level 0 has a node for every 2**SPAN_BITS
+    places of the id stream with a document that starts there (as many at most, each id being one), and each next level
+    a node for 2**FAN_BITS of the last, until there is one: as many steps as the tree is high. A task holds a node's children.
+    """
+
+    def hashed(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                roots = []
+                for kids in batch.column(3).to_pylist():
+                    if level:
+                        roots.append(merkle([k["root"] for k in kids]))
+                    else:
+                        roots.append(merkle([hashlib.sha256(f"{k['id']!r} {k['start']} {k['n']} ".encode() + k["root"]).digest() for k in kids]))
+                yield pa.RecordBatch.from_arrays([pa.array([level] * len(roots), pa.int32()), *batch.columns[:3], pa.array(roots, pa.binary())], names=["level", "at", "docs", "ids", "root"])
+
+        return run
+
+    kid = F.struct("start", F.col("doc_id").cast("string").alias("id"), F.col("n_tokens").alias("n"), "root")
+    last = recipes.groupBy(F.shiftright("start", SPAN_BITS).alias("at")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(kid)).alias("kids"))
+    last = written(last.select("at", "docs", "ids", "kids").mapInArrow(hashed(0), _NODE))
+    every, level = last, 0
+    while (n := last.count()) > 1:
+        level += 1
+        up = last.groupBy(F.shiftright("at", FAN_BITS).alias("at")).agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("k"), "root"))).alias("kids"))
+        last = written(up.select("at", "docs", "ids", "kids").mapInArrow(hashed(level), _NODE))
+        every = every.unionByName(last)
+    if n == 0:  # an empty store has a root, too
+        every = recipes.sparkSession.sql(f"select 0 as level, 0L as at, 0L as docs, 0L as ids, unhex('{merkle([]).hex()}') as root")
+    return every
+
+
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes path/chunks (digest, n, body), path/recipes (doc_id, start, n_tokens, chunks, root) and path/manifest.
 
     Bodies are ids as unsigned 16-bit (32-bit where one doesn't fit) integers, stored once whatever number of documents
-    has them. Recipes lie in ascending order of doc_id; start counts the ids of all documents before. The manifest has
-    one row per recipe file: the Merkle root over its documents' roots, its documents and ids.
+    has them. Recipes lie in ascending order of doc_id; start counts the ids of all documents before. The manifest is the
+    Merkle tree over the recipes, see manifest().
     Null texts have the end id only. Rows with equal ids (or null ids, which come first) follow each other, in the order
     of their Merkle roots. Other columns aren't read; no rows make an empty store.
 
@@ -176,7 +228,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     # few others) out; all the rest are unique for sure and are written where they are.
     twice = written(staged.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest"))
     blocks = min(MAX_BLOCKS, max(16, twice.count() // 2))
-    key = F.hex("digest")
+    key = F.col("digest")
     bits = twice.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("bits"))
     flat = staged.select(F.explode(F.arrays_zip("digests", "sizes", "bodies")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.bodies").alias("body")).filter("body is not null")
     flat = flat.withColumn("at", _block(key, blocks)).withColumn("mask", _mask(key))
@@ -189,17 +241,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     recipes = recipes.repartitionByRange(parts(spark), "doc_id", "root", "u").sortWithinPartitions("doc_id", "root", "u").drop("u")
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: dict[str, list] = {}
-        for batch in batches:
-            for name, root, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                h, docs_, ids_ = part.setdefault(name, [hashlib.sha256(), 0, 0])
-                h.update(root)
-                part[name][1:] = [docs_ + 1, ids_ + n]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([x[0].digest() for x in part.values()], pa.binary()), pa.array([x[1] for x in part.values()], pa.int64()), pa.array([x[2] for x in part.values()], pa.int64())], names=["file", "root", "docs", "ids"]) if part else pa.RecordBatch.from_pylist([], pa.schema([("file", pa.string()), ("root", pa.binary()), ("docs", pa.int64()), ("ids", pa.int64())]))
-
-    written_files = spark.read.parquet(f"{path}/recipes").select(F.input_file_name().alias("file"), "root", "n_tokens")
-    written_files.mapInArrow(roots, "file string, root binary, docs bigint, ids bigint").write.parquet(f"{path}/manifest")
+    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(stage)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -243,13 +285,34 @@ def _ids(body: bytes) -> np.ndarray:
     return np.frombuffer(body, dtype="<u2").astype("<u4") if len(body) % 2 == 0 else np.frombuffer(body[1:], dtype="<u4")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Builds the Merkle tree over the recipes again and holds it against the manifest, node by node.
+
+    Lost, added and changed recipes (whole files, too) change a leaf and the root; any difference raises StoreDamaged.
+    """
+    node = ["level", "at", "docs", "ids", "root"]
+    told = spark.read.schema(_NODE).parquet(f"{path}/manifest").select(*[F.col(c).alias(f"t_{c}") for c in node])
+    got = manifest(spark.read.parquet(f"{path}/recipes")).select(*node)
+    same = F.lit(True)
+    for c in node[2:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    both = got.join(told, (F.col("level") == F.col("t_level")) & (F.col("at") == F.col("t_at")), "full")
+    odd = both.agg(F.count(F.when(~same, 1)), F.count(F.when(F.col("level") == 0, F.col("docs"))), F.min(F.when(~same & (F.coalesce("level", "t_level") == 0), F.coalesce("at", "t_at"))), F.count("*")).first()
+    if odd[0] or not odd[3]:
+        raise StoreDamaged(f"{path}: {odd[0]} nodes of the manifest's tree don't match the recipes, the first of them at ids from {(odd[2] or 0) << SPAN_BITS}")
+
+
+def read_store(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32, verified.
 
-    Every chunk is read and hashed again; verified says that each chunk has the digest it is stored under, that the
-    recipe's Merkle root and length hold, and that no chunk is missing. Chunks carry the CRC of their ids, from which the
-    document's is combined, so that bodies don't move and a chunk that many documents share is hashed once.
+    First the recipes are held against the manifest: where any was lost, added or changed, StoreDamaged is raised (with
+    strict; else what is there is read). Every chunk is read and hashed again; verified says that each chunk has the digest
+    it is stored under, that the recipe's Merkle root and length hold, and that no chunk is missing. Chunks carry the CRC
+    of their ids, from which the document's is combined, so that bodies don't move and a chunk that many documents share
+    is hashed once.
     """
+    if strict:
+        check_manifest(spark, path)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,6 +367,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a store in the shared folder, and what reading it back gives; see write_store(), read_store()."""
     path = shared_dir(spark)
     write_store(table(spark, sf_dir, "documents"), path)
     return read_store(spark, path)
