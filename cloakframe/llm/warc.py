@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,12 @@ from .common import shared_dir, table, written
 
 #: Payloads shorter than this are never revisits.
 LEAST_BYTES = 100
-#: Captures in one archive file at most, so that a reading task holds a bounded file.
-CAPTURES_PER_FILE = 1000
+#: Captures in one archive file at most, and about so many bytes of payloads, so that a reading task holds a bounded file:
+#: payloads of more than LARGE bytes lie in files of their own, which hold as many as fit.
+CAPTURES_PER_FILE, LARGE, FILE_BYTES = 1000, 1 << 17, 1 << 27
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, type string, concurrent_to string, target_uri string, refers_to string, digest string, payload_bytes bigint, payload_digest string, fields map<string,string>"
+RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, digest string, payload_bytes bigint, payload_digest string, fields map<string,string>"
 
 
 def _uuid(*parts: Column) -> Column:
@@ -32,6 +34,13 @@ def _record(kind: str | Column, rid: Column, uri: Column, headers: list[Column],
     return F.concat(head, F.lit(CRLF * 2), block)
 
 
+def _one_line(url: Column) -> Column:
+    """Control characters, and blanks at either end, percent-encoded one by one, so that a header holds the url as it is."""
+    odd = "\x7f" + "".join(map(chr, range(32)))
+    coded = reduce(lambda u, c: F.replace(u, F.lit(c), F.lit(f"%{ord(c):02X}")), odd, url)
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]|^ | $"), F.regexp_replace(coded, r"^ | $", "%20")).otherwise(url)
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES, per_file: int = CAPTURES_PER_FILE) -> None:
     """Writes a request, a response (or revisit) and a metadata record for each row of pages to gzipped WARC 1.1 files.
 
@@ -39,6 +48,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit it, without the payload. Rows that share both id and payload are all responses or all revisits; rows with
     null ids are responses, unless one with an id has the payload. Null payloads are empty. Null urls have no target.
 
+    Control characters of urls are percent-encoded. Files hold at most per_file captures and, but for one larger payload,
+    about FILE_BYTES bytes; a file is one gzip member.
+
     Spark's text writer ends each value with the blank lines that end a WARC record, so the files go to whatever store
     Spark can reach, and task commits make reruns of lost tasks safe. Only digests and ids are grouped (with partial
     minima, so a payload that a third of the pages share is no hot key); pages meet the digests that occur twice, which
@@ -52,7 +64,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     p = p.withColumn("row", F.monotonically_increasing_id().cast("string"))
     request, response = _uuid(F.lit("request"), "row", "digest"), _uuid(F.lit("response"), key(F.col("id")), "digest")
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    uri = _one_line(F.col("url"))
     host = F.regexp_extract(uri, r"://([^/?#]*)", 1)
     req = _record("request", request, uri, [], "application/http; msgtype=request", F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), F.coalesce(host, F.lit("")), F.lit(CRLF * 2)))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
@@ -61,17 +73,22 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     res = _record(F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")), rid, uri, [F.concat(F.lit("WARC-Concurrent-To: "), request), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), rev], "application/http; msgtype=response", F.concat(http, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("body"))))
     meta = _record("metadata", _uuid(F.lit("metadata"), "row", "digest"), uri, [F.concat(F.lit("WARC-Concurrent-To: "), request)], "application/warc-fields", F.concat_ws("", F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(CRLF))))
     gap = F.lit(CRLF * 2)
-    p.select(F.concat(req, gap, res, gap, meta).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    largest = p.agg(F.max("bytes")).first()[0] or 0
+    turns = [(F.lit(True), per_file)] if largest <= LARGE else [(F.col("bytes") <= LARGE, per_file), (F.col("bytes") > LARGE, max(1, min(per_file, FILE_BYTES // largest)))]
+    for which, most in turns:
+        p.filter(which).select(F.concat(req, gap, res, gap, meta).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The headers (names in lower case) and block of each record of an uncompressed archive."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:
+    """The headers (names in lower case, with all their values) and block of each record of an uncompressed archive."""
     at, view = 0, memoryview(data)
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        at = end + 4 + int(headers["content-length"])
+        headers: dict[str, list[str]] = {}
+        for k, _, v in (line.partition(":") for line in lines):
+            headers.setdefault(k.strip().lower(), []).append(v.strip())
+        at = end + 4 + int(headers["content-length"][0])
         yield headers, view[end + 4 : at]
 
 
@@ -93,11 +110,12 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.strip().split(" ")[0] for x in RECORD.split(", ")] + ["payload"] * payload
-        types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * payload
+        types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * payload
         for batch in batches:
             for file in batch.column(0):
                 rows: list[tuple] = []
-                for h, block in parse_records(_gunzip(file.as_py())):
+                for every, block in parse_records(_gunzip(file.as_py())):
+                    h = {k: v[0] for k, v in every.items()}
                     kind, fields = h.get("content-type", ""), None
                     if kind.startswith("application/http"):
                         raw = bytes(block)
@@ -105,7 +123,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
                     elif kind.startswith("application/warc-fields"):
                         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in bytes(block).decode().split(CRLF) if x)]
                     digest = h.get("warc-payload-digest", "").partition(":")[2] or None
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, len(block), hashlib.sha256(block).hexdigest(), fields, *([bytes(block)] if payload else [])))
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), every.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, len(block), hashlib.sha256(block).hexdigest(), fields, *([bytes(block)] if payload else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -115,35 +133,48 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response (or revisit) and metadata (array).
 
-    Records belong together that name each other in WARC-Concurrent-To, straight or through one other record, whichever
-    of them names which; a record that names none and is named by none is a capture of its own. Of several requests or
-    responses of a capture, that with the smallest record id is taken; repeated records count once, missing ones are null.
+    Records belong together that name each other in WARC-Concurrent-To (any number of times), straight or through one other
+    record, whichever of them names which; a record that names none and is named by none is a capture of its own.
+    capture_id is the smallest record id. Of several requests or responses of a capture, that with the smallest record id is
+    taken; repeated records count once, missing ones are null; records without an id, and an empty table, give no rows.
+
+    Only ids meet to find the captures: two rounds of the least id among neighbours, with partial minima.
     """
     cols = [c for c in records.columns if c != "payload"] + (["payload"] if "payload" in records.columns else [])
-    links = records.select(F.col("record_id").alias("p_id"), F.col("concurrent_to").alias("p_to")).filter("p_to is not null").distinct()
-    r = records.join(links, F.col("concurrent_to") == F.col("p_id"), "left")
-    root = F.when(F.col("p_to") == F.col("record_id"), F.least("record_id", "concurrent_to")).otherwise(F.coalesce("p_to", "concurrent_to", "record_id"))
+    named = written(records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).filter("a is not null and b is not null").distinct())
+    both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    once = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")))
+    far = both.join(once.select(F.col("a").alias("o"), "low"), F.col("b") == F.col("o")).groupBy("a").agg(F.min("low").alias("low"))
+    far = far.select(F.col("a").alias("l_id"), "low")
+    r = records.filter("record_id is not null").join(far, F.col("record_id") == F.col("l_id"), "left")
     one = F.struct(*cols)
     least = lambda cond: F.min_by(F.when(cond, one), F.when(cond, F.col("record_id")))
-    return r.groupBy(root.alias("capture_id")).agg(least(F.col("type") == "request").alias("request"), least(F.col("type").isin("response", "revisit")).alias("response"), F.collect_list(F.when(F.col("type") == "metadata", F.struct("record_id", "fields"))).alias("metadata"))
+    about = F.collect_set(F.when(F.col("type") == "metadata", F.struct("record_id", F.map_entries("fields").alias("fields"))))
+    got = r.groupBy(F.coalesce("low", "record_id").alias("capture_id")).agg(least(F.col("type") == "request").alias("request"), least(F.col("type").isin("response", "revisit")).alias("response"), F.array_sort(about).alias("metadata"))
+    return got.withColumn("metadata", F.transform("metadata", lambda m: F.struct(m["record_id"].alias("record_id"), F.map_from_entries(m["fields"]).alias("fields"))))
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """Adds page_id (text), payload_bytes, payload_digest, record_type and refers_to (page_id text of the original).
 
-    A revisit's size and digest are those of the payload that it refers to, as read from that record.
+    A revisit's size and digest are those of the payload that it refers to, as read from that record (null if that isn't
+    there). Only records that are referred to meet the revisits, as a written table: Spark splits a join in which a third of
+    all revisits name one record.
     """
     c = captures.select("capture_id", "response", F.col("metadata")[0]["fields"]["page-id"].alias("page_id"))
     seen = c.filter(F.col("response.type") == "response").groupBy(F.col("response.record_id").alias("o_id")).agg(F.min("page_id").alias("o_page"), F.min("response.payload_bytes").alias("o_bytes"), F.min("response.payload_digest").alias("o_digest"))
+    wanted = c.select(F.col("response.refers_to").alias("w_id")).filter("w_id is not null").distinct()
+    seen = written(seen.join(wanted, F.col("o_id") == F.col("w_id"), "left_semi"))
     c = c.join(seen, F.col("response.refers_to") == F.col("o_id"), "left")
     back = F.col("response.type") == "revisit"
     return c.select("capture_id", "page_id", F.when(back, F.col("o_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"), F.when(back, F.col("o_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"), F.col("response.type").alias("record_type"), F.when(back, F.col("o_page")).alias("refers_to"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives in the shared folder, read back, assembled and resolved."""
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    got = resolve_revisits(assemble(read_records(spark, path)))
+    got = resolve_revisits(written(assemble(read_records(spark, path)).select("capture_id", "response", "metadata")))
     return got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
