@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, table, written
+from .common import prefix_sums, table, unused, written
 
 #: Weights of the sources in ascending order of code points (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -20,6 +20,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, weight, target) from (source, source_size).
 
@@ -57,11 +61,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Only (id, source, size, hash) leave the scan. Cumulative sums are taken in range partitions, with one total per
     partition and source, so that a source with a third of all rows spreads over the tasks.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _hash(F.col(text_col)).alias("th"))
     # Equal rows become one with a count, before any shuffle of them by key.
     rows = written(rows.groupBy("id", "source", "size", "th").agg(F.count("*").alias("n")))
     goal = written(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
-    queue = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "th"))
+    queue = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), "th")))
     queue = queue.withColumn("all", F.col("size") * F.col("n"))
     queue = prefix_sums(queue, ["h", "id", "th"], "all", "start", within="source")
     g = goal.select(F.col("source").alias("g_source"), "source_size", "target")
@@ -82,13 +86,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each row of documents, copies of a row apart; see mix()."""
     got = mix(table(spark, sf_dir, "documents"))
-    return got.select(F.explode(F.array_repeat(F.struct("id", "size", "source_size", "target", "taken"), F.col("n").cast("int"))).alias("r")).select(F.col("r.id").alias("doc_id"), "r.size", "r.source_size", "r.target", "r.taken", )
+    return got.select(F.explode(F.array_repeat(F.struct("id", "size", "source_size", "target", "taken"), F.col("n").cast("int"))).alias("r")).select(F.col("r.id").alias("doc_id"), "r.size", "r.source_size", "r.target", "r.taken")
+
+
+OP4_SQL = f"""
+with r as (select id, source, size, th, count(*) n, size * count(*) whole, md5('{SEED}|' || coalesce(id::varchar, '') || '|' || th) h
+  from (select doc_id id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size, md5(coalesce(text, '')) th from documents) group by id, source, size, th),
+a as (select source, sum(whole)::bigint source_size from r group by 1),
+b as (select *, list_extract([{', '.join(f'{float(w)}::double' for w in WEIGHTS)}], ((row_number() over (order by source is null, source) - 1) % {len(WEIGHTS)} + 1)::int) weight, {MOST} * source_size::double stop from a),
+c as (select *, sum(source_size) over () - coalesce(sum(stop) over w, 0) rest, sum(weight) over () - coalesce(sum(weight) over w, 0) rest_w
+  from b window w as (order by stop / weight, source is null, source rows between unbounded preceding and 1 preceding)),
+g as (select source, source_size, least(stop, coalesce(weight * max(case when rest / rest_w <= stop / weight then rest / rest_w end) over (), stop)) target from c),
+q as (select r.*, g.source_size, g.target, coalesce(sum(whole) over (partition by r.source order by h, id nulls first, th rows between unbounded preceding and 1 preceding), 0) start_
+  from r join g on r.source is not distinct from g.source),
+u as (select *, unnest(range(least({MOST}, floor(target / greatest(source_size, 1)) + 1)::int)) round_ from q where size > 0 and target > 0),
+f as (select *, (round_ * source_size + start_ + whole) / target finish from u),
+k as (select *, coalesce(sum(whole) over (order by finish, source nulls first, id nulls first, th, round_ rows between unbounded preceding and 1 preceding), 0) sent from f where finish <= 2 or start_ = 0),
+t as (select id, source, th, sum(whole) took from k where sent + whole <= (select sum(source_size) from a) group by 1, 2, 3),
+o as (select q.id, q.size, q.source_size, q.target, (coalesce(took, 0) // q.n)::bigint taken, unnest(range(q.n)) from q left join t on q.id is not distinct from t.id and q.source is not distinct from t.source and q.th = t.th)
+select id as doc_id, size, source_size, target, taken from o
+"""
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the mix takes, as many times as it takes them, with the columns of docs."""
-    got = mix(docs).filter("taken > 0").select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("th").alias("_mix_th"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
-    on = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mix_th"))
+    """The rows of docs that the mix takes, as many times as it takes them, with the columns of docs, whatever their names.
+
+    Rows equal in id, source and text share what is taken in equal parts as whole words allow; null and empty texts are
+    never taken; null sources are one source, null ids are allowed. No rows give no rows.
+    """
+    i, source, th, times, copy = (unused(f"_mix_{x}", docs) for x in ("id", "source", "th", "times", "copy"))
+    got = mix(docs).filter("taken > 0").select(F.col("id").alias(i), F.col("source").alias(source), F.col("th").alias(th), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    on = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)) & (_hash(F.col("text")) == F.col(th))
     taken = docs.join(got, on)
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
