@@ -18,8 +18,8 @@ from .vectors import matrix, packed
 COSINE = 0.95
 #: Part of the links that the traversal is to find, as calibrated on links of exactly that cosine.
 RECALL = 0.995
-#: Vectors that the codebooks are fitted on at most (those with the smallest hash), and codewords of a half at most.
-SAMPLE, CODEWORDS = 16_384, 256
+#: Vectors that the codebooks are fitted on at most (those with the smallest hash, 256 a codeword), and codewords of a half at most.
+SAMPLE, CODEWORDS = 65_536, 1024
 #: Rows of a block of cells, about; larger cells are split.
 BLOCK_ROWS = 4_096
 SEED = 29
@@ -29,7 +29,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin(distances(x, c), axis=1)
+        near = np.concatenate([np.argmin(distances(x[lo : lo + 4096], c), axis=1) for lo in range(0, len(x), 4096)])
         for j in range(len(c)):
             if (near == j).any():
                 c[j] = x[near == j].mean(axis=0)
@@ -104,9 +104,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Equal vectors are joined first, with partial aggregates, so a vector that a third of the rows share is one vector with
     a count. The distinct ones are residents of their cell and visit the cells near them; cells are dealt into blocks of
-    about block_rows residents (large cells are split by hash), a vector is sent once to each block with a cell that it
-    visits, and a task sees one block. Only link counts and a spanning set of links leave it. The driver holds the
-    codebooks and one count per non-empty cell, at most CODEWORDS squared.
+    about block_rows residents. A dense cell is split by hash into several blocks, and its visitors into as many groups:
+    a task sees one block and one group, about 2 * block_rows vectors however dense the cell (with more where many
+    vectors visit a cell that few live in), and its pairs slice by slice. Only link counts and a spanning set of links
+    leave it. The driver holds the codebooks and one count per non-empty cell, at most CODEWORDS squared. Each length of
+    vectors has its own index and turn.
     """
     spark = df.sparkSession
     rows = written(packed(df, id_col, vec_col).withColumn("h", F.unhex(F.md5("v"))))
@@ -133,7 +135,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 def _links(spark: SparkSession, vectors: DataFrame, count: int, cosine: float, recall: float, block_rows: int) -> DataFrame:
     """From (v, rep, n) of one length: (rep, links, null) partial counts, and (rep, null, other) of a spanning set of links."""
     k = min(CODEWORDS, 1 << max(1, math.ceil(math.log2(max(2, math.sqrt(count / 16))))))
-    sample = vectors.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    sample = vectors.select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, max(4096, 256 * k))).collect()
     index = MultiIndex(unit(np.stack([np.frombuffer(r.v, dtype="<f8") for r in sample])), k, cosine, recall)
     width = index.width
 
@@ -163,33 +165,41 @@ def _links(spark: SparkSession, vectors: DataFrame, count: int, cosine: float, r
             if not b.num_rows:
                 continue
             d1, d2 = index.half_distances(unit(matrix(b.column(0))))
-            at, blocks = [], []
+            at, blocks, flags = [], [], []
             for r, rep in enumerate(b.column(1).to_pylist()):
                 home = int(d1[r].argmin()) * width + int(d2[r].argmin())
-                mine = int(lay[home, 0]) + rep * 2654435761 % 2**32 % int(lay[home, 1])
-                to = {mine}
+                h = rep * 2654435761 % 2**32
+                f, s = (int(x) for x in lay[home])
+                mine = f + h % s
+                # (block, group) -> 1: lives there, 2: visits there; a block that is one of s of a cell has s groups of visitors.
+                to = {(mine, g): 1 for g in range(s)}
+                to[mine, (h >> 8) % s] = 3
                 for i, j in multi_sequence(d1[r], d2[r], index.margin):
-                    f, s = lay[i * width + j]
+                    f, s = (int(x) for x in lay[i * width + j])
                     if f >= 0:
-                        to.update(range(int(f), int(f + s)))
+                        for x in range(f, f + s):
+                            to[x, (h >> 8) % s] = to.get((x, (h >> 8) % s), 0) | 2
                 at += [r] * len(to)
-                blocks += [(x << 1) | (x == mine) for x in to]
-            part = pa.Table.from_batches([b]).take(pa.array(at, pa.int64())).append_column("to", pa.array(blocks, pa.int64())).combine_chunks()
+                blocks += [x << 20 | g for x, g in to]
+                flags += to.values()
+            part = pa.Table.from_batches([b]).take(pa.array(at, pa.int64()))
+            part = part.append_column("task", pa.array(blocks, pa.int64())).append_column("flag", pa.array(flags, pa.int32())).combine_chunks()
             yield from part.to_batches()
 
     def verify(t: pa.Table) -> pa.Table:
-        index, lay = shared.value
+        index, _ = shared.value
         x = unit(matrix(t.column("v")))
         rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-        lives = (t.column("to").to_numpy() & 1) == 1
+        flag = t.column("flag").to_numpy()
+        lives, visits = flag & 1 == 1, flag & 2 == 2
         d1, d2 = index.half_distances(x)
         i1, i2 = d1.argmin(1), d2.argmin(1)
         home, limit = i1 * width + i2, d1.min(1) + d2.min(1) + index.margin
-        links, label, changed = np.zeros(len(rep), dtype=np.int64), rep.copy(), False
-        pairs_a, pairs_b = [], []
+        links, label = np.zeros(len(rep), dtype=np.int64), rep.copy()
+        stars: list[tuple[np.ndarray, np.ndarray]] = []
         for cell in np.unique(home[lives]):
             here = np.nonzero(lives & (home == cell))[0]
-            visit = np.nonzero(d1[:, cell // width] + d2[:, cell % width] <= limit)[0]
+            visit = np.nonzero(visits & (d1[:, cell // width] + d2[:, cell % width] <= limit))[0]
             for lo in range(0, len(visit), 512):
                 p = visit[lo : lo + 512]
                 a, b = np.nonzero(x[p] @ x[here].T >= cosine)
@@ -197,24 +207,25 @@ def _links(spark: SparkSession, vectors: DataFrame, count: int, cosine: float, r
                 # A pair met from both ends counts where the smaller id visits.
                 twice = (d1[b, i1[a]] + d2[b, i2[a]] <= limit[b]) | (home[a] == home[b])
                 keep = (a != b) & (~twice | (rep[a] < rep[b]))
-                pairs_a.append(a[keep])
-                pairs_b.append(b[keep])
-        a, b = (np.concatenate(q) if q else np.zeros(0, dtype=np.int64) for q in (pairs_a, pairs_b))
-        np.add.at(links, a, n[b])
-        np.add.at(links, b, n[a])
-        changed = len(a) > 0
-        while changed:  # the smallest id that links within the block reach
-            before = label.copy()
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            changed = not np.array_equal(before, label)
-        some, star = np.nonzero(links)[0], np.nonzero(label != rep)[0]
-        return pa.table({"rep": pa.array(np.concatenate([rep[some], rep[star]]), pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * len(star)], pa.int64()), "other": pa.array([*[None] * len(some), *label[star].tolist()], pa.int64())})
-
-    sent = vectors.select("v", "rep", "n").mapInArrow(route, "v binary, rep bigint, n bigint, to bigint")
-    return sent.withColumn("block", F.shiftright("to", 1)).groupBy("block").applyInArrow(lambda t: verify(t), "rep bigint, links bigint, other bigint")
+                a, b = a[keep], b[keep]
+                links += np.bincount(a, n[b], minlength=len(rep)).astype(np.int64) + np.bincount(b, n[a], minlength=len(rep)).astype(np.int64)
+                was, changed = label.copy(), len(a) > 0
+                while changed:  # the smallest id that links of this slice, and labels so far, reach
+                    before = label.copy()
+                    low = np.minimum(label[a], label[b])
+                    np.minimum.at(label, a, low)
+                    np.minimum.at(label, b, low)
+                    changed = not np.array_equal(before, label)
+                new = np.nonzero(label != was)[0]
+                stars.append((was[new], label[new]))  # what either label stood for is connected
+        some = np.nonzero(links)[0]
+        star = np.unique(np.concatenate([np.stack(q, axis=1) for q in stars]), axis=0) if stars else np.zeros((0, 2), dtype=np.int64)
+        return pa.table({"rep": pa.array(np.concatenate([rep[some], star[:, 0]]), pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * len(star)], pa.int64()), "other": pa.array([*[None] * len(some), *star[:, 1].tolist()], pa.int64())})
+
+    sent = vectors.select("v", "rep", "n").mapInArrow(route, "v binary, rep bigint, n bigint, task bigint, flag int")
+    return sent.groupBy("task").applyInArrow(lambda t: verify(t), "rep bigint, links bigint, other bigint")
 
 
 def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all rows of embeddings; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
