@@ -71,9 +71,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     return got.select(F.col("id").alias(id_col), "host", "path", F.col("best.r_key").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """(verdict, host, path) rows of a short list, as VALUES: a local relation of the plan, no Python."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql("select * from values " + ", ".join(f"({', '.join(map(quote, r))})" for r in rules) + " as t(verdict, host, path)")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    return judge_urls(table(spark, sf_dir, "pages"), rules)
+    """The verdict of the production rules on every url of pages; see judge_urls()."""
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
 OP10_SQL = r"""
