@@ -205,10 +205,34 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_assembly_follows_concurrent_to(spark):
-    rows = [("r1", "request", None), ("s1", "response", "r1"), ("m1", "metadata", "s1"), ("s2", "response", None), ("r2", "request", "s2"), ("m3", "metadata", None)]
+    rows = [("r1", "request", None), ("s1", "response", ["r1"]), ("m1", "metadata", ["s1"]), ("s2", "response", None), ("r2", "request", ["s2"]), ("m3", "metadata", None)]
+    rows += [("s4", "response", ["r4", "m4"]), ("r4", "request", []), ("m4", "metadata", None), ("m4", "metadata", None)]  # one record names the others
     df = spark.createDataFrame([(i, t, c, None, None, None, 0, "", None) for i, t, c in rows], warc.RECORD)
     got = {r.capture_id: (r.request and r.request.record_id, r.response and r.response.record_id, [m.record_id for m in r.metadata]) for r in warc.assemble(df).collect()}
-    assert got == {"r1": ("r1", "s1", ["m1"]), "s2": ("r2", "s2", []), "m3": (None, None, ["m3"])}
+    assert got == {"m1": ("r1", "s1", ["m1"]), "r2": ("r2", "s2", []), "m3": (None, None, ["m3"]), "m4": ("r4", "s4", ["m4"])}
+
+
+def test_warc_repeated_headers_and_urls(spark):
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Concurrent-To: <b>\r\nwarc-concurrent-to:<c>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    ((headers, block),) = warc.parse_records(data)
+    assert headers["warc-concurrent-to"] == ["<b>", "<c>"] and bytes(block) == b"ok"
+    urls = ["http://a/x y", "http://a/\r\nWARC-Type: x", " http://b/\t ", None, "http://c/" + "p" * 70_000, ""]
+    path = common.shared_dir(spark)
+    warc.write_warc(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, html string"), path)
+    got = [r.target_uri for r in warc.read_records(spark, path).filter("type = 'response'").collect()]
+    assert sorted(got, key=str) == sorted(["http://a/x y", "http://a/%0D%0AWARC-Type: x", "%20http://b/%09%20", None, urls[4], ""], key=str)
+
+
+def test_warc_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 6000)
+    rows = [(i, "u", chr(97 + i % 26) * (2000 + i if i % 2 else 10)) for i in range(40)]
+    path = common.shared_dir(spark)
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    sizes = [sum(len(b) for _, b in warc.parse_records(warc._gunzip(bytes(f.content)))) for f in files]
+    assert len(files) > 8 and max(sizes) < 12_000
+    assert warc.read_records(spark, path).count() == 120
 
 
 # --- 4 mixing
@@ -315,7 +339,7 @@ def test_nearest(spark, sure):
     good, odd = vectors()
     for rows in (good, good[:9]):
         got = collections.defaultdict(list)
-        for r in search.nearest(table_of(spark, rows + odd), k=12, every=20, sure=sure, block_rows=64, query_rows=5).orderBy("query_id", "rank").collect():
+        for r in search.nearest(table_of(spark, rows + odd), k=12, every=20, sure=sure, cell_rows=64, query_rows=5).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.rank, r.vec_id, r.score))
         hit = total = 0
         for q, v in rows:
@@ -360,7 +384,9 @@ def test_token_store(spark):
     chunks = spark.read.parquet(f"{path}/chunks")
     stored, whole = chunks.agg(F.sum("n")).first()[0], start
     assert chunks.count() == chunks.select("digest").distinct().count() and stored < whole
-    assert spark.read.parquet(f"{path}/manifest").agg(F.sum("docs"), F.sum("ids")).first()[:] == (len(rows), start)
+    tree = spark.read.parquet(f"{path}/manifest")
+    assert tree.filter("level = 0").agg(F.sum("docs"), F.sum("ids")).first()[:] == (len(rows), start)
+    assert tree.filter(F.col("level") == tree.agg(F.max("level")).first()[0]).count() == 1
     path = common.shared_dir(spark)
     store.write_store(docs(spark, rows).limit(0), path)
     assert store.read_store(spark, path).collect() == []
@@ -374,6 +400,38 @@ def test_store_sees_damage(spark):
     assert [r.verified for r in store.read_store(spark, path).collect()] == [False, False]
 
 
+def test_store_sees_lost_and_added_files(spark, monkeypatch):
+    """Lost recipe files, recipes of another store, a lost manifest and lost chunk files don't go unnoticed."""
+    import glob
+    import shutil
+
+    monkeypatch.setattr(store, "SPAN_BITS", 4)
+    monkeypatch.setattr(store, "FAN_BITS", 2)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 7 + 1))) for i in range(60)]
+    path, other = common.shared_dir(spark), common.shared_dir(spark)
+    store.write_store(docs(spark, rows), path)
+    store.write_store(docs(spark, [(99, "one more")]), other)
+    local = path.removeprefix("file://")
+    assert spark.read.parquet(f"{path}/manifest").agg(F.max("level")).first()[0] >= 2
+    assert store.read_store(spark, path).filter("verified").count() == 60
+    for what in ("lost recipes", "more recipes", "no manifest"):
+        shutil.copytree(local, f"{local}-x")
+        if what == "lost recipes":
+            os.remove(next(f for f in glob.glob(f"{local}-x/recipes/part-*") if spark.read.parquet(f"file://{f}").count()))
+        elif what == "more recipes":
+            shutil.copy(next(f for f in glob.glob(f"{other.removeprefix('file://')}/recipes/part-*") if spark.read.parquet(f"file://{f}").count()), f"{local}-x/recipes/part-extra.parquet")
+        else:
+            for f in glob.glob(f"{local}-x/manifest/part-*"):
+                os.remove(f)
+        with pytest.raises(store.StoreDamaged):
+            store.read_store(spark, f"{path}-x")
+        shutil.rmtree(f"{local}-x")
+    lost = next(f for f in glob.glob(f"{local}/chunks/part-*") if spark.read.parquet(f"file://{f}").count())
+    n = spark.read.parquet(f"file://{lost}").count()
+    os.remove(lost)
+    assert n and store.read_store(spark, path).filter("not verified").count() >= 1
+
+
 def test_joined_crc():
     parts = [os.urandom(n) for n in (1, 0, 7, 5000, 64)]
     assert store.crc_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
@@ -500,3 +558,84 @@ def test_jaccard_stage_keeps_one_row_of_each_group(spark):
     assert got.columns == df.columns
     want = [(1, copied), (2, single), (None, "n1 n2 n3 n4 n5 n6 n7"), (5, None), (5, "")]
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+
+
+CLASH = ("_tox_id", "_mix_id", "_mix_source", "_mix_th", "_mix_times", "_mix_copy", "_row", "_gone", "row", "g_row", "h", "component_id", "c", "first", "n", "rep", "k", "f")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from cloakframe.llm.bpe import bpe_stage
+    from cloakframe.llm.toxicity import toxicity_stage
+
+    texts = [" ".join(f"a{i}b{k}" for k in range(20)) for i in range(12)]
+    rows = [*enumerate(texts), (20, texts[3]), (None, texts[4]), (3, texts[3]), (30, None), (31, "")]
+    df = docs(spark, rows, **dict.fromkeys(CLASH))
+    for stage, ids in ((toxicity_stage, None), (jaccard.jaccard_stage, 14), (mixing.mix_stage, None)):
+        got = stage(spark, df, SF)
+        out = got.collect()
+        assert got.columns == df.columns and all(r[name] == "clash" for r in out for name in CLASH)
+        assert ids is None or len(out) == ids
+        assert stage(spark, df.limit(0), SF).collect() == []
+    assert bpe_stage(spark, df, SF).count() == 17 and bpe_stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_vectors_of_tiny_and_huge_components(spark):
+    """All are finite and not zero, so all take part."""
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, [float(c) for c in v * (1e-200 if i % 3 == 0 else 1e150 if i % 3 == 1 else 1.0)]) for i, v in enumerate(x)]
+    got = collections.defaultdict(list)
+    for r in search.nearest(table_of(spark, rows), k=5, every=20, sure=None, cell_rows=16).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in (0, 20, 40):
+        want = sorted(((-float(np.dot(np.array(v), np.array(rows[q][1]))), i) for i, v in rows if i != q))[:5]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-s, rel=1e-12)) for s, i in want], q
+    near = rows + [(100 + i, [c * 7 for c in v]) for i, v in rows if i % 3 < 2]
+    out = {r.vec_id: r for r in neardup_vectors.near_duplicates(table_of(spark, near)).collect()}
+    assert all(out[100 + i].component_id == i for i in range(60) if i % 3 < 2)
+
+
+def test_recall_of_nearest_as_shipped(spark):
+    """All rows of embeddings, with the query's own settings and with small cells, against brute force."""
+    df = common.table(spark, SF.replace("0.001", "0.01"), "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    for more in ({}, {"cell_rows": 64}):
+        got = collections.defaultdict(set)
+        for r in search.nearest(df, **more).collect():
+            got[r.query_id].add(r.vec_id)
+        hit = total = 0
+        for q in np.flatnonzero(ids % 20 == 0):
+            s = x @ x[q]
+            best = [int(ids[i]) for i in np.lexsort((ids, -s)) if i != q][:20]
+            hit, total = hit + len(got[int(ids[q])] & set(best)), total + len(best)
+        assert hit >= 0.95 * total
+
+
+def test_piece_splitter_agrees_with_the_library():
+    """The quick path of the store's encoder against the library on odd strings."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(37)
+    alphabet = "abcXYZ019'’ \n\t.,;:!?-_<|>éÉßöÜñ\u0130\u0301\u00a0\u00ad\u2019\u2026日😀\x85\x1c#%"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(1500)] + ["don't I'LL we've 'S 's", "<|endoftext|>", "a" * 3000]
+    got = store.encode_packed(texts, path)
+    for x, raw in zip(texts, got):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    class Context:
+        master, applicationId = "yarn", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
