@@ -221,8 +221,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> pa.Table:
-    """The examples in the order of their ids: (id, toxic, terms, counts), the words and their counts in the whole text.
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[np.ndarray, ...]:
+    """(ids, toxic, first, size, terms, counts) of the examples in the order of their ids: hashes of the words in the whole text
+    and how often they occur, example by example from first on.
 
     Examples are labelled documents that aren't held out; where there are more, those with the smallest hash of the id.
     A document with several labels is toxic if any says so.
@@ -239,7 +240,16 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> pa.Ta
             rows = [hashed(text.as_py()) for text in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([h for h, _ in rows], pa.list_(pa.int64())), pa.array([n for _, n in rows], pa.list_(pa.int32()))], names=["id", "toxic", "h", "terms", "counts"])
 
-    return got.mapInArrow(count, "id bigint, toxic int, h bigint, terms array<bigint>, counts array<int>").toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
+    rows = got.mapInArrow(count, "id bigint, toxic int, h bigint, terms array<bigint>, counts array<int>").toArrow()
+    joined = lambda name, kind: np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks] or [np.zeros(0, kind)])
+    size = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in rows["counts"].chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
+    terms, counts = joined("terms", np.int64), joined("counts", np.int32)
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    ids, toxic, h = (rows[c].to_numpy() for c in ("id", "toxic", "h"))
+    del rows  # the driver holds one copy
+    pa.default_memory_pool().release_unused()
+    order = np.lexsort((h, ids))
+    return ids[order], toxic[order], (np.cumsum(size) - size)[order], size[order], terms, counts
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -257,10 +267,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     The text pass and the scoring need no shuffle of texts; the model is broadcast and bounded by the examples' texts.
     """
     spark = docs.sparkSession
-    sample = learn(docs, labels, examples).combine_chunks()
-    toxic, size = sample["toxic"].to_numpy(), sample["counts"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    vocabulary, codes = np.unique(sample["terms"].combine_chunks().flatten().to_numpy(), return_inverse=True)
-    codes, tf = codes.astype(np.int32), sample["counts"].combine_chunks().flatten().to_numpy()
+    ids, toxic, first, size, terms, tf = learn(docs, labels, examples)
+    vocabulary = np.unique(terms)
+    codes = np.concatenate([np.searchsorted(vocabulary, terms[lo : lo + (1 << 20)]).astype(np.int32) for lo in range(0, len(terms), 1 << 20)] or [np.zeros(0, np.int32)])
+    del terms
     vocabulary_b = spark.sparkContext.broadcast(vocabulary)  # sorted hashes: 8 bytes a word of the examples
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +298,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     if len(toxic):
         base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
         n = np.bincount(codes, minlength=len(df))
-        k = np.bincount(codes, np.repeat(toxic, size), minlength=len(df))
+        of_toxic = [codes[a : a + m] for a, m, y in zip(first, size, toxic) if y]
+        k = np.bincount(np.concatenate([codes[:0], *of_toxic]), minlength=len(df)).astype(float)
         gain = k * np.log(np.maximum(k, 1) / n / base) + (n - k) * np.log(np.maximum(n - k, 1) / n / (1 - base))
-        ends = np.cumsum(size)
         some = np.nonzero(size)[0]
-        scorer = Scorer((np.log((1 + total) / (1 + df)) + 1) * (1 + np.maximum(gain - CHANCE, 0)), math.log((1 + total) / 2) + 1, [(codes[ends[i] - size[i] : ends[i]], tf[ends[i] - size[i] : ends[i]]) for i in some], sample["id"].to_numpy()[some].tolist(), toxic[some].tolist())
+        scorer = Scorer((np.log((1 + total) / (1 + df)) + 1) * (1 + np.maximum(gain - CHANCE, 0)), math.log((1 + total) / 2) + 1, [(codes[first[i] : first[i] + size[i]], tf[first[i] : first[i] + size[i]]) for i in some], ids[some].tolist(), toxic[some].tolist())
         empty = toxic[size == 0]
         none = float((empty.sum() + scorer.base) / (len(empty) + 1))
         model = spark.sparkContext.broadcast(scorer)
