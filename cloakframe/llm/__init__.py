@@ -1 +1 @@
-"""Training-data operators: licence scan, toxicity, archives, mixing, tokenising, near-duplicates, search, URL filter."""
+"""Training-data operators: licence scan, toxicity, archives, mixing, tokenising, near-duplicates, search, URL filter, encoding, packing, infilling."""

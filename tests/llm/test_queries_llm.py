@@ -18,8 +18,8 @@ def test_query_matches_sql(spark, name):
     compare(spark, name, QUERIES[name], ORACLES[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
