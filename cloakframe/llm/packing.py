@@ -95,8 +95,8 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
     A sequence holds at most `tokens` tokens, `documents` pieces (None: as many as tokens) and `attention` cost, the sum of
     its pieces' squared lengths (None: that of one full piece); offsets are gapless from 0. Pieces of full length are
     sequences of their own; the others are dealt into shares of about `share`, and each share is packed by best_fit() in a
-    task. Then all sequences that could still take another's pieces are packed again, as whole items, until they are
-    one share or a round saves less than one in a hundred. A piece over one limit alone is an error. No rows give no rows.
+    task. Then the pieces of all sequences that have room for the smallest sequence are dealt and packed again, until they
+    are one share or a round saves less than one in a hundred of these sequences; a round that saves none is dropped. A piece over one limit alone is an error. No rows give no rows.
     """
     capacity = (tokens, documents or tokens, attention or tokens**2)
     most = min(tokens, math.isqrt(capacity[2]))
@@ -105,27 +105,29 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
         raise ValueError(f"a piece has {low if low < 1 else high} tokens; each must have 1 to {most}")
     full = pieces.filter(F.col("length") == tokens).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < tokens).select("item", F.col("length").cast("long").alias("tokens"), F.lit(1).cast("long").alias("documents"), (F.col("length").cast("long") * F.col("length")).alias("attention"))
-    placed = _pack_shares(items, capacity, rule, share, 0).withColumnRenamed("before", "offset")
-    sizes = items.withColumnRenamed("item", "i_item")
-    bins = written(placed.join(sizes, F.col("item") == F.col("i_item")).groupBy("sequence_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "documents", "attention")]))
+    placed = _pack_shares(items, capacity, rule, share, 0)
+    names = ("tokens", "documents", "attention")
     for n in range(1, ROUNDS + 1):
-        least = bins.agg(*[F.min(c) for c in ("tokens", "documents", "attention")], F.count("*")).first()
-        if least[3] <= 1:
-            break
-        room = F.lit(True)
-        for c, x, cap in zip(("tokens", "documents", "attention"), least, capacity):
-            room = room & (F.col(c) + x <= cap)
-        open_ = bins.filter(room).withColumnRenamed("sequence_id", "item")
+        each = placed.join(items.withColumnRenamed("item", "i_item"), F.col("item") == F.col("i_item")).drop("i_item")
+        bins = written(each.groupBy("sequence_id").agg(*[F.sum(c).alias(c) for c in names]))
+        least = bins.agg(*[F.min(c) for c in names]).first()
+        room = F.lit(least[0] is not None)
+        for c, x, cap in zip(names, least, capacity):
+            room = room & (F.col(c) + F.lit(x) <= cap)
+        open_ = bins.filter(room).select(F.col("sequence_id").alias("open"))
         was = open_.count()
         if was < 2:
             break
-        moved = _pack_shares(open_, capacity, rule, share, n << 56).withColumnRenamed("sequence_id", "to")
-        m = moved.select(F.col("item").alias("from"), "to", "before")
-        on = F.col("sequence_id") == F.col("from")
-        placed = placed.join(m, on, "left").select("item", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("before", F.lit(0))).alias("offset"))
-        bins = written(bins.join(m, on, "left").groupBy(F.coalesce("to", "sequence_id").alias("sequence_id")).agg(*[F.sum(c).alias(c) for c in ("tokens", "documents", "attention")]))
-        if was <= share or moved.select("to").distinct().count() > 0.99 * was:
+        again = written(each.join(open_, F.col("sequence_id") == F.col("open"), "left_semi").select("item", *names))
+        moved = _pack_shares(again, capacity, rule, share, n << 56)
+        now = moved.select("sequence_id").distinct().count()
+        if now >= was:
+            break
+        kept = placed.join(open_, F.col("sequence_id") == F.col("open"), "left_anti")
+        placed = written(kept.unionByName(moved))
+        if now > 0.99 * was or again.count() <= share:
             break
+    placed = placed.withColumnRenamed("before", "offset")
     return full.unionByName(placed)
 
 

@@ -130,7 +130,7 @@ def check_packing(rows, got, tokens, documents=None, attention=None):
 
 def test_packing_whole_documents(spark):
     rows = [(1, None), (2, ""), (3, "word " * 9000), (3, "word " * 9000), (None, "a b"), (None, "c"), (5, "word " * 4095), (6, "x " * 4094)] + [(i + 100, x) for i, x, _ in sample(100)]
-    got = packing.pack_documents(docs(spark, rows, "length", "item", "sequence_id", "share")).collect()
+    got = packing.pack_documents(docs(spark, rows, length=1, item=1, sequence_id=1, share=1)).collect()
     n = check_packing(rows, got, packing.TOKENS)
     assert n <= -(-sum(r.length for r in got) // packing.TOKENS) + 1
     assert packing.pack_documents(docs(spark, rows).limit(0)).collect() == []
@@ -183,9 +183,9 @@ def test_best_fit_is_near_the_fewest_bins(rule):
 
 
 def test_sequences_with_room_are_packed_again(spark):
-    """Shares of eight leave open sequences, which later rounds join."""
+    """Each share leaves an open sequence; their pieces are packed again."""
     rows = [(i, "a " * 23) for i in range(96)]
-    got = packing.pack_documents(docs(spark, rows), tokens=240, share=8).collect()
+    got = packing.pack_documents(docs(spark, rows), tokens=240, share=40).collect()
     assert check_packing(rows, got, 240) == 10  # ten of 24 tokens each fill a sequence
 
 
@@ -218,7 +218,7 @@ ODD = [(1, None), (2, ""), (3, "a"), (4, "\r\n\n a<P>b"), (5, "é😀 x́y\x00z"
 def test_fill_in_middle_against_brute_force(spark, step):
     """Small steps split the long texts block by block, with letters alone over many blocks."""
     rows = ODD + [(i + 100, x) for i, x, _ in sample(60 if step > 99 else 12)]
-    got = infill.fill_in_middle(docs(spark, rows, "output", "form"), step=step).collect()
+    got = infill.fill_in_middle(docs(spark, rows, output=1, form=1), step=step).collect()
     assert collections.Counter(tuple(r) for r in got) == collections.Counter(infilled_brute(i, x) for i, x, *_ in rows)
     assert infill.fill_in_middle(docs(spark, rows).limit(0)).collect() == []
 
