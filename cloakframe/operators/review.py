@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..functions.matching import Prepared, find_term, fold
+from ..functions.matching import Prepared, fold, term_index
 
 
 def folded(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -34,7 +34,8 @@ def seeds(findings: DataFrame) -> DataFrame:
 def match_terms(pages: DataFrame, terms: DataFrame, fuzzy: bool = True, on: str = "doc_id") -> DataFrame:
     """Matches of each page's own terms: pages (doc_id, page, text), terms (doc_id, term, field_type); rows (doc_id, page, term, field_type, start, end, how).
 
-    Terms meet their document's pages by an equi join, gathered into one list a document; a page is folded once for all.
+    Terms meet their document's pages by an equi join, gathered into one list a document, which is indexed once for its
+    pages; a page is folded and looked through once, whatever the number of terms.
     """
     listed = terms.groupBy(on).agg(F.array_sort(F.collect_set(F.struct("term", "field_type"))).alias("terms"))
     j = pages.join(listed, on).select("doc_id", "page", "text", "terms")
@@ -44,8 +45,8 @@ def match_terms(pages: DataFrame, terms: DataFrame, fuzzy: bool = True, on: str
         for b in stream:
             rows = []
             for doc, page, text, ts in zip(*(c.to_pylist() for c in b.columns)):
-                ready = Prepared(text or "")
-                rows += [(doc, page, t["term"], t["field_type"], *hit) for t in ts for hit in find_term(ready, t["term"], t["field_type"], fuzzy)]
+                key = tuple((t["term"], t["field_type"]) for t in ts)
+                rows += [(doc, page, *key[k], *hit) for k, *hit in term_index(key, fuzzy).find(Prepared(text or ""))]
             types = [b.schema.types[0], b.schema.types[1], pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc_id", "page", "term", "field_type", "start", "end", "how"])
 
@@ -54,7 +55,7 @@ def match_terms(pages: DataFrame, terms: DataFrame, fuzzy: bool = True, on: str
 
 
 #: Terms of a list that goes with the plan, at most.
-MOST_TERMS = 1000
+MOST_TERMS = 50_000
 
 
 def match_common_terms(pages: DataFrame, terms: list[str], field_type: str = "confidential_term", fuzzy: bool = True) -> DataFrame:
@@ -62,13 +63,13 @@ def match_common_terms(pages: DataFrame, terms: list[str], field_type: str = "co
     if len(terms) > MOST_TERMS:
         raise ValueError(f"{len(terms)} terms: give them as a table to match_terms()")
     kind = pages.schema["doc_id"].dataType.simpleString()
+    key = tuple((t, field_type) for t in terms)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
             rows = []
             for doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                ready = Prepared(text or "")
-                rows += [(doc, page, t, *hit) for t in terms for hit in find_term(ready, t, field_type, fuzzy)]
+                rows += [(doc, page, terms[k], *hit) for k, *hit in term_index(key, fuzzy).find(Prepared(text or ""))]
             types = [b.schema.types[0], pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["doc_id", "page", "term", "start", "end", "how"])
 

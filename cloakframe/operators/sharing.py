@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.tables import written
+from . import sweep
 
 
 def grant_state(events: DataFrame) -> DataFrame:
@@ -72,34 +77,129 @@ def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
 
 
-#: Seconds that a grant may last, and live grants at most.
+#: Seconds that a grant may last, and grants at most that a store holds at a time.
 TTL, MOST_GRANTS = (1, 3600), 100
 
 
-def issue(requests: DataFrame, documents: DataFrame, findings: DataFrame, grants: DataFrame, most: int = MOST_GRANTS) -> DataFrame:
-    """The first reason against each request to share, or issued; with what stays hidden and the grants it replaces.
+def may_ask(requests: DataFrame, documents: DataFrame, findings: DataFrame) -> DataFrame:
+    """requests with refused: the first reason against each that doesn't depend on other requests, or null.
 
-    requests: request_id, doc_id, recipient, revision, selected_ids, reveal_ids, ttl, at; documents: doc_id, analysed,
-    current; findings: doc_id, finding_id; grants: token, g_doc, g_recipient, expires_at, revoked. Grants that have expired
-    don't count for the limit of `most`. Each request is judged against the grants as given.
+    requests: request_id, doc_id, revision, selected_ids, reveal_ids, ttl; documents: doc_id, analysed, current; findings:
+    doc_id, finding_id. Nulls in revision, ttl or documents count against the request.
     """
     asked = requests.select("request_id", "doc_id", F.explode(F.array_union("selected_ids", "reveal_ids")).alias("finding_id"))
     odd = asked.join(findings.select("doc_id", "finding_id").distinct(), ["doc_id", "finding_id"], "left_anti").groupBy("request_id").agg(F.count("*").alias("odd"))
-    moments = requests.select("at").distinct()
-    live = moments.join(grants.select("expires_at"), F.col("expires_at") > F.col("at"), "left").groupBy("at").agg(F.count("expires_at").alias("live"))
-    same = requests.select("request_id", "doc_id", "recipient", "at").join(grants, (F.col("doc_id") == F.col("g_doc")) & (F.col("recipient") == F.col("g_recipient")) & ~F.col("revoked") & (F.col("expires_at") > F.col("at")))
-    replaced = same.groupBy("request_id").agg(F.array_sort(F.collect_list("token")).alias("replaced"))
-    j = requests.join(documents, "doc_id", "left").join(odd, "request_id", "left").join(live, "at", "left").join(replaced, "request_id", "left")
-    outcome = (
-        F.when(~F.col("ttl").between(*TTL), "invalid_ttl")
+    j = requests.join(documents, "doc_id", "left").join(odd, "request_id", "left")
+    refused = (
+        F.when(~F.coalesce(F.col("ttl").between(*TTL), F.lit(False)), "invalid_ttl")
         .when(~F.coalesce(F.col("analysed") & (F.col("revision") == F.col("current")), F.lit(False)), "version_changed")
         .when(F.col("odd") > 0, "unknown_finding")
-        .when(F.col("live") >= most, "too_many_grants")
-        .otherwise("issued")
     )
-    gone = F.when(F.col("outcome") == "issued", F.coalesce("replaced", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    j = j.withColumn("outcome", outcome)
-    return j.select("request_id", "outcome", selection(F.col("selected_ids"), F.col("reveal_ids")).alias("hidden"), gone.alias("replaced"))
+    return j.withColumn("refused", refused).drop("analysed", "current", "odd")
+
+
+def crowded(requests: DataFrame, grants: DataFrame, most: int) -> DataFrame:
+    """requests with stretch (a number, in order of time within its store) and full: whether grants could reach the limit in it.
+
+    Were every request issued, a store's live grants at a moment would be a running sum over starts and ends. Where it falls
+    to nothing, a new stretch begins: what comes after doesn't depend on what came before. Where it never exceeds `most`
+    within a stretch, each request of it is issued, whatever the others; only full stretches need their order.
+    """
+    held = grants.select("store", F.lit(None).cast("timestamp").alias("starts"), F.col("expires_at").alias("ends"))
+    new = requests.select("store", F.col("at").alias("starts"), (F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ttl"))).alias("ends"))
+    far = F.lit("0001-01-01").cast("timestamp")
+    both = held.unionByName(new)
+    up, down = both.select("store", F.coalesce("starts", far).alias("at"), F.lit(1).alias("n")), both.select("store", F.col("ends").alias("at"), F.lit(-1).alias("n"))
+    steps = up.unionByName(down).groupBy("store", "at").agg(F.sum("n").alias("n"))
+    live = written(sweep.running(steps, ["store"], ["at"], "n", "live"))
+    # The moments at which nothing is left are the ends of stretches: a moment's stretch is how many came before.
+    ends = sweep.running(live.withColumn("ends", (F.col("live") == 0).cast("int")), ["store"], ["at"], "ends", "after").withColumn("stretch", F.col("after") - F.col("ends"))
+    ends = written(ends.select("store", "at", "live", "stretch"))
+    full = ends.groupBy("store", "stretch").agg((F.max("live") > most).alias("full"))
+    # An end and a start at one moment: the new grant begins a stretch of its own or goes on with what is still live.
+    at = ends.select(F.col("store").alias("e_store"), F.col("at").alias("e_at"), "stretch")
+    j = requests.join(at, F.col("store").eqNullSafe(F.col("e_store")) & (F.col("at") == F.col("e_at"))).drop("e_store", "e_at")
+    f = full.select(F.col("store").alias("f_store"), F.col("stretch").alias("f_stretch"), "full")
+    return j.join(f, F.col("store").eqNullSafe(F.col("f_store")) & (F.col("stretch") == F.col("f_stretch"))).drop("f_store", "f_stretch")
+
+
+def admit(requests: DataFrame, grants: DataFrame, most: int = MOST_GRANTS) -> DataFrame:
+    """requests (store, request_id, at, seq, ttl and more) with issued: whether fewer than `most` grants of the store were live.
+
+    In order of at and seq, each issued request holds a place until it expires, as do grants (store, expires_at) from
+    before; a revoked grant holds its place until then, too. A stretch in which the limit can't be reached needs no
+    order; in a full one the requests stream, in order, past the at most `most` ends of live grants.
+    """
+    marked = written(crowded(requests, grants, most))
+    key = ["store", "stretch"]
+    held = grants.select("store", F.lit(0).cast("bigint").alias("stretch"), F.lit(None).cast("string").alias("request_id"), F.lit(0).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("seq"), F.unix_micros("expires_at").alias("until"))
+    asked = marked.filter("full").select(*key, "request_id", F.unix_micros("at").alias("t"), F.col("seq").cast("bigint").alias("seq"), (F.unix_micros("at") + F.col("ttl") * 1_000_000).alias("until"))
+    some = marked.filter("full").select(*key).distinct().withColumnsRenamed({"store": "k_store", "stretch": "k_stretch"})
+    held = held.join(some, F.col("store").eqNullSafe(F.col("k_store")) & (F.col("stretch") == F.col("k_stretch")), "left_semi")
+
+    def step(ends: list[int], row: dict) -> Iterator[tuple]:
+        if row["request_id"] is None:
+            heapq.heappush(ends, row["until"])
+            return
+        while ends and ends[0] <= row["t"]:
+            heapq.heappop(ends)
+        ok = len(ends) < most
+        if ok:
+            heapq.heappush(ends, row["until"])
+        yield row["request_id"], ok
+
+    told = sweep.folded_in_order(held.unionByName(asked), key, [F.col("request_id").isNotNull(), "t", "seq", "request_id"], "request_id string, issued boolean", list, step)
+    told = told.select(F.col("request_id").alias("t_id"), "issued")
+    return marked.join(told, F.col("full") & (F.col("request_id") == F.col("t_id")), "left").withColumn("issued", F.coalesce("issued", F.lit(True))).drop("t_id", "stretch", "full")
+
+
+def issue(requests: DataFrame, documents: DataFrame, findings: DataFrame, grants: DataFrame, most: int = MOST_GRANTS) -> DataFrame:
+    """The first reason against each request to share on its own, or issued; with what stays hidden and the grants it replaces.
+
+    requests: request_id, doc_id, recipient, revision, selected_ids, reveal_ids, ttl, at; documents and findings: see
+    may_ask(); grants: token, g_doc, g_recipient, expires_at, revoked. Grants that have expired don't count for the limit of
+    `most`. Each request is judged against the grants as given, as if it were the only one; see issue_in_order().
+    """
+    j = may_ask(requests, documents, findings)
+    moments = requests.select("at").distinct()
+    live = sweep.live_at(moments, grants.select(F.lit(None).cast("timestamp").alias("starts"), F.col("expires_at").alias("ends")), [])
+    same = requests.select("request_id", "doc_id", "recipient", "at").join(grants, (F.col("doc_id") == F.col("g_doc")) & (F.col("recipient") == F.col("g_recipient")) & ~F.col("revoked") & (F.col("expires_at") > F.col("at")))
+    replaced = same.groupBy("request_id").agg(F.array_sort(F.collect_list("token")).alias("replaced"))
+    j = j.join(live, "at", "left").join(replaced, "request_id", "left")
+    outcome = F.coalesce("refused", F.when(F.col("live") >= most, "too_many_grants").otherwise("issued"))
+    none = F.array().cast("array<string>")
+    gone = F.when(F.col("outcome") == "issued", F.coalesce("replaced", none)).otherwise(none)
+    return j.withColumn("outcome", outcome).select("request_id", "outcome", selection(F.col("selected_ids"), F.col("reveal_ids")).alias("hidden"), gone.alias("replaced"))
+
+
+def issue_in_order(requests: DataFrame, documents: DataFrame, findings: DataFrame, grants: DataFrame, most: int = MOST_GRANTS) -> DataFrame:
+    """issue(), with each request seeing the grants that earlier ones were given.
+
+    requests: request_id, doc_id, recipient, revision, selected_ids, reveal_ids, ttl, at, and, where they have them, store
+    (whose limit counts; one for all otherwise) and seq (order within a moment; otherwise request_id's). documents and
+    findings: see may_ask(). grants from before: token, g_doc, g_recipient, expires_at, revoked, and store like requests.
+
+    Requests are judged in order: each sees the grants that earlier ones were issued, so the one after the `most`th live
+    grant of a store is refused; see admit(). An issued grant replaces those of the same document and recipient that are
+    live and not revoked: from before, or the last one issued, whose token is its request_id.
+    """
+    if "store" not in requests.columns:
+        requests, grants = requests.withColumn("store", F.lit(0)), grants.withColumn("store", F.lit(0))
+    if "seq" not in requests.columns:
+        requests = requests.withColumn("seq", F.lit(0))
+    judged = written(may_ask(requests, documents, findings))
+    some = admit(judged.filter("refused is null").select("store", "request_id", "at", "seq", "ttl"), grants, most).select(F.col("request_id").alias("a_id"), "issued")
+    j = written(judged.join(some, F.col("request_id") == F.col("a_id"), "left").drop("a_id").withColumn("outcome", F.coalesce("refused", F.when(F.col("issued"), "issued").otherwise("too_many_grants"))))
+    until = F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ttl"))
+    order = Window.partitionBy("doc_id", "recipient").orderBy("at", "seq", "request_id")
+    own = j.filter("outcome = 'issued'").withColumn("until", until).withColumn("last", F.lag(F.struct("request_id", "until")).over(order))
+    own = written(own.select("request_id", "doc_id", "recipient", "at", "last"))
+    g = grants.filter(~F.col("revoked")).select("token", F.col("g_doc"), F.col("g_recipient"), "expires_at")
+    old = own.filter("last is null").join(g, (F.col("doc_id") == F.col("g_doc")) & (F.col("recipient") == F.col("g_recipient")) & (F.col("expires_at") > F.col("at"))).groupBy("request_id").agg(F.array_sort(F.collect_list("token")).alias("replaced"))
+    new = own.filter(F.col("last.until") > F.col("at")).select("request_id", F.array("last.request_id").alias("replaced"))
+    none = F.array().cast("array<string>")
+    got = j.join(old.unionByName(new).withColumnRenamed("request_id", "r_id"), F.col("request_id") == F.col("r_id"), "left")
+    return got.select("request_id", "outcome", selection(F.col("selected_ids"), F.col("reveal_ids")).alias("hidden"), F.coalesce("replaced", none).alias("replaced"))
 
 
 def identity(requests: DataFrame, runs: DataFrame, sessions_: DataFrame) -> DataFrame:

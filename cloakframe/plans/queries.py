@@ -887,6 +887,46 @@ def escaped_pages(spark, sf):
     return p.select("page_id", F.md5(exprs.html_escaped(F.col("html"))).alias("escaped"), exprs.valid_region(F.col("page_id") % 50, F.col("url"), F.col("html")).alias("valid"))
 
 
+def _words(spark, sf) -> list[str]:
+    """The long words of the benchmark's texts, a list that goes with the plan; more than it may hold is an error there."""
+    w = _t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 8).distinct()
+    return sorted(r.w for r in w.limit(review.MOST_TERMS + 1).collect())
+
+
+@query(r"""
+with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) t from benchmark), u as (select t from t where length(t) >= 8),
+e as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from documents) group by all),
+f as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[''-][\p{L}\p{N}_]+)*')) w from documents) group by all),
+v as (select distinct w from f where regexp_full_match(w, '[\p{L}''-]+') and length(w) >= 7),
+dt as (select t, unnest(list_append(list_transform(range(1, length(t) + 1), lambda i: t[1:i - 1] || t[i + 1:]), t)) d from u),
+dv as (select w, unnest(list_append(list_transform(range(1, length(w) + 1), lambda i: w[1:i - 1] || w[i + 1:]), w)) d from v),
+p as (select distinct w, t, list_filter(range(1, length(t) + 1), lambda i: t[i] <> w[i]) x from dt join dv using (d) where w <> t and abs(length(w) - length(t)) <= 1),
+near as (select w, t from p where length(w) <> length(t) or len(x) = 1 or len(x) = 2 and x[2] = x[1] + 1 and t[x[1]] = w[x[2]] and t[x[2]] = w[x[1]])
+select doc_id, t as term, 'exact' as how, n::bigint as n from e join u on w = t
+union all select doc_id, t, 'fuzzy', sum(n)::bigint from f join near using (w) group by all""")
+def many_term_matches(spark, sf):
+    """All long words of the benchmark looked for in the documents at once, exactly and but for one edit."""
+    return review.match_common_terms(_pages(spark, sf), _words(spark, sf)).groupBy("doc_id", "term", "how").agg(F.count("*").alias("n"))
+
+
+@query("""
+with recursive r as (select cast(o_orderkey as varchar) id, cast(o_custkey as bigint) store, timestamp '2024-01-01' + to_seconds((o_orderkey * 37) % 600) at_, 60 + o_orderkey % 300 ttl, o_orderkey seq, o_orderkey % 5 = 0 odd, o_custkey % 7 = 0 bad, cast(o_orderkey % 2 as varchar) recipient from orders),
+c as (select *, row_number() over (partition by store order by at_, seq) n from r where not odd and not bad),
+a as (select store, 0 as n, cast([] as timestamp[]) live, cast(null as varchar) id, false ok from (select distinct store from c) union all
+  select c.store, c.n, case when len(list_filter(a.live, lambda e: e > c.at_)) < 3 then list_append(list_filter(a.live, lambda e: e > c.at_), c.at_ + to_seconds(c.ttl)) else list_filter(a.live, lambda e: e > c.at_) end, c.id, len(list_filter(a.live, lambda e: e > c.at_)) < 3
+  from a join c on c.store = a.store and c.n = a.n + 1),
+i as (select c.*, lag(c.id) over w last_id, lag(c.at_ + to_seconds(c.ttl)) over w last_until from c join a on a.id = c.id where a.ok window w as (partition by c.store, c.recipient order by c.at_, c.seq))
+select r.id as request_id, case when r.bad then 'version_changed' when r.odd then 'unknown_finding' when i.id is null then 'too_many_grants' else 'issued' end as outcome, coalesce(case when i.last_until > i.at_ then i.last_id end, '') as replaced
+from r left join i using (id)""")
+def grant_admission(spark, sf):
+    """Requests to share, each of which sees the grants issued before it: a customer's fourth live one is refused."""
+    r = _t(spark, sf, "orders").selectExpr("cast(o_orderkey as string) AS request_id", "cast(o_custkey as bigint) AS doc_id", "cast(o_custkey as bigint) AS store", "cast(o_orderkey % 2 as string) AS recipient", "1 AS revision", "CASE WHEN o_orderkey % 5 = 0 THEN array('f', 'zz') ELSE array('f') END AS selected_ids", "array('f') AS reveal_ids", "cast(60 + o_orderkey % 300 as int) AS ttl", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, (o_orderkey * 37) % 600) AS at", "cast(o_orderkey as bigint) AS seq")
+    c = _t(spark, sf, "customer").selectExpr("cast(c_custkey as bigint) AS doc_id", "c_custkey % 7 <> 0 AS analysed", "1 AS current")
+    none = spark.createDataFrame([], "token string, store bigint, g_doc bigint, g_recipient string, expires_at timestamp, revoked boolean")
+    got = sharing.issue_in_order(r, c, c.select("doc_id", F.lit("f").alias("finding_id")), none, most=3)
+    return got.select("request_id", "outcome", F.array_join("replaced", ",").alias("replaced"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 

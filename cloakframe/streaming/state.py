@@ -60,3 +60,33 @@ def grants(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """What happens to each (doc_id, recipient)'s one live grant in a stream (doc_id, recipient, action, at, seq, ttl)."""
     keyed = events.withWatermark("at", late).groupBy("doc_id", "recipient")
     return keyed.applyInPandasWithState(_grant, GRANT, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def admissions(requests: DataFrame, most: int, late: str = "10 minutes") -> DataFrame:
+    """(store, request_id, issued) of a stream (store, request_id, at, seq, ttl), as operators.sharing.admit() gives in batch.
+
+    A store's state is the ends of its live grants, `most` at most. Requests are judged in order of at and seq within a
+    micro-batch and, across micro-batches, as they come; a timer drops the state of a store whose grants have all ended.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ends = sorted(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"store": [], "request_id": [], "issued": []})
+            return
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["at", "seq", "request_id"])
+        for name, at, ttl in zip(rows["request_id"], rows["at"], rows["ttl"]):
+            now = at.value // 1000
+            ends = [e for e in ends if e > now]
+            if ok := len(ends) < most:
+                ends.append(now + int(ttl) * 1_000_000)
+            out.append((key[0], name, ok))
+        state.update((ends,))
+        state.setTimeoutTimestamp(max(max(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["store", "request_id", "issued"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    keyed = requests.withWatermark("at", late).groupBy("store")
+    return keyed.applyInPandasWithState(judge, f"store {kinds['store']}, request_id {kinds['request_id']}, issued boolean", "ends array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
