@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.matching import Prepared, fold, term_index
+from . import sweep
 
 
 def folded(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -238,18 +239,16 @@ def json_size(blocks: DataFrame) -> DataFrame:
 def pack(items: DataFrame, budget: int = 16_000) -> DataFrame:
     """Adds batch (from 0) to (doc_id, ord, size): in order, a new batch where the next item would exceed the budget.
 
-    The sum starts anew with each batch, which no window sum does; the fold runs over a document's items.
+    The sum starts anew with each batch, which no window sum does: a document's items stream past two numbers.
     """
-    g = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("i"))
-    row = "struct<batch:int,used:bigint,out:array<struct<ord:bigint,size:bigint,batch:int>>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<ord:bigint,size:bigint,batch:int>>").alias("out")).cast(row)
 
-    def step(a, x):
-        new = (a["used"] > 0) & (a["used"] + x["size"] > budget)
-        batch = F.when(new, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(batch.alias("batch"), (F.when(new, F.lit(0)).otherwise(a["used"]) + x["size"]).cast("bigint").alias("used"), F.concat(a["out"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), x["size"].cast("bigint").alias("size"), batch.alias("batch")))).alias("out")).cast(row)
+    def step(state: list[int], row: dict) -> Iterator[tuple]:
+        if state[1] > 0 and state[1] + row["size"] > budget:
+            state[:] = [state[0] + 1, 0]
+        state[1] += row["size"]
+        yield row["ord"], row["size"], state[0]
 
-    return g.select("doc_id", F.explode(F.aggregate("i", start, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.ord", "x.size", "x.batch")
+    return sweep.folded_in_order(items.select("doc_id", "ord", "size"), ["doc_id"], ["ord", "size"], "ord bigint, size bigint, batch int", lambda: [0, 0], step)
 
 
 def groups(findings: DataFrame, mode: str = "category") -> DataFrame:

@@ -6,6 +6,7 @@ Spans are rows (doc_id, page, start, end, field_type, level, subcategory, detect
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import or_
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.detectors import GATES, REGISTRY
+from . import grid, sweep
 
 SPAN = "page int, start int, end int, field_type string, level string, subcategory string, detector string, reason string, ord int"
 
@@ -109,11 +111,28 @@ def number_tokens(mentions: DataFrame, known: DataFrame | None = None) -> DataFr
 
 
 def redact(pages: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Pages with each island (doc_id, page, start, end, label) replaced, from right to left; islands must not overlap."""
-    g = replaced.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label")), asc=False).alias("s"))
-    j = pages.join(g, ["doc_id", "page"], "left")
-    put = F.aggregate("s", F.col("text"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["label"], F.substring(t, x["end"] + 1, F.length(t))))
-    return j.select("doc_id", "page", F.coalesce(put, F.col("text")).alias("text"))
+    """Pages with each island (doc_id, page, start, end, label) replaced; islands must not overlap. A null label is [REDACTED].
+
+    A page's islands are put between its pieces in one pass, in the length of the page.
+    """
+    g = replaced.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("s"))
+    j = pages.join(g, ["doc_id", "page"], "left").select("doc_id", "page", "text", "s")
+    kinds = {f.name: f.dataType.simpleString() for f in j.schema}
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            texts = []
+            for text, islands_ in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if text is not None and islands_:
+                    parts, last = [], 0
+                    for x in islands_:
+                        parts += [text[last : x["start"]], "[REDACTED]" if x["label"] is None else x["label"]]
+                        last = x["end"]
+                    text = "".join([*parts, text[last:]])
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "page", "text"])
+
+    return j.mapInArrow(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, text string")
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -125,25 +144,37 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 def fold_export(spans: DataFrame) -> DataFrame:
     """The plain export's merge of (doc_id, page, start, end, entity_id, replacement): overlapping spans become one, which
     keeps its replacement only while each joined span is of the first one's entity, else [REDACTED]."""
-    items = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("o"), "entity_id", F.coalesce("replacement", F.lit("[REDACTED]")).alias("r"))))
-    g = spans.groupBy("doc_id", "page").agg(items.alias("i"))
-    row = "array<struct<start:int,end:int,r:string,entity_id:string>>"
+    place = F.struct("start", (-F.col("end")).alias("o"), "entity_id", F.coalesce("replacement", F.lit("[REDACTED]")).alias("r"))
+    order = Window.partitionBy("doc_id", "page").orderBy("place")
+    w = spans.withColumn("place", place).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    w = w.withColumn("new", (F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).cast("int"))
+    w = w.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    same = (F.min("entity_id") == F.max("entity_id")) & (F.count("entity_id") == F.count("*"))
+    g = w.groupBy("doc_id", "page", "island").agg(F.min("place").alias("first"), F.max("end").alias("end"), ((F.count("*") == 1) | F.coalesce(same, F.lit(False))).alias("one"))
+    return g.select("doc_id", "page", "first.start", "end", F.when(F.col("one"), F.col("first.r")).otherwise(F.lit("[REDACTED]")).alias("label"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.struct(x["start"].alias("start"), (-x["o"]).alias("end"), x["r"].alias("r"), x["entity_id"].alias("entity_id"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], -x["o"]).alias("end"), F.when(last["entity_id"] == x["entity_id"], last["r"]).otherwise(F.lit("[REDACTED]")).alias("r"), last["entity_id"].alias("entity_id"))
-        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh))).cast(row)
 
-    return g.select("doc_id", "page", F.explode(F.aggregate(F.col("i").cast("array<struct<start:int,o:int,entity_id:string,r:string>>"), F.array().cast(row), lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["start"].alias("start"), (-x["o"]).alias("end"), x["r"].alias("r"), x["entity_id"].alias("entity_id"))).cast(row)).otherwise(step(a, x)))).alias("s")).select("doc_id", "page", "s.start", "s.end", F.col("s.r").alias("label"))
+def longest_first(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans of a page the longest, then the leftmost, then the first by ord: a greedy choice, folded per page.
 
+    The kept spans of a page don't overlap, so a new one only has to be held against its two neighbours among them.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
 
-def longest_first(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans of a page the longest, then the leftmost, then the first by ord: a greedy choice, folded per page."""
-    items = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("l"), "start", "ord", "end")))
-    g = spans.groupBy("doc_id", "page").agg(items.alias("i"))
-    kept = F.aggregate("i", F.slice("i", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), a).otherwise(F.concat(a, F.array(x))))
-    return g.select("doc_id", "page", F.explode(kept).alias("x")).select("doc_id", "page", "x.start", "x.end", "x.ord")
+    def step(kept: tuple[list, list], row: dict) -> Iterator[tuple]:
+        starts, ends = kept
+        s, e = row["start"], row["end"]
+        k = bisect_right(starts, s)
+        if (k and s < ends[k - 1] and e > starts[k - 1]) or (k < len(starts) and e > starts[k]):
+            return
+        if s < e:  # an empty span hides nothing
+            starts.insert(k, s)
+            ends.insert(k, e)
+        yield s, e, row["ord"]
+
+    some = spans.select("doc_id", "page", "start", "end", "ord")
+    out = f"start {kinds['start']}, end {kinds['end']}, ord {kinds['ord']}"
+    return sweep.folded_in_order(some, ["doc_id", "page"], [F.col("start") - F.col("end"), "start", "ord"], out, lambda: ([], []), step)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, how: str, inside: bool, bin_size: int = 4096) -> DataFrame:
@@ -180,21 +211,27 @@ def coverage(targets: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def subtract(spans: DataFrame, holes: DataFrame) -> DataFrame:
-    """What is left of each span without the holes (doc_id, page, o_start, o_end), as rows."""
+    """What is left of each span without the holes (doc_id, page, o_start, o_end), as rows.
+
+    Before each hole, and before the span's end, lies a piece that begins where the holes so far have ended.
+    """
     keys = ["doc_id", "page", "start", "end"]
-    cut = overlap_join(spans, holes, "inner", inside=False).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o_start", "o_end"))).alias("h"))
-    j = spans.join(cut, keys, "left")
-    piece = "array<struct<a:int,b:int>>"
-    whole = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).cast(piece)
-    left = F.aggregate("h", whole, lambda acc, x: F.flatten(F.transform(acc, lambda p: F.array(F.struct(p["a"].alias("a"), F.least(p["b"], x["o_start"]).alias("b")), F.struct(F.greatest(p["a"], x["o_end"]).alias("a"), p["b"].alias("b"))))).cast(piece))
-    return j.withColumn("p", F.explode(F.filter(F.coalesce(left, whole), lambda p: p["a"] < p["b"]))).withColumns({"start": F.col("p.a"), "end": F.col("p.b")}).drop("p", "h")
+    each = spans.select(*keys).distinct()
+    cut = overlap_join(each, holes, "inner", inside=False).select(*keys, "o_start", "o_end")
+    cut = cut.unionByName(each.select(*keys, F.col("end").alias("o_start"), F.col("end").alias("o_end")))
+    order = Window.partitionBy(*keys).orderBy("o_start", "o_end")
+    cut = cut.withColumn("a", F.greatest("start", F.max("o_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))).withColumn("b", F.least("o_start", "end"))
+    pieces = cut.filter("a < b").select(*keys, "a", "b")
+    return spans.join(pieces, keys).withColumns({"start": F.col("a"), "end": F.col("b")}).drop("a", "b")
 
 
 def smallest_region(findings: DataFrame, regions: DataFrame, slack: float = 2.0) -> DataFrame:
     """Adds region_label: that of the smallest region with the centres of all the finding's boxes (array of x0, y0, x1, y1)."""
-    r = regions.select(F.col("doc_id").alias("r_doc"), F.col("page").alias("r_page"), F.col("label").alias("r_label"), "x0", "y0", "x1", "y1")
+    r = regions.select("doc_id", "page", F.col("label").alias("r_label"), "x0", "y0", "x1", "y1")
     inside = F.forall("boxes", lambda b: ((b["x0"] + b["x1"]) / 2).between(F.col("x0") - slack, F.col("x1") + slack) & ((b["y0"] + b["y1"]) / 2).between(F.col("y0") - slack, F.col("y1") + slack))
-    hit = findings.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("page") == F.col("r_page")) & (F.size("boxes") > 0) & inside)
+    first = lambda a, b: (F.col("boxes")[0][a] + F.col("boxes")[0][b]) / 2
+    centres = findings.filter(F.size("boxes") > 0).select("doc_id", "page", "finding_id", "boxes", first("x0", "x1").alias("x"), first("y0", "y1").alias("y"))
+    hit = grid.in_boxes(centres, r, ["doc_id", "page"], slack).filter(inside)
     best = hit.groupBy("finding_id").agg(F.min(F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), "r_label")).alias("b"))
     return findings.join(best, "finding_id", "left").withColumn("region_label", F.col("b.r_label")).drop("b")
 

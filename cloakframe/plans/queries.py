@@ -895,8 +895,8 @@ def _words(spark, sf) -> list[str]:
 
 @query(r"""
 with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) t from benchmark), u as (select t from t where length(t) >= 8),
-e as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from documents) group by all),
-f as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[''-][\p{L}\p{N}_]+)*')) w from documents) group by all),
+e as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) w from documents) group by all),
+f as (select doc_id, w, count(*) n from (select doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+(?:[''-][\p{L}\p{N}_]+)*')) w from documents) group by all),
 v as (select distinct w from f where regexp_full_match(w, '[\p{L}''-]+') and length(w) >= 7),
 dt as (select t, unnest(list_append(list_transform(range(1, length(t) + 1), lambda i: t[1:i - 1] || t[i + 1:]), t)) d from u),
 dv as (select w, unnest(list_append(list_transform(range(1, length(w) + 1), lambda i: w[1:i - 1] || w[i + 1:]), w)) d from v),
