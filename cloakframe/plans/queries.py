@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.detectors import terms as term_detector
-from ..operators import analysis, layout, quality, review, sharing, spans
+from ..operators import analysis, export, incremental, layout, quality, review, sharing, spans
 from ..sources.readers import manifest, pages_of, restore, token_keys
+from ..sources.tables import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -927,6 +928,73 @@ def grant_admission(spark, sf):
     return got.select("request_id", "outcome", F.array_join("replaced", ",").alias("replaced"))
 
 
+_LINE = int((fixed.PAGE_WIDTH - 2 * fixed.PAGE_MARGIN) * 1000 / fixed.FONT_SIZE)
+_CHAR_SQL = f"case when ascii(c) between 32 and 126 then ([{', '.join(fixed.HELVETICA.split())}])[ascii(c) - 31] when ascii(strip_accents(c)) between 32 and 126 then ([{', '.join(fixed.HELVETICA.split())}])[ascii(strip_accents(c)) - 31] else 556 end"
+
+
+@query(rf"""
+with recursive h as (select conv_id d, turn p, string_split(regexp_replace(coalesce(text, ''), '\n$', ''), chr(10)) ls from conversations),
+l as (select d, p, unnest(ls) t, unnest(range(len(ls))) hard from h),
+w as (select d, p, hard, unnest(ws) word, unnest(range(len(ws))) k from (select *, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') ws from l)),
+m as (select *, list_sum(list_transform(string_split(word, ''), lambda c: {_CHAR_SQL}))::bigint wd from w),
+r as (select d, p, hard, k, word, 0 ln, wd used from m where k = 0 union all
+  select m.d, m.p, m.hard, m.k, m.word, case when r.used + 278 + m.wd <= {_LINE} then r.ln else r.ln + 1 end, case when r.used + 278 + m.wd <= {_LINE} then r.used + 278 + m.wd else m.wd end
+  from r join m on m.d = r.d and m.p = r.p and m.hard = r.hard and m.k = r.k + 1),
+o as (select d, p, hard, ln, string_agg(word, ' ' order by k) t from r group by all union all select d, p, hard, 0, '' from l where not regexp_matches(t, '\S')),
+n as (select *, row_number() over (partition by d, p order by hard, ln) - 1 n from o)
+select d as doc_id, p as page, n // 57 + 1 as sheet, n % 57 + 1 as line, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') as html from n""")
+def reflowed_turns(spark, sf):
+    """Every turn of the conversations laid out on new pages, line by line."""
+    return export.reflow(pages_of(_t(spark, sf, "conversations"), "conv_id", "text", "turn")).drop("hard")
+
+
+def _layout(spark, sf):
+    """Turns as characters in rows of 80, with findings of seven characters, and labels for the first two of a turn."""
+    t = _t(spark, sf, "conversations").filter("length(text) > 0").selectExpr("conv_id AS doc_id", "cast(turn as int) AS page", "text")
+    c = t.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("text") - 1))).withColumn("char", F.substring("text", F.col("pos") + 1, F.lit(1))).withColumn("line", F.expr("cast(pos div 80 as int)"))
+    x, y = 40.0 + 6.0 * (F.col("pos") % 80), 40.0 + 12.0 * F.col("line")
+    boxed = F.col("char") != "\n"
+    c = c.select("doc_id", "page", "pos", "char", "line", *[F.when(boxed, v).alias(n) for n, v in (("x0", x), ("y0", y), ("x1", x + 6.0), ("y1", y + 10.0))])
+    f = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start", F.expr("cast((doc_id * 7 + page) % 50 + 40 * j as int)")).withColumn("end", F.col("start") + 7).filter("end <= length(text)")
+    f = f.select("doc_id", "page", "start", "end", F.element_at(F.array(*map(F.lit, ["person_name", "date", "email", "amount"])), F.col("j") + 1).alias("field_type"), F.concat_ws("-", "doc_id", "page", "j").alias("finding_id"), F.when(F.col("j") < 2, F.concat(F.lit("["), "j", F.lit("]"))).otherwise("").alias("label"))
+    return c, t.select("doc_id", "page", F.lit(595).alias("width"), F.lit(842).alias("height")), f
+
+
+@query(rf"""
+with t as (select conv_id d, turn::int p, text from conversations where length(text) > 0),
+c as (select d, p, i, substr(text, i + 1, 1) ch, i // 80 ln, 40.0 + 6 * (i % 80) x0, 40.0 + 12 * (i // 80) y0 from (select *, unnest(range(length(text))) i from t)),
+b as (select * from c where not regexp_matches(ch, '^[\s\p{{Z}}\x1c-\x1f\x85]$')),
+s as (select d, p, j, (d * 7 + p) % 50 + 40 * j a from (select *, unnest(range(4)) j from t) where (d * 7 + p) % 50 + 40 * j + 7 <= length(text)),
+x as (select b.*, j from b join s using (d, p) where i >= a and i < a + 7),
+f as (select d, p, j, ln, min(x0) x0, min(y0) y0, max(x0 + 6) x1, max(y0 + 10) y1 from x group by all),
+k as (select *, i - row_number() over (partition by d, p, ln order by i) run from c anti join x using (d, p, i) where ch <> chr(10)),
+r as (select d, p, ln, run, string_agg(ch, '' order by i) tx, min(x0) x0, min(y0) y0, max(x0 + 6) x1, max(y0 + 10) y1 from k group by d, p, ln, run),
+y as (select distinct d, p, ['Party', 'Date', 'Contact', 'Financial'][j + 1] cat, ['0072B2', 'E69F00', '56B4E9', 'CC79A7'][j + 1] col, [0, 1, 2, 3][j + 1] o from f),
+g as (select *, row_number() over (partition by d, p order by o) - 1 i, count(*) over (partition by d, p) n from y),
+e as (select d, p, 1 part, 'fill' kind, null tx, ['0072B2', 'E69F00', '56B4E9', 'CC79A7'][j + 1] col, x0, y0, x1, y1 from f union all
+ select d, p, 2, 'text', tx, null, x0, y0, x1, y1 from r where not regexp_full_match(tx, '[\s\p{{Z}}\x1c-\x1f\x85]*') union all
+ select d, p, 2, 'label', '[' || j || ']', null, x0, y0, x1, y1 from (select *, row_number() over (partition by d, p, j order by ln) q from f where j < 2) where q = 1 union all
+ select t.d, t.p, 0, 'page', null, null, 0, 0, 595, 842 + coalesce(any_value(18 + 16 * ceil(n / 4)), 0) from t left join g on t.d = g.d and t.p = g.p group by t.d, t.p union all
+ select d, p, 3, 'swatch', null, col, 12 + i % 4 * 135, 854 + i // 4 * 16, 21 + i % 4 * 135, 863 + i // 4 * 16 from g union all
+ select d, p, 3, 'legend', cat, null, 26 + i % 4 * 135, 854 + i // 4 * 16, 147 + i % 4 * 135, 863 + i // 4 * 16 from g)
+select d as doc_id, p as page, row_number() over (partition by d, p order by part, round(y0, 1), x0, kind, tx nulls first, x1, y1) as ord, kind, coalesce(tx, '') as text, coalesce(col, '') as colour, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from e""")
+def layout_commands(spark, sf):
+    """Every turn in its layout without its findings, as draw commands."""
+    c, sizes, f = _layout(spark, sf)
+    return export.original_layout(c, sizes, f, f.select("doc_id", "page", "start", "end", "label")).withColumns({"text": F.coalesce("text", F.lit("")), "colour": F.coalesce("colour", F.lit(""))})
+
+
+@query(ORACLES["detect_contacts_by_lang"])
+def cached_contacts(spark, sf):
+    """detect_contacts_by_lang() from stored results: the first run computes and stores them, the second reads them alone."""
+    path = shared_path(spark)
+    for _ in range(2):
+        found = incremental.detect_once(_pages(spark, sf), path, "contacts-1", ["contacts"])
+    found = spans.merge_duplicates(found.filter("field_type in ('email', 'phone')"))
+    lang = _t(spark, sf, "documents").select("doc_id", "lang")
+    return found.join(lang, "doc_id").groupBy("lang", "field_type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 

@@ -16,12 +16,11 @@ def _removed_at_exit(base: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table under spark.checkpoint.dir, which outlives lost executors and goes with the application.
+def shared_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir, in a folder that goes with the application.
 
     Where that setting is unset, a temporary folder serves on one machine (local[...]); on a cluster it is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,6 +29,11 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     own = f"{base.rstrip('/')}/cloakframe/{spark.sparkContext.applicationId}"
     _removed_at_exit(own)
-    path = f"{own}/{uuid.uuid4().hex}"
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, which outlives lost executors."""
+    path = shared_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
