@@ -21,32 +21,13 @@ def pages_of(df: DataFrame, id_col: str, text_col: str, page_col: str | None = N
 
 
 def read_text_files(spark: SparkSession, path: str, cap: int | None = None, pattern: str = "*.txt") -> DataFrame:
-    """One page per file; form feeds part pages. Files over `cap` bytes are left out (None: no cap)."""
+    """One page per file; form feeds part pages. A file over `cap` bytes (None: no cap) fails the query; see uploads.uploads(),
+    which gives the reason against each file instead."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    f = f if cap is None else f.filter(F.col("length") <= cap)
-    return f.select(F.col("path").alias("doc_id"), F.posexplode(F.split(F.decode("content", "utf-8"), "\f")).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page"), "text")
-
-
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """Needs a PDF library, which isn't part of the core: install one and give its pages as a table instead."""
-    try:
-        import pymupdf  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs pymupdf; the engine works on page tables without it") from e
-
-    def run(batches):
-        import pyarrow as pa
-        import pymupdf
-
-        for b in batches:
-            rows = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with pymupdf.open(stream=data, filetype="pdf") as doc:
-                    rows += [(name, i + 1, page.get_text()) for i, page in enumerate(doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, [pa.string(), pa.int32(), pa.string()])], names=["doc_id", "page", "text"])
-
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    return f.select("path", "content").mapInArrow(run, "doc_id string, page int, text string")
+    content = F.col("content")
+    if cap is not None:
+        content = F.when(F.col("length") <= cap, content).otherwise(F.raise_error(F.concat(F.lit(f"over {cap} bytes: "), "path")).cast("binary"))
+    return f.select(F.col("path").alias("doc_id"), F.posexplode(F.split(F.decode(content, "utf-8"), "\f")).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page"), "text")
 
 
 def saved_runs(spark: SparkSession, path: str) -> DataFrame:
