@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.detectors import terms as term_detector
-from ..operators import analysis, export, incremental, layout, quality, review, sharing, spans
+from ..operators import analysis, context_check as context_check_, export, incremental, layout, quality, review, sharing, spans
 from ..sources.readers import manifest, pages_of, restore, token_keys
 from ..sources.tables import shared_path
 
@@ -995,6 +995,31 @@ def cached_contacts(spark, sf):
     return found.join(lang, "doc_id").groupBy("lang", "field_type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+@query(r"""
+with t as (select conv_id d, turn p, text, 'P' || turn || 'B' || row_number() over (partition by conv_id order by turn) id, regexp_extract(text, '^[A-Za-z]{2,}') w, regexp_extract(text, '([A-Za-z]{2,})[^A-Za-z]*$', 1) z from conversations where length(text) > 0),
+o as (select d, case when d % 5 = 0 then 'not_acknowledged' when d % 7 = 0 then 'unverified_quotation' else 'ok' end outcome from t group by 1, 2),
+k as (select t.d, t.p, length(w) n, w from t join o on o.d = t.d where outcome = 'ok' and length(w) >= 2)
+select o.d as doc_id, o.outcome, coalesce(x.removed, 0)::bigint as removed, coalesce(x.kept, 0)::bigint as kept, coalesce(x.added, 0)::bigint as added
+from o left join (select t.d, count(*) filter (k.d is not null and t.p % 2 = 0) removed, count(*) filter (not (k.d is not null and t.p % 2 = 0)) kept, count(*) filter (k.d is not null and t.p % 2 = 1) added
+  from t join o on o.d = t.d left join k on k.d = t.d and k.p = t.p where o.outcome = 'ok' group by t.d) x on x.d = o.d""")
+def context_check(spark, sf):
+    """Every conversation checked in context: quotations of each turn's first word, some of which don't hold.
+
+    A finding covers the first word in even turns and the first two characters in odd ones (whose quotation is an addition).
+    """
+    t = _t(spark, sf, "conversations").filter("length(text) > 0").selectExpr("conv_id AS doc_id", "cast(turn as int) AS page", "text", "regexp_extract(text, '^[A-Za-z]{2,}', 0) AS w")
+    sent = context_check_.to_send(t.drop("w"))
+    first = sent.select("doc_id", "page", "batch", "id").join(t.select("doc_id", "page", "w"), ["doc_id", "page"])
+    told = F.struct(F.col("id").alias("block"), F.when(F.col("doc_id") % 7 == 0, F.lit("no such words")).otherwise(F.col("w")).alias("quote"), F.lit(1).alias("occurrence"), F.lit("business_secret").alias("kind"), F.lit("hide").alias("action"))
+    answers = first.groupBy("doc_id", "batch").agg(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("P0B0"))).otherwise(F.collect_list("id")).alias("reviewed"), F.filter(F.collect_list(F.when((F.length("w") >= 2) | (F.col("doc_id") % 7 == 0), told)), lambda x: x.isNotNull()).alias("spans"))
+    f = t.select("doc_id", "page", F.lit(0).alias("start"), F.when((F.length("w") >= 2) & (F.col("page") % 2 == 0), F.length("w")).otherwise(F.least(F.lit(1), F.length("text"))).alias("end"), F.lit("business_secret").alias("field_type"), F.array(F.lit(fixed.SECRECY)).alias("levels"), F.concat_ws("-", "doc_id", "page").alias("finding_id"), F.lit("model").alias("detector"), F.lit("r").alias("reason"), F.lit("review").alias("suggestion"), F.lit(True).alias("selected"), F.lit("unreviewed").alias("status"), F.lit("candidate").alias("signal"))
+    told, changes, additions = context_check_.check(t.drop("w"), f, answers, sent=sent)
+    c = changes.groupBy("doc_id").agg(F.count_if(F.col("action") == "remove").alias("removed"), F.count_if(F.col("action") == "keep").alias("kept"))
+    new = review.new_additions(additions, f.withColumn("protected", F.lit(False))).groupBy("doc_id").agg(F.count("*").alias("added"))
+    j = told.join(c, "doc_id", "left").join(new, "doc_id", "left")
+    return j.select("doc_id", "outcome", *[F.coalesce(x, F.lit(0).cast("bigint")).alias(x) for x in ("removed", "kept", "added")])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 
