@@ -48,7 +48,7 @@ def _leaf(folds: int, value: pa.Array, time: np.ndarray, fold: np.ndarray, n: np
         each = np.cumsum(each, axis=1)
         every = each.sum(axis=0)
         out.append(every[now] - every[begin] - each[fold, now] + each[fold, begin])
-    part = np.where(begin > 0, 0, np.where(now > 0, 1, 2)).astype(np.int8)
+    part = np.where(begin > 0, 0, np.where(now > 0, 1, 2)).astype(np.int64)
     return out[0], out[1], part, (int(begin[-1]), int(now[-1]))
 
 
@@ -90,13 +90,13 @@ def _leaves(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, apa
                 "first": _text(value, 0), "first_time": int(t[0]), "last": _text(value, len(t) - 1), "last_time": int(t[-1]),
                 "every": _per_fold(folds, f[begin:], cn[begin:], cs[begin:]), "tail": _per_fold(folds, f[now:], cn[now:], cs[now:]),
             }]
-            leaf = np.full(batch.num_rows, (pid << 32) + k, dtype=np.int64)
+            leaf = ((pid << 32) + k << 2) + part  # leaf and part in one column, as all of them move with the rows
             k += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(part), pa.array(got_n), pa.array(got_s), pa.array(told, summary)], names=[*names, f"{key}_leaf", f"{key}_part", f"{key}_n", f"{key}_s", f"{key}_told"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(got_n), pa.array(got_s), pa.array(told, summary)], names=[*names, f"{key}_leaf", f"{key}_n", f"{key}_s", f"{key}_told"])
 
-    more = f"`{key}_leaf` bigint, `{key}_part` tinyint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>>"
-    got = written(laid.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", " + more))
-    told = got.filter(F.col(f"{key}_told").isNotNull()).select(F.lit(key).alias("key"), F.col(f"{key}_leaf").alias("leaf"), f"{key}_told.*")
+    more = f"`{key}_leaf` bigint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>>"
+    got = written(laid.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", " + more), "snappy")
+    told = got.filter(F.col(f"{key}_told").isNotNull()).select(F.lit(key).alias("key"), F.shiftright(f"{key}_leaf", 2).alias("leaf"), f"{key}_told.*")
     return got.drop(f"{key}_told"), told
 
 
@@ -148,7 +148,7 @@ def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: s
     time is a timestamp or a whole number without nulls, fold 0 to folds - 1, n and s are long; null key values are one value;
     `apart` names columns that tell rows apart, by which ties spread. Each key's rows are put in its own merged time
     order; a leaf of that order counts its own rows, and the recursion over leaves, see earlier_leaves(), the rest. rows
-    must have no other columns named <key>_leaf, _part, _told, _n or _s. No rows give no rows.
+    must have no other columns named <key>_leaf, _told, _n or _s. No rows give no rows.
     """
     kept, told = rows.columns, []
     for key in keys:
@@ -157,9 +157,10 @@ def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: s
     base = earlier_leaves(reduce(DataFrame.unionByName, told), folds)
     for key in keys:
         b = base.filter(F.col("key") == key).select(F.col("leaf").alias("b_leaf"), "whole", "before").hint("shuffle_hash")
-        rows = rows.join(b, F.col(f"{key}_leaf") == F.col("b_leaf"), "left")
-        more = F.when(F.col(f"{key}_part") == 1, F.col("whole")).when(F.col(f"{key}_part") == 2, F.col("before"))[F.col(fold).cast("int")]
-        rows = rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before", f"{key}_leaf", f"{key}_part")
+        rows = rows.join(b, F.shiftright(f"{key}_leaf", 2) == F.col("b_leaf"), "left")
+        part = F.col(f"{key}_leaf").bitwiseAND(F.lit(3))
+        more = F.when(part == 1, F.col("whole")).when(part == 2, F.col("before"))[F.col(fold).cast("int")]
+        rows = rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before", f"{key}_leaf")
     return rows.select(*kept, *[f"{key}_{c}" for key in keys for c in ("n", "s")])
 
 
@@ -172,7 +173,7 @@ def rate(key: str, prior: Column) -> Column:
 def _lookup(rows: DataFrame, key: str, dims: DataFrame, dim_key: str, value: str) -> DataFrame:
     """rows with the dims' value of their key, null where that is unknown. The least value, should an id have several."""
     d = written(dims.filter(F.col(dim_key).isNotNull()).groupBy(F.col(dim_key).alias("_id")).agg(F.min(value).alias(value)))
-    return rows.join(d.hint("merge"), F.col(key) == F.col("_id"), "left").drop("_id")
+    return rows.join(d.hint("shuffle_hash"), F.col(key) == F.col("_id"), "left").drop("_id")
 
 
 def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
@@ -193,13 +194,13 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     whole = own.groupBy(F.col("sale_id").alias("w_sale")).agg(F.sum("n_lines").alias("lines"), F.sum("n_returned").alias("returned"))
     fold = (F.crc32(F.col("sale_id").cast("string")) % FOLDS).cast("int")
     s = sales.filter(F.col("sold_at").isNotNull()).select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), "sold_at", fold.alias("fold"))
-    s = s.hint("merge").join(whole, F.col("sale_id") == F.col("w_sale")).drop("w_sale")
+    s = s.join(whole.hint("shuffle_hash"), F.col("sale_id") == F.col("w_sale")).drop("w_sale")
     s = _lookup(s, "client_id", clients, "client_id", "segment").withColumn("any", F.lit(0))
     s = history(written(s), ["any", "segment", "client_id"], "sold_at", "fold", "lines", "returned", ["sale_id"])
     s = s.withColumn("any_rate", rate("any", F.lit(FIRST).cast("bigint")))
     s = s.withColumn("client_rate", rate("client_id", rate("segment", F.col("any_rate"))))
     s = s.select(F.col("sale_id").alias("s_sale"), "sold_at", "fold", "any_rate", F.col("client_id_n").alias("client_n"), "client_rate")
-    x = own.join(written(s).hint("merge"), F.col("sale_id") == F.col("s_sale")).drop("s_sale")
+    x = own.join(written(s).hint("shuffle_hash"), F.col("sale_id") == F.col("s_sale")).drop("s_sale")
     x = _lookup(x, "item_id", items, "item_id", "kind")
     x = _lookup(x, "vendor_id", vendors, "vendor_id", "nation_id")
     x = history(written(x), ["kind", "item_id", "nation_id", "vendor_id"], "sold_at", "fold", "n_lines", "n_returned", ["sale_id", "item_id", "vendor_id"])
