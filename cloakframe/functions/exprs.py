@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,18 +27,24 @@ def blank(text: Column) -> Column:
     return text.rlike(r"(?U)\A\s*\z")
 
 
-#: Letters that full case folding writes with several, or others than the lower case has (the common ones).
-_SHARP, _FULL = "ẞßſς", ["ss", "ss", "s", "σ"]
+def casefolded(text: Column) -> Column:
+    """Full case folding: STRASSE and Straße, ﬁ and FI, Σ and ς are equal.
 
+    Upper case writes letters out in full, and lower case of that is the folded form, but for a dotless i, which stays, and
+    for a sigma, which has one form wherever it stands: two private characters keep their places. Cherokee, which folds
+    to capitals, stays in lower case.
+    """
+    got = F.translate(F.replace(text, F.lit("ẞ"), F.lit("ß")), "ı", "\ue000")
+    return F.translate(F.lower(F.translate(F.upper(got), "Σ", "\ue001")), "\ue000\ue001", "ıσ")
 
-def casefolded(text: Column) -> Column:
-    """Lower case with the letters of _SHARP folded, so that STRASSE and Straße are equal."""
-    got = F.lower(text)
-    for a, b in zip(_SHARP, _FULL):
-        got = F.replace(got, F.lit(a), F.lit(b))
-    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ŉ", "ʼn"), ("µ", "μ")):
-        got = F.replace(got, F.lit(a), F.lit(b))
-    return got
+
+#: The collation by which letters are equal whatever their case and accents.
+LETTERS = "UNICODE_CI_AI"
+
+
+def by_letters(text: Column) -> Column:
+    """A text that compares, groups and joins by its letters alone, whatever their case and accents. Blanks and punctuation count."""
+    return F.collate(text, LETTERS)
 
 
 def token_key(text: Column) -> Column:
@@ -131,10 +140,9 @@ def review_signal(field_type: Column, original: Column, detector: Column, region
     approved = F.arrays_overlap(sources, F.array(*map(F.lit, fixed.APPROVED_SOURCES)))
     structural = F.coalesce(region_label.isin(fixed.STRUCTURAL_LABELS), F.lit(False))
     marker = F.trim(original).rlike(r"^(?:[A-Z]|[IVXLCDM]{1,6}|\d{1,3})[.)]?$") & structural & F.coalesce(F.trim(region_text) == F.trim(original), F.lit(False))
-    # Accents beside their letters (U+0300 to U+036F) go; those within are the letters of the generic words' languages.
-    bare = F.regexp_replace(F.lower(original), r"[\u0300-\u036F]+", "")
-    plain = F.regexp_replace(F.translate(bare, "éèêëàâäáãåîïíìôöóòõûüúùçñý", "eeeeaaaaaaiiiiooooouuuucny"), r"(?U)^\s+|\s+$", "")
-    weak = F.contains(detector, F.lit("-fuzzy")) | plain.isin(fixed.GENERIC_WORDS) | structural
+    plain = by_letters(F.regexp_replace(original, r"(?U)^\s+|\s+$", ""))
+    generic = reduce(or_, [plain == by_letters(F.lit(w)) for w in fixed.GENERIC_WORDS])
+    weak = F.contains(detector, F.lit("-fuzzy")) | generic | structural
     first = field_type.isin(fixed.PRIORITY_TYPES)
     signal = F.when(approved, "approved").when(first, "priority").when(marker | weak, "weak").otherwise("candidate")
     return signal, ~approved & ~first & marker

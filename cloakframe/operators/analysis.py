@@ -45,26 +45,28 @@ def _in_turn(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def analyse(pages: DataFrame, model: DataFrame | None = None, entities: DataFrame | None = None, paragraphs: DataFrame | None = None, regions: DataFrame | None = None, boxes: DataFrame | None = None, extra: DataFrame | None = None, terms: list[str] | None = None, fuzzy: bool = True, role: str = "", goal: str = "", retain: list[str] | None = None) -> DataFrame:
-    """Findings of pages (doc_id, page, text): every detector's spans, reconciled, merged, classified, in order.
+def _and_last(every: DataFrame, extra: DataFrame) -> DataFrame:
+    """What _in_turn() gave, and more spans behind all of it."""
+    return every.select(*COLUMNS).unionByName(extra.select(*COLUMNS[:-1], (F.col("ord") + F.lit(64) * ROOM).cast("bigint").alias("ord")))
 
-    model: a model's spans for spans.label_spans(); entities: a named-entity model's spans as common ones; paragraphs: what
-    layout.paragraphs() gives, for sensitive topics (without: whole pages); extra: more common spans, the last in turn;
-    terms: the user's own. regions (doc_id, page, label, text, x0 ...) and boxes (finding_id, boxes) add layout evidence.
-    Rows are spans.classify()'s with levels, ord (from 1, by start and end within a page), signal and region_label. An empty
-    table, and pages with null or empty texts, give no findings.
+
+def spans_of(pages: DataFrame, model: DataFrame | None = None, entities: DataFrame | None = None, paragraphs: DataFrame | None = None, terms: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
+    """Every source's common spans of pages, in turn, written: what analyse() goes on with. See there for the sources.
+
+    All detectors over whole pages run in one pass over the texts.
     """
-    pages = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text")
-    own = {"terms": term_detector(terms or [], fuzzy)}
+    names = [*PAGE_DETECTORS, *(["terms"] if terms else []), "references", *(["topics"] if paragraphs is None else [])]
     sources = [] if model is None else [spans.label_spans(model, pages)]
-    sources.append(spans.detect(pages, PAGE_DETECTORS))
-    if terms:
-        sources.append(spans.detect(pages, ["terms"], own))
-    sources.append(spans.detect(pages, ["references"]))
-    sources.append(spans.detect(pages, ["topics"]) if paragraphs is None else detect_in_paragraphs(paragraphs, pages, ["topics"]))
-    sources += [s for s in (entities, extra) if s is not None]
-    # Used three times below: written once, so that no detector runs again.
-    every = written(layout.drop_medication_places(_in_turn(*sources), pages))
+    sources.append(spans.detect(pages, names, {"terms": term_detector(terms or [], fuzzy)} if terms else None))
+    if paragraphs is not None:
+        sources.append(detect_in_paragraphs(paragraphs, pages, ["topics"]))
+    if entities is not None:
+        sources.append(entities)
+    return written(layout.drop_medication_places(_in_turn(*sources), pages))
+
+
+def findings_of(every: DataFrame, pages: DataFrame, regions: DataFrame | None = None, boxes: DataFrame | None = None, role: str = "", goal: str = "", retain: list[str] | None = None) -> DataFrame:
+    """Findings from a written table of common spans: reconciled, merged, classified, in order; see analyse()."""
     # Part of a date that a model saw takes the whole date's place.
     outside = (F.col("field_type") == "date") & ((F.col("detector") == "model") | F.col("detector").startswith("ner/"))
     whole = every.filter("detector = 'date-rule'").select("doc_id", "page", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("ord").alias("o_ord"))
@@ -75,6 +77,29 @@ def analyse(pages: DataFrame, model: DataFrame | None = None, entities: DataFram
     return annotate(found, regions, boxes).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("start", "end", "field_type")))
 
 
+def valid_regions(regions: DataFrame) -> DataFrame:
+    """Regions of a page within what a layout model may tell, as exprs.valid_region() says; another fails the query."""
+    ok = F.coalesce(exprs.valid_region(F.col("page"), F.col("label"), F.col("text")), F.lit(False))
+    label = F.when(ok, F.col("label")).otherwise(F.raise_error(F.lit("a layout region is not valid")))
+    return regions.withColumn("label", label)
+
+
+def analyse(pages: DataFrame, model: DataFrame | None = None, entities: DataFrame | None = None, paragraphs: DataFrame | None = None, regions: DataFrame | None = None, boxes: DataFrame | None = None, extra: DataFrame | None = None, terms: list[str] | None = None, fuzzy: bool = True, role: str = "", goal: str = "", retain: list[str] | None = None) -> DataFrame:
+    """Findings of pages (doc_id, page, text): every detector's spans, reconciled, merged, classified, in order.
+
+    model: a model's spans for spans.label_spans(); entities: a named-entity model's spans as common ones; paragraphs: what
+    layout.paragraphs() gives, for sensitive topics (without: whole pages); extra: more common spans, the last in turn;
+    terms: the user's own. regions (doc_id, page, label, text, x0 ...) and boxes (finding_id, boxes) add layout evidence;
+    a region that isn't valid fails the query. Rows are spans.classify()'s with levels, ord (from 1, by start and end within
+    a page), signal and region_label. An empty table, and pages with null or empty texts, give no findings.
+    """
+    pages = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text")
+    every = spans_of(pages, model, entities, paragraphs, terms, fuzzy)
+    if extra is not None:
+        every = written(_and_last(every, extra))
+    return findings_of(every, pages, None if regions is None else valid_regions(regions), boxes, role, goal, retain)
+
+
 def annotate(findings: DataFrame, regions: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
     """Adds region_label and signal; section markers that are whole regions are unselected and kept."""
     if regions is not None and boxes is not None:
@@ -128,7 +153,9 @@ def apply_predictions(pages: DataFrame, predictions: DataFrame, examples: DataFr
     pages = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text")
     model = complete(pages, predictions)
     model = written(model)
-    first = review.folded(analyse(pages, model, entities, fuzzy=fuzzy, **more), "original_text", "key")
+    kept = {k: more.pop(k) for k in ("paragraphs", "terms") if k in more}
+    every = spans_of(pages, model, entities, fuzzy=fuzzy, **kept)
+    first = review.folded(findings_of(every, pages, **more), "original_text", "key")
     place = written(first).withColumn("ord", F.col("page").cast("bigint") * ROOM + F.col("ord"))
     listed = review.seeds(place)
     levels = place.groupBy("doc_id", "key", "field_type").agg(F.max_by("levels", "ord").alias("levels"))
@@ -136,7 +163,8 @@ def apply_predictions(pages: DataFrame, predictions: DataFrame, examples: DataFr
     for table, name in ((examples, EXAMPLE), (remembered, REMEMBERED)):
         if table is not None:
             sources = sources.unionByName(table.select("doc_id", "term", "field_type", F.lit(name).alias("source"), "levels"))
-    again = analyse(pages, model, entities, extra=repeated(pages, written(sources), fuzzy), fuzzy=fuzzy, **more)
+    # The detectors' spans stay; only the repeats are new.
+    again = findings_of(written(_and_last(every, repeated(pages, written(sources), fuzzy))), pages, **more)
     f = written(again).withColumn("status", F.lit("unreviewed"))
     if prior is not None:
         keys = ["doc_id", "page", "start", "end", "field_type"]

@@ -833,7 +833,16 @@ def quality_counts(spark, sf):
     return analysis.quality_edits(f, c, none)[1].select("doc_id", "changed", "protected", "kept")
 
 
-@query()
+@query(rf"""
+with t(t) as (values ('worthless'), ('thention')),
+e as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) w from documents), f as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+(?:[''-][\p{{L}}\p{{N}}_]+)*')) w from documents),
+m as (select unnest(regexp_extract_all(text, '{EMAIL_SQL}')) v, 'email' ft, 'contact-rule' det, 'candidate' sig, true sel from documents
+ union all select unnest(regexp_extract_all(text, '{PHONE_SQL}', 1)), 'phone', 'contact-rule', 'candidate', true from documents
+ union all select unnest(regexp_extract_all(text, '\b(?:CHF|EUR|USD)\s*\d[\d''’., ]*\d\b')), 'amount', 'legal-rule', 'candidate', true from documents
+ union all select unnest(regexp_extract_all(text, '\b\d{{4}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b')), 'date', 'date-rule', 'candidate', false from documents
+ union all select w, 'confidential_term', 'user-term', 'approved', true from e join t on w = t
+ union all select w, 'confidential_term', 'user-term-fuzzy', 'weak', true from f join t on w <> t and abs(length(w) - length(t)) <= 1 and damerau_levenshtein(w, t) = 1 and regexp_full_match(w, '[\p{{L}}''-]+'))
+select ft as field_type, det as detector, sig as signal, count(*) as n, count(*) filter (sel) as selected, sum(length(v))::bigint as chars from m group by 1, 2, 3""")
 def analysed_documents(spark, sf):
     """The composed analysis of every whole document, counted by type and detector."""
     found = analysis.analyse(_pages(spark, sf), terms=["worthless", "thention"])
@@ -1020,6 +1029,38 @@ def context_check(spark, sf):
     return j.select("doc_id", "outcome", *[F.coalesce(x, F.lit(0).cast("bigint")).alias(x) for x in ("removed", "kept", "added")])
 
 
+_NOTE = "'Sold on ' || strftime(sold_at, '%Y-%m-%d') || ' for CHF ' || cast(cast(floor(total) as bigint) as varchar) || '.50' || case when sale_id % 3 = 0 then ', client born 0' || (1 + sale_id % 9) || '.12.19' || (40 + sale_id % 60) else ', nothing else of note here in this text, so that what comes next stands alone and far from the rest, which is long' end || case when sale_id % 5 = 0 then '. Filed 2024-0' || (1 + sale_id % 9) || '-30' else '. No more' end || '. Mail c' || coalesce(client_id, 0) || '@shop.ch'"
+
+
+@query(rf"""
+with t as (select sale_id d, {_NOTE} x from sales where sold_at is not null and sale_id is not null and total is not null),
+i as (select d, x, unnest(list_distinct(regexp_extract_all(x, '\b\d{{4}}-\d\d-\d\d\b|\b\d{{1,2}}\.\d{{1,2}}\.\d{{4}}\b'))) v, 'date' ft from t union all
+ select d, x, unnest(regexp_extract_all(x, 'CHF \d[\d.]*\d')), 'amount' from t union all
+ select d, x, unnest(regexp_extract_all(x, '[a-z0-9]+@[a-z]+\.ch')), 'email' from t),
+c as (select d, x, v, ft, generate_subscripts(string_split(x, v), 1) k, string_split(x, v) parts from i),
+p as (select d, x, v, ft, list_sum(list_transform(parts[1:k], lambda s: length(s)))::bigint + (k - 1) * length(v) start_ from c where k < len(parts)),
+g as (select *, ft = 'date' and regexp_matches(lower(x[greatest(0, start_ - 90) + 1:start_ + length(v) + 90]), '{fixed.BIRTH_NEAR}') birth from p
+ where ft <> 'date' or try_strptime(v, ['%Y-%m-%d', '%d.%m.%Y']) is not null)
+select d as doc_id, start_ as start, v as original_text, ft as field_type, ft <> 'date' or birth as selected, case when ft <> 'date' then 'review' when birth then 'remove' else 'keep' end as suggestion from g""")
+def analysed_notes(spark, sf):
+    """The composed analysis of a note on every sale: its dates, amount and address, each found, placed and judged."""
+    text = _NOTE.replace("strftime(sold_at, '%Y-%m-%d')", "date_format(sold_at, 'yyyy-MM-dd')").replace("varchar", "string")
+    t = _t(spark, sf, "sales").filter("sold_at is not null and sale_id is not null and total is not null").selectExpr("sale_id AS doc_id", "1 AS page", f"{text} AS text")
+    got = analysis.analyse(t).filter(F.col("field_type").isin("date", "amount", "email"))
+    return got.select("doc_id", F.col("start").cast("bigint").alias("start"), "original_text", "field_type", "selected", "suggestion")
+
+
+@query("""
+with k as (select client_id, strip_accents(lower(nfc_normalize(name))) k, name from clients where name is not null)
+select min(client_id) as client_id, count(*) as n, count(distinct name) as spellings, (select count(*) from vendors v where strip_accents(lower(nfc_normalize(v.name))) = k.k) as vendors from k group by k""")
+def same_names(spark, sf):
+    """Clients whose names are equal whatever their case and accents, and vendors of that name."""
+    c = _t(spark, sf, "clients").filter("name is not null").select("client_id", "name", exprs.by_letters(F.col("name")).alias("k"))
+    g = c.groupBy("k").agg(F.min("client_id").alias("client_id"), F.count("*").alias("n"), F.count_distinct("name").alias("spellings"))
+    v = _t(spark, sf, "vendors").groupBy(exprs.by_letters(F.col("name")).alias("v")).agg(F.count("*").alias("vendors"))
+    return g.join(v, F.col("k") == F.col("v"), "left").select("client_id", "n", "spellings", F.coalesce("vendors", F.lit(0).cast("bigint")).alias("vendors"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 
