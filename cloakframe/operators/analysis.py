@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs, fixed
 from ..functions.detectors import terms as term_detector
 from ..sources.tables import written
-from . import layout, quality, review, spans
+from . import layout, review, spans
 
 #: Detectors over whole pages, in the order of their findings; sensitive topics follow, by paragraph.
 PAGE_DETECTORS = ["contacts", "parties", "amounts", "dates"]
@@ -282,22 +282,3 @@ def quality_edits(findings: DataFrame, changes: DataFrame, additions: DataFrame,
         F.count_if(F.col("outcome").endswith("protected")).alias("protected"), F.count_if(F.col("inside_of").isNotNull()).alias("reconciled"), F.count_if(~F.col("selected")).alias("kept"),
     )
     return out.drop("asked", "kept", "protected"), counts
-
-
-def compared(blocks: DataFrame, found: DataFrame, findings: DataFrame, pages: DataFrame, protected: DataFrame) -> DataFrame:
-    """What a context check's quotations change: (doc_id, finding_id, action) for every finding within its text blocks, remove
-    or review where a quotation has its place and type, else keep.
-
-    blocks: doc_id, page, start, end of the text that was checked; found: doc_id, page, start, end, field_type, action of
-    verified quotations, of which health ones lose ordinary dates; protected: dates that stay (doc_id, page, start, end).
-    """
-    health = layout.trim_health(found.filter("field_type = 'medical_information'"), pages, protected)
-    quoted = found.filter("field_type <> 'medical_information'").unionByName(health.select(*found.columns)).dropDuplicates(["doc_id", "page", "start", "end", "field_type"])
-    return quality.decide(quality.covered(findings, blocks, pages).drop("action") if "action" in findings.columns else quality.covered(findings, blocks, pages), quoted).select("doc_id", "finding_id", "action")
-
-
-def token_view(mentions: DataFrame, request: Column | None = None) -> DataFrame:
-    """What a reader without a grant sees of a document: its tokens and their levels, never a value. mentions: doc_id, token,
-    levels."""
-    m = mentions if request is None else mentions.filter(request)
-    return m.groupBy("doc_id", "token").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("levels")))).alias("levels"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.detectors import terms as term_detector
-from ..operators import analysis, context_check as context_check_, export, incremental, layout, quality, review, sharing, spans
+from ..operators import analysis, context_check as context_check_, export, incremental, layout, quality, review, sharing, spans, views
 from ..sources.readers import manifest, pages_of, restore, token_keys
 from ..sources.tables import shared_path
 
@@ -1041,13 +1041,14 @@ c as (select d, x, v, ft, generate_subscripts(string_split(x, v), 1) k, string_s
 p as (select d, x, v, ft, list_sum(list_transform(parts[1:k], lambda s: length(s)))::bigint + (k - 1) * length(v) start_ from c where k < len(parts)),
 g as (select *, ft = 'date' and regexp_matches(lower(x[greatest(0, start_ - 90) + 1:start_ + length(v) + 90]), '{fixed.BIRTH_NEAR}') birth from p
  where ft <> 'date' or try_strptime(v, ['%Y-%m-%d', '%d.%m.%Y']) is not null)
-select d as doc_id, start_ as start, v as original_text, ft as field_type, ft <> 'date' or birth as selected, case when ft <> 'date' then 'review' when birth then 'remove' else 'keep' end as suggestion from g""")
+select d as doc_id, start_ as start, v as original_text, ft as field_type, ft <> 'date' or birth as selected, case when ft <> 'date' then 'review' when birth then 'remove' else 'keep' end as suggestion,
+ row_number() over (partition by d order by start_, length(v), ft) as ord from g""")
 def analysed_notes(spark, sf):
     """The composed analysis of a note on every sale: its dates, amount and address, each found, placed and judged."""
     text = _NOTE.replace("strftime(sold_at, '%Y-%m-%d')", "date_format(sold_at, 'yyyy-MM-dd')").replace("varchar", "string")
     t = _t(spark, sf, "sales").filter("sold_at is not null and sale_id is not null and total is not null").selectExpr("sale_id AS doc_id", "1 AS page", f"{text} AS text")
     got = analysis.analyse(t).filter(F.col("field_type").isin("date", "amount", "email"))
-    return got.select("doc_id", F.col("start").cast("bigint").alias("start"), "original_text", "field_type", "selected", "suggestion")
+    return got.select("doc_id", F.col("start").cast("bigint").alias("start"), "original_text", "field_type", "selected", "suggestion", "ord")
 
 
 @query("""
@@ -1061,6 +1062,99 @@ def same_names(spark, sf):
     return g.join(v, F.col("k") == F.col("v"), "left").select("client_id", "n", "spellings", F.coalesce("vendors", F.lit(0).cast("bigint")).alias("vendors"))
 
 
+@query("""
+with r as (select o_orderkey k, case o_orderkey % 4 when 0 then 'curator' else 'u' || (o_orderkey % 5) end who, case when o_orderkey % 7 = 0 then 'p' else 'o' end org, (o_orderkey * 3 % 40)::bigint d from orders),
+j as (select k, c_nationkey n, case when c.c_custkey is null then 'unknown_document' when r.org <> 'o' then 'other_organisation' when who <> 'curator' and (d % 3 = 0 or who <> 'u' || (d % 5)) then 'not_assigned' else 'allowed' end as outcome from r left join customer c on c.c_custkey = r.d)
+select k as request_id, outcome, case when outcome = 'allowed' then '[PARTY_' || lpad(n::varchar, 5, '0') || ']' else '' end as tokens from j""")
+def token_only_views(spark, sf):
+    """Requests to see documents in tokens, judged by organisation and assignment."""
+    r = _t(spark, sf, "orders").selectExpr("o_orderkey AS request_id", "CASE o_orderkey % 4 WHEN 0 THEN 'curator' ELSE concat('u', o_orderkey % 5) END AS user_id", "CASE WHEN o_orderkey % 7 = 0 THEN 'p' ELSE 'o' END AS user_org", "cast(o_orderkey * 3 % 40 as bigint) AS doc_id")
+    c = _t(spark, sf, "customer")
+    d = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "'o' AS org", "c_custkey % 3 <> 0 AS shared")
+    a = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "concat('u', c_custkey % 5) AS user_id")
+    m = c.selectExpr("cast(c_custkey as bigint) AS doc_id", "concat('[PARTY_', lpad(c_nationkey, 5, '0'), ']') AS token", "array('personal-private') AS levels")
+    return views.document_views(r, d, a, m, m.selectExpr("doc_id", "token AS text")).select("request_id", "outcome", F.coalesce(F.array_join(F.transform("fields", lambda x: x["token"]), ","), F.lit("")).alias("tokens"))
+
+
+@query(r"""
+with k as (select nation_id d, client_id f, case when regexp_matches(lower(name), '\d') then trim(regexp_replace(regexp_replace(lower(name), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g')) else trim(regexp_replace(regexp_replace(lower(name), '[\p{P}\p{S}]+', '', 'g'), '\s+', ' ', 'g')) end k from clients where name is not null and nation_id is not null),
+c as (select d, max_by(k, f) k from k group by d)
+select d as doc_id, string_agg(f::varchar, ',' order by lpad(f::varchar, 12, '0')) as reveal_ids from k join c using (d, k) group by d""")
+def reveal_all_mentions(spark, sf):
+    """All mentions of each nation's last client's name among its clients' names."""
+    f = _t(spark, sf, "clients").filter("name is not null and nation_id is not null").selectExpr("nation_id AS doc_id", "lpad(client_id, 12, '0') AS finding_id", "name AS original_text")
+    got = views.reveal_sets(f, f.groupBy("doc_id").agg(F.max("finding_id").alias("finding_id")))
+    return got.select("doc_id", F.array_join(F.transform("reveal_ids", lambda x: x.cast("bigint").cast("string")), ",").alias("reveal_ids"))
+
+
+@query(r"""
+with s as (select conv_id d, turn p, text, (conv_id * 3 + turn) % 60 a, (conv_id * 3 + turn) % 60 + turn * 37 % 250 b from conversations), t as (select d, p, a, trim(text[a + 1:b], ' ' || chr(10) || chr(9) || chr(13)) x from s)
+select d as doc_id, p as page, a, md5(nullif(x, '')) as h, coalesce(length(x) between 2 and 200, false) as usable from t""")
+def selected_characters(spark, sf):
+    """A selection of characters on every turn, and whether a term may be made of it."""
+    c = _t(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "turn AS page", "text")
+    s = c.selectExpr("doc_id", "page", "cast((doc_id * 3 + page) % 60 as int) AS a", "cast((doc_id * 3 + page) % 60 + page * 37 % 250 as int) AS b")
+    return views.selected_texts(s, c).select("doc_id", "page", F.col("a").cast("bigint").alias("a"), F.md5("text").alias("h"), "usable")
+
+
+@query(r"""
+with t as (select p_partkey k, '; ' sep, 'Siehe BVGE 2015/' || (1 + p_partkey % 90) a, list_transform(range(p_partkey % 4), lambda i: (2016 + i) || '/' || (1 + (p_partkey + i) % 90)) more from part),
+x as (select k, a || array_to_string(list_transform(more, lambda m: '; ' || m), '') || case when p_partkey % 5 = 0 then ' (2010/5)' else '' end txt, a, more from t join part on p_partkey = k)
+select k::bigint as doc_id, 6 as start, length(a) as "end", 'published_admin' as kind from x union all
+select k, length(a) + 2 + coalesce(list_sum(list_transform(more[1:i], lambda m: length(m) + 2)), 0)::bigint, length(a) + 2 + coalesce(list_sum(list_transform(more[1:i], lambda m: length(m) + 2)), 0)::bigint + length(more[i + 1]), 'published_admin_inherited' from (select *, unnest(range(len(more))) i from x)""")
+def inherited_citations(spark, sf):
+    """Citations that are listed after a published one, and so of its court."""
+    more = "array_join(transform(sequence(1, 4), i -> CASE WHEN i <= p_partkey % 4 THEN concat('; ', 2015 + i, '/', 1 + (p_partkey + i - 1) % 90) ELSE '' END), '')"
+    text = f"concat('Siehe BVGE 2015/', 1 + p_partkey % 90, {more}, CASE WHEN p_partkey % 5 = 0 THEN ' (2010/5)' ELSE '' END)"
+    got = spans.detect(_made(spark, sf, "part", "cast(p_partkey as bigint)", text), ["references"])
+    return got.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("subcategory").alias("kind"))
+
+
+@query(r"""select conv_id as doc_id, turn as page, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text, length(regexp_extract(text, '^\s*')) as begin from conversations where regexp_matches(text, '\S')""")
+def paragraph_texts(spark, sf):
+    """Every turn as the paragraph of a page without regions."""
+    p = _t(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "cast(turn as int) AS page", "text").filter("text is not null")
+    c = p.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)))).alias("pos"), F.lit(None).cast("string").alias("owner"), F.lit(0).cast("bigint").alias("run")).join(p, ["doc_id", "page"]).filter("pos < length(text)").drop("text")
+    return layout.paragraphs(p, c).select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("text"), F.col("begin").cast("bigint").alias("begin"))
+
+
+@query("""
+with f as (select o_orderkey k, o_orderkey % 3 = 0 sel, case when o_orderkey % 2 = 0 then o_orderkey % 4 = 0 end dec from orders)
+select k, coalesce(dec, sel) as selected, case when dec then 'confirmed_remove' when not dec then 'confirmed_keep' else 'unreviewed' end as status from f""")
+def decisions_on_findings(spark, sf):
+    """People's decisions on every second finding."""
+    f = _t(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", "cast(o_orderkey as string) AS finding_id", "o_orderkey % 3 = 0 AS selected", "'unreviewed' AS status")
+    d = f.filter("doc_id % 2 = 0").select("doc_id", "finding_id", (F.col("doc_id") % 4 == 0).alias("selected"))
+    return analysis.decided(f, d).select(F.col("doc_id").alias("k"), "selected", "status")
+
+
+@query(f"""
+with p as ({_PAGES_SQL}), r as (select p.doc_id k, text, doc_id % 5 v from p)
+select k, case when k % 11 = 0 then 'not_analysed' when k % 7 = 0 then 'old_revision' when v = 4 then 'not_a_protected_term' when v = 3 then 'not_in_document' when v = 2 then 'not_remembered_type' else 'ok' end as outcome from r""")
+def learning_requests(spark, sf):
+    """A request to learn a term on every order's page: its first five characters as they are, or what can't be learned."""
+    p = _order_pages(spark, sf)
+    d = p.select("doc_id", (F.col("doc_id") % 11 != 0).alias("analysed"), F.lit(1).alias("current"), F.lit(0).alias("examples"))
+    v = F.col("doc_id") % 5
+    head = F.regexp_extract("text", r"^\S+", 0)
+    r = p.select(F.col("doc_id").cast("string").alias("request_id"), "doc_id", F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1).alias("revision"), F.lit(None).cast("string").alias("finding_id"), F.when(v == 3, "nowhere at all").when(v == 4, "x").otherwise(head).alias("text"), F.when(v == 2, "date").otherwise("person_name").alias("field_type"), F.array(F.lit(fixed.SECRECY)).alias("levels"), F.array().cast("array<string>").alias("kept_ids"), (v == 2).alias("remember"))
+    none = spark.createDataFrame([], "doc_id bigint, finding_id string, original_text string, field_type string, levels array<string>")
+    return analysis.learn_requests(r, d, none, p).select(F.col("doc_id").alias("k"), "outcome")
+
+
+@query("""
+with recursive u as (select cast(o_orderkey as varchar) id, cast(o_custkey as bigint) store, timestamp '2024-01-01' + to_seconds((o_orderkey * 97) % 20000) at_, o_orderkey seq from orders),
+c as (select *, row_number() over (partition by store order by at_, seq) n from u),
+a as (select store, 0 as n, cast([] as timestamp[]) live, cast(null as varchar) id, false ok from (select distinct store from c) union all
+  select c.store, c.n, case when len(list_filter(a.live, lambda e: e > c.at_)) < 2 then list_append(list_filter(a.live, lambda e: e > c.at_), c.at_ + to_seconds(1800)) else list_filter(a.live, lambda e: e > c.at_) end, c.id, len(list_filter(a.live, lambda e: e > c.at_)) < 2
+  from a join c on c.store = a.store and c.n = a.n + 1)
+select id as doc_id, ok as admitted from a where id is not null""")
+def opened_documents(spark, sf):
+    """Documents opened in each customer's store, which holds two at a time."""
+    u = _t(spark, sf, "orders").selectExpr("cast(o_custkey as bigint) AS store", "o_orderkey AS doc_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, (o_orderkey * 97) % 20000) AS at", "o_orderkey AS seq")
+    return views.opened(u, most=2).select("doc_id", "admitted")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return detect_contacts_by_lang(spark, sf)
 
