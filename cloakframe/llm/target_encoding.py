@@ -17,6 +17,8 @@ from .common import parts, table, written
 FOLDS, WEIGHT, FIRST = 5, 50, 500_000
 #: Probes of a node of the recursion that meet its left half's totals in one place, as a power of two.
 PROBE_BITS = 10
+#: Share of a key's rows below which those that need other leaves are joined apart from the rest; the results are the same.
+FEW = 0.25
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -74,7 +76,7 @@ def _leaves(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, apa
 
     laid = rows.repartitionByRange(parts(rows.sparkSession), key, time, *apart).sortWithinPartitions(key, time)
     names = laid.columns
-    summary = pa.struct([("first", pa.string()), ("first_time", pa.int64()), ("last", pa.string()), ("last_time", pa.int64()), ("every", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
+    summary = pa.struct([("first", pa.string()), ("first_time", pa.int64()), ("last", pa.string()), ("last_time", pa.int64()), ("every", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("open", pa.int64()), ("rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, k = TaskContext.get().partitionId(), 0
@@ -89,12 +91,13 @@ def _leaves(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, apa
             told = [None] * (batch.num_rows - 1) + [{
                 "first": _text(value, 0), "first_time": int(t[0]), "last": _text(value, len(t) - 1), "last_time": int(t[-1]),
                 "every": _per_fold(folds, f[begin:], cn[begin:], cs[begin:]), "tail": _per_fold(folds, f[now:], cn[now:], cs[now:]),
+                "open": int(np.count_nonzero(part)), "rows": len(t),
             }]
             leaf = ((pid << 32) + k << 2) + part  # leaf and part in one column, as all of them move with the rows
             k += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(got_n), pa.array(got_s), pa.array(told, summary)], names=[*names, f"{key}_leaf", f"{key}_n", f"{key}_s", f"{key}_told"])
 
-    more = f"`{key}_leaf` bigint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>>"
+    more = f"`{key}_leaf` bigint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>,open:bigint,rows:bigint>"
     got = written(laid.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", " + more), "snappy")
     told = got.filter(F.col(f"{key}_told").isNotNull()).select(F.lit(key).alias("key"), F.shiftright(f"{key}_leaf", 2).alias("leaf"), f"{key}_told.*")
     return got.drop(f"{key}_told"), told
@@ -154,13 +157,22 @@ def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: s
     for key in keys:
         rows, one = _leaves(rows, key, time, fold, n, s, apart, folds)
         told.append(one)
-    base = earlier_leaves(reduce(DataFrame.unionByName, told), folds)
-    for key in keys:
+    every = reduce(DataFrame.unionByName, told)
+    base = earlier_leaves(every, folds)
+    # Where few rows of a key begin in an earlier leaf, only these are shuffled to meet what it tells.
+    few = {r.key for r in every.groupBy("key").agg(F.sum("open").alias("o"), F.sum("rows").alias("r")).collect() if r.o < FEW * r.r}
+
+    def with_base(rows: DataFrame, key: str) -> DataFrame:
         b = base.filter(F.col("key") == key).select(F.col("leaf").alias("b_leaf"), "whole", "before").hint("shuffle_hash")
         rows = rows.join(b, F.shiftright(f"{key}_leaf", 2) == F.col("b_leaf"), "left")
         part = F.col(f"{key}_leaf").bitwiseAND(F.lit(3))
         more = F.when(part == 1, F.col("whole")).when(part == 2, F.col("before"))[F.col(fold).cast("int")]
-        rows = rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before", f"{key}_leaf")
+        return rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before")
+
+    if few:
+        some = reduce(lambda a, b: a | b, [F.col(f"{key}_leaf").bitwiseAND(F.lit(3)) != 0 for key in sorted(few)])
+        rows = reduce(with_base, [k for k in keys if k in few], rows.filter(some)).unionByName(rows.filter(~some))
+    rows = reduce(with_base, [k for k in keys if k not in few], rows)
     return rows.select(*kept, *[f"{key}_{c}" for key in keys for c in ("n", "s")])
 
 
