@@ -125,3 +125,13 @@ def apply(findings: DataFrame, pages: DataFrame, answers: DataFrame, repaired: D
     return after, counts, told
 
 
+
+
+def usage(outcomes: DataFrame, used: DataFrame) -> DataFrame:
+    """Per document: what its batches used (doc_id, batch, counters as further columns), summed, with batches and those that were asked twice.
+    used may have several rows a batch, one a call; a batch whose answer was stored has none."""
+    counters = [c for c in used.columns if c not in ("doc_id", "batch")]
+    calls = used.groupBy("doc_id", "batch").agg(*[F.sum(c).alias(c) for c in counters], F.count("*").alias("calls"))
+    per = calls.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in counters], F.count_if(F.col("calls") > 1).alias("asked_twice"))
+    j = outcomes.select("doc_id", "batches").join(per, "doc_id", "left")
+    return j.select("doc_id", "batches", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in (*counters, "asked_twice")])

@@ -97,13 +97,16 @@ def remember(memory: DataFrame, new: DataFrame, most: int | None = None) -> Data
     """
     keys = ["org", "key", "field_type", "review_set"]
     both = memory.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
-    g = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", "at", "levels"))).alias("i"))
+    # One row per term and level, summed up before rows meet, however often a term was taught.
+    each = both.select(*keys, "o", "at", "levels", F.posexplode_outer("levels").alias("pos", "level"))
+    per = each.groupBy(*keys, "level").agg(F.min(F.struct("o", "at", "levels", "pos")).alias("first"), F.max(F.struct("o", "at", "levels")).alias("last"))
+    known = F.when(F.col("level").isNotNull(), F.struct("first", "level"))
+    g = per.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("i"), F.max("last").alias("last"), F.min("first.o").alias("first"))
     if most is not None:
-        g = g.withColumn("first", F.element_at("i", 1)["o"])
         held = g.groupBy("org").agg(F.count("*").alias("held"), F.max("first").alias("some_new"))
         kind = F.when((F.col("held") > most) & (F.col("some_new") == 1), F.raise_error(F.lit("too many remembered terms of an organisation")).cast(g.schema["key"].dataType)).otherwise(F.col("key"))
         g = g.join(held, "org").withColumn("key", kind)
-    return g.select(*keys, F.array_distinct(F.flatten(F.transform("i", lambda x: x["levels"]))).alias("levels"), F.element_at("i", -1)["at"].alias("at"))
+    return g.select(*keys, F.transform("i", lambda x: x["level"]).alias("levels"), F.col("last.at").alias("at"))
 
 
 def human_protected(status, signal, detector):

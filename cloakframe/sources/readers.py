@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 
 #: A saved run of a model: one JSON file.
-SAVED = "schema_version int, pdf_sha256 string, pdf_path string, captured_at string, pages array<struct<text_sha256:string,spans:array<struct<label:string,start:int,end:int,text:string,placeholder:string>>>>"
+SAVED = "schema_version int, pdf_sha256 string, pdf_path string, captured_at string, model struct<name:string>, pages array<struct<text_sha256:string,spans:array<struct<label:string,start:int,end:int,text:string,placeholder:string>>>>"
 #: A file of remembered terms.
 MEMORY = "version int, terms array<struct<id:string,text:string,field_type:string,sensitivity_levels:array<string>,review_set:string,origin_document_hash:string,organisation_id:string,approval_state:string,approved_at:string,approved_by:string>>"
 
@@ -49,6 +49,31 @@ def catalogue(saved: DataFrame) -> DataFrame:
     return saved.groupBy("run").agg(F.count("*").alias("pages"), F.sum(F.size("spans")).alias("spans"))
 
 
+def run_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The saved runs under path (files *.baseline.json): run, title, pages, model, in any version."""
+    r = spark.read.schema(SAVED).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.baseline.json").json(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.baseline\.json$", 1)
+    return r.select(name.alias("run"), name.alias("title"), F.size("pages").alias("pages"), F.col("model.name").alias("model"))
+
+
+def save_runs(runs: DataFrame, path: str) -> None:
+    """Runs (run and the columns of SAVED) as JSON, a folder each; a run that is there already is never overwritten."""
+    runs.repartition("run").write.partitionBy("run").mode("errorifexists").json(path)
+
+
+def screened(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """The spans (doc_id, page, ord, ...) of a screening's results (doc_id, page, text_sha256, spans), if each page of each document came
+    back once, with the hash its text has, and every span lies in its page; else the query fails and nothing is applied."""
+    back = results.groupBy("doc_id", "page").agg(F.count("*").alias("times"), F.any_value("text_sha256").alias("told"), F.any_value("spans").alias("spans"))
+    j = pages.select("doc_id", "page", "text", F.lit(True).alias("there")).join(back, ["doc_id", "page"], "full_outer")
+    text = F.coalesce("text", F.lit(""))
+    inside = F.forall("spans", lambda s: F.coalesce(exprs.valid_span(text, s["start"], s["end"]), F.lit(False)))
+    kind = results.schema["spans"].dataType
+    fault = F.when(~F.coalesce(F.col("there") & (F.col("times") == 1), F.lit(False)), "the screening did not return every page once").when(~F.coalesce(F.sha2(text, 256) == F.col("told"), F.lit(False)), "the screening's texts differ from the pages").when(~F.coalesce(inside, F.lit(False)), "a screening span is outside the page")
+    ok = F.when(fault.isNull(), F.col("spans")).otherwise(F.raise_error(fault).cast(kind))
+    return j.select("doc_id", "page", F.posexplode(ok).alias("ord", "s")).select("doc_id", "page", "ord", "s.*")
+
+
 def read_memory(spark: SparkSession, path: str) -> DataFrame:
     """Remembered terms of versions 1 and 2; those of version 2 need an organisation and a state of approval."""
     m = spark.read.schema(MEMORY).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -72,6 +97,24 @@ def restore(findings: DataFrame, pages: DataFrame) -> DataFrame:
     return j.select("doc_id", "page", "start", "end", "field_type", F.explode("levels").alias("level"), exprs.finding_id(F.col("doc_id"), F.col("page"), F.col("start"), F.col("end"), F.col("field_type")).alias("finding_id"))
 
 
+def restored_review(findings: DataFrame, pages: DataFrame, characters: DataFrame) -> DataFrame:
+    """restore()'s findings, one row each, with boxes computed anew from the characters and tokens numbered anew: nothing that was
+    saved but places, types, levels and decisions is trusted. findings also hold selected and status."""
+    from ..operators import spans
+
+    place = ["doc_id", "page", "start", "end", "field_type"]
+    f = restore(findings, pages).groupBy(*place, "finding_id").agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    f = f.join(pages, ["doc_id", "page"]).withColumn("original_text", exprs.slice_of(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    f = f.join(findings.select(*place, "selected", "status").distinct(), place)
+    at = characters.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1}).drop("pos")
+    s = f.select("doc_id", "page", F.col("start").alias("o_start"), F.col("end").alias("o_end"), "finding_id")
+    boxes = spans.line_boxes(spans.overlap_join(at, s, "inner", inside=True).filter(F.col("x0").isNotNull()))
+    boxes = boxes.groupBy("finding_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "x0", "y0", "x1", "y1"))), lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"))).alias("boxes"))
+    mentions = f.withColumn("ord", F.col("page").cast("bigint") * (1 << 32) + F.col("start"))
+    tokens = spans.number_tokens(mentions.select("doc_id", "field_type", "original_text", "ord", "finding_id")).select("finding_id", "token")
+    return f.join(boxes, "finding_id", "left").join(tokens, "finding_id")
+
+
 def manifest(pages: DataFrame) -> DataFrame:
     """Per document: characters, hash of the joined text, empty pages."""
     from ..operators.spans import joined_pages
@@ -93,6 +136,17 @@ def save_memory(spark: SparkSession, terms: list[dict], path: str) -> None:
     spark.createDataFrame([(json.dumps({"version": 2, "terms": terms}, ensure_ascii=False),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
 
 
+def remember_in(path: str, new: DataFrame, most: int | None = None) -> dict:
+    """Upserts terms (see review.remember()) into the versioned table at path, as one new version that readers see whole or not at all.
+    Another writer's version in between makes it fail rather than undo what it hasn't seen."""
+    from ..operators.review import remember
+    from . import versions
+
+    spark = new.sparkSession
+    old = versions.read(spark, path) if versions.exists(spark, path) else new.limit(0)
+    return versions.commit(remember(old, new, most), path, append=False)
+
+
 def token_keys(tokens: DataFrame) -> DataFrame:
     """The private key table, apart from all shared output: document -> map of token to original text."""
     firsts = tokens.groupBy("doc_id", "token").agg(F.min_by("original_text", "ord").alias("original_text"))
