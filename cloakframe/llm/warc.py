@@ -79,55 +79,90 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         p.filter(which).select(F.concat(req, gap, res, gap, meta).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
+#: Where parse_records() says what is wrong with a record; no header has this name.
+FAULT = ":fault"
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:
-    """The headers (names in lower case, with all their values) and block of each record of an uncompressed archive."""
+    """The headers (names in lower case, with all their values) and block of each record of an uncompressed archive.
+
+    A damaged record has what is left of it and, under FAULT, why: no_header_end, no_length, truncated (the file ends
+    within it) or wrong_length (no record's end stands where its length says). Reading goes on at the next record.
+    """
     at, view = 0, memoryview(data)
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(CRLF.encode() * 2, at)
+        if end < 0:
+            yield {FAULT: ["no_header_end"]}, view[len(data) :]
+            return
         lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
         headers: dict[str, list[str]] = {}
         for k, _, v in (line.partition(":") for line in lines):
             headers.setdefault(k.strip().lower(), []).append(v.strip())
-        at = end + 4 + int(headers["content-length"][0])
-        yield headers, view[end + 4 : at]
+        length = headers.get("content-length", [""])[0]
+        begin = end + 4
+        stop = begin + int(length) if length.isascii() and length.isdigit() else -1
+        fault = "no_length" if stop < 0 else "truncated" if stop > len(data) else None
+        if fault is None and data[stop : stop + 4] not in (b"", CRLF.encode(), CRLF.encode() * 2):
+            fault = "wrong_length"
+        if fault:
+            after = data.find(CRLF.encode() * 2 + b"WARC/", begin)
+            stop = after if after >= 0 else len(data)
+            headers[FAULT] = [fault]
+        yield headers, view[begin:stop]
+        at = stop
 
 
 def _gunzip(data: bytes) -> bytes:
+    """A file's members, one behind the other; what can be read of a damaged one."""
     out = []
-    while data[:2] == b"\x1f\x8b":  # members of a file follow each other
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
+    while data[:2] == b"\x1f\x8b":
+        d, at = zlib.decompressobj(31), 0
+        try:
+            while at < len(data) and not d.eof:
+                out.append(d.decompress(data[at : at + (1 << 20)]))
+                at += 1 << 20
+        except zlib.error:
+            break
+        if not d.eof:
+            break
+        data = d.unused_data + data[at:]
     return b"".join(out) if out else data
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The records of all archives under path, gzipped or not: RECORD's columns, and the payload if asked for.
+    """The records of all archives under path, gzipped or not: RECORD's columns, fault, and the payload if asked for.
 
     payload_bytes and payload_digest are of the bytes read (of HTTP records: after the HTTP headers); digest is what the
-    header claims; fields are those of application/warc-fields blocks.
+    header claims; fields are those of application/warc-fields blocks. fault is null, or what is wrong with the record: see
+    parse_records(), and no_http_end (no blank line ends the HTTP headers; no payload) and not_text (fields that aren't
+    UTF-8). A damaged record or file never fails the others; an empty folder is an error, as there is nothing to read,
+    and an empty file has no records. A file is held whole by the task that reads it; write_warc() bounds its size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.strip().split(" ")[0] for x in RECORD.split(", ")] + ["payload"] * payload
-        types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * payload
+        names = [x.strip().split(" ")[0] for x in RECORD.split(", ")] + ["fault"] + ["payload"] * payload
+        types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()] + [pa.binary()] * payload
         for batch in batches:
             for file in batch.column(0):
                 rows: list[tuple] = []
                 for every, block in parse_records(_gunzip(file.as_py())):
                     h = {k: v[0] for k, v in every.items()}
-                    kind, fields = h.get("content-type", ""), None
+                    kind, fields, fault = h.get("content-type", ""), None, h.get(FAULT)
                     if kind.startswith("application/http"):
-                        raw = bytes(block)
-                        block = block[raw.index(b"\r\n\r\n") + 4 :]
+                        head = bytes(block).find(b"\r\n\r\n")
+                        fault = fault or ("no_http_end" if head < 0 else None)
+                        block = block[head + 4 if head >= 0 else len(block) :]
                     elif kind.startswith("application/warc-fields"):
-                        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in bytes(block).decode().split(CRLF) if x)]
+                        told = bytes(block).decode("utf-8", "replace")
+                        fault = fault or ("not_text" if "\ufffd" in told else None)
+                        fields = list({k.strip(): v.strip() for k, _, v in (x.partition(":") for x in told.split(CRLF) if x)}.items())
                     digest = h.get("warc-payload-digest", "").partition(":")[2] or None
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), every.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, len(block), hashlib.sha256(block).hexdigest(), fields, *([bytes(block)] if payload else [])))
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), every.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, len(block), hashlib.sha256(block).hexdigest(), fields, fault, *([bytes(block)] if payload else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, RECORD + (", payload binary" if payload else ""))
+    return files.select("content").mapInArrow(run, RECORD + ", fault string" + (", payload binary" if payload else ""))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -136,10 +171,13 @@ def assemble(records: DataFrame) -> DataFrame:
     Records belong together that name each other in WARC-Concurrent-To (any number of times), straight or through one other
     record, whichever of them names which; a record that names none and is named by none is a capture of its own.
     capture_id is the smallest record id. Of several requests or responses of a capture, that with the smallest record id is
-    taken; repeated records count once, missing ones are null; records without an id, and an empty table, give no rows.
+    taken; repeated records count once, missing ones are null; records without an id or with a fault, and an empty table, give
+    no rows.
 
     Only ids meet to find the captures: two rounds of the least id among neighbours, with partial minima.
     """
+    if "fault" in records.columns:
+        records = records.filter("fault is null").drop("fault")
     cols = [c for c in records.columns if c != "payload"] + (["payload"] if "payload" in records.columns else [])
     named = written(records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).filter("a is not null and b is not null").distinct())
     both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -639,3 +639,36 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_damaged_archives_lose_only_what_is_damaged(spark, tmp_path):
+    import gzip
+
+    end = b"\r\n\r\n"
+
+    def record(rid, block, length=None, kind="application/http", more=b""):
+        n = b"" if length == "" else f"Content-Length: {len(block) if length is None else length}\r\n".encode()
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: " + rid + b"\r\n" + n + b"Content-Type: " + kind.encode() + more + end + block + end
+
+    http = b"HTTP/1.1 200 OK" + end
+    files = {
+        "fine": record(b"a", http + b"one") + record(b"b", http + b"two"),
+        "no_length": record(b"c", http + b"x", "") + record(b"d", http + b"after"),
+        "wrong": record(b"e", http + b"longer than told", 21) + record(b"f", http + b"after"),
+        "words": record(b"g", http + b"x", "many") + record(b"h", http + b"after"),
+        "cut": record(b"i", http + b"whole") + record(b"j", http + b"x" * 99, None)[:-60],
+        "head": record(b"k", http + b"whole") + b"WARC/1.1\r\nWARC-Type: resp",
+        "odd": record(b"l", b"no blank line") + record(b"m", b"page-id: \xff\r\n", kind="application/warc-fields") + record(b"n", b"page-id: 1\r\npage-id: 2\r\n", kind="application/warc-fields"),
+        "empty": b"", "noise": b"\x00\x01 nothing here", "too_far": record(b"p", http + b"x", 10**9) + record(b"q", http + b"after"),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "fine.gz").write_bytes(gzip.compress(record(b"r", http + b"zip")) + gzip.compress(record(b"s", http + b"zap")))
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(record(b"t", http + b"t") + record(b"u", http + random.Random(1).randbytes(3000)))[:-1500])
+    (tmp_path / "bad.gz").write_bytes(gzip.compress(record(b"v", http + b"v")) + b"\x1f\x8b broken")
+    back = warc.read_records(spark, f"file://{tmp_path}", payload=True).collect()
+    faults = {r.record_id: r.fault for r in back}
+    assert {k: v for k, v in faults.items() if v} == {"c": "no_length", "e": "wrong_length", "g": "no_length", "j": "truncated", None: "no_header_end", "l": "no_http_end", "m": "not_text", "p": "truncated", "u": "truncated"}
+    assert {r.record_id: bytes(r.payload) for r in back if not r.fault and r.record_id != "n"} == {"a": b"one", "b": b"two", "d": b"after", "f": b"after", "h": b"after", "i": b"whole", "k": b"whole", "q": b"after", "r": b"zip", "s": b"zap", "t": b"t", "v": b"v"}
+    got = warc.assemble(warc.read_records(spark, f"file://{tmp_path}")).collect()
+    assert {r.capture_id for r in got} == {k for k, v in faults.items() if not v}
