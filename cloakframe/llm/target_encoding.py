@@ -17,8 +17,8 @@ from .common import parts, table, written
 FOLDS, WEIGHT, FIRST = 5, 50, 500_000
 #: Probes of a node of the recursion that meet its left half's totals in one place, as a power of two.
 PROBE_BITS = 10
-#: Share of a key's rows below which those that need other leaves are joined apart from the rest; the results are the same.
-FEW = 0.25
+#: Leaves of a file of what leaves tell.
+LEAVES = 1 << 16
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -76,7 +76,7 @@ def _leaves(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, apa
 
     laid = rows.repartitionByRange(parts(rows.sparkSession), key, time, *apart).sortWithinPartitions(key, time)
     names = laid.columns
-    summary = pa.struct([("first", pa.string()), ("first_time", pa.int64()), ("last", pa.string()), ("last_time", pa.int64()), ("every", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("open", pa.int64()), ("rows", pa.int64())])
+    summary = pa.struct([("first", pa.string()), ("first_time", pa.int64()), ("last", pa.string()), ("last_time", pa.int64()), ("every", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, k = TaskContext.get().partitionId(), 0
@@ -91,13 +91,12 @@ def _leaves(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, apa
             told = [None] * (batch.num_rows - 1) + [{
                 "first": _text(value, 0), "first_time": int(t[0]), "last": _text(value, len(t) - 1), "last_time": int(t[-1]),
                 "every": _per_fold(folds, f[begin:], cn[begin:], cs[begin:]), "tail": _per_fold(folds, f[now:], cn[now:], cs[now:]),
-                "open": int(np.count_nonzero(part)), "rows": len(t),
             }]
             leaf = ((pid << 32) + k << 2) + part  # leaf and part in one column, as all of them move with the rows
             k += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(got_n), pa.array(got_s), pa.array(told, summary)], names=[*names, f"{key}_leaf", f"{key}_n", f"{key}_s", f"{key}_told"])
 
-    more = f"`{key}_leaf` bigint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>,open:bigint,rows:bigint>"
+    more = f"`{key}_leaf` bigint, `{key}_n` bigint, `{key}_s` bigint, `{key}_told` struct<first:string,first_time:bigint,last:string,last_time:bigint,every:array<bigint>,tail:array<bigint>>"
     got = written(laid.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", " + more), "snappy")
     told = got.filter(F.col(f"{key}_told").isNotNull()).select(F.lit(key).alias("key"), F.shiftright(f"{key}_leaf", 2).alias("leaf"), f"{key}_told.*")
     return got.drop(f"{key}_told"), told
@@ -111,10 +110,10 @@ def earlier_leaves(told: DataFrame, folds: int) -> DataFrame:
     summed up per key value and fold, and joined by the probes of its right half; what all levels give is added up.
     A node's probes meet in blocks of 2**PROBE_BITS, so that no key gathers more. As many rounds as the positions have bits.
     """
-    top = told.agg(F.max(F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1))), F.max(F.shiftright("leaf", 32))).first()
-    low, high = (int(x or 0).bit_length() for x in top)
+    top = told.agg(F.max(F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1))), F.max(F.shiftright("leaf", 32)), F.count("*")).first()
+    low, high = (int(x or 0).bit_length() for x in top[:2])
     pos = F.shiftleft(F.shiftright("leaf", 32), low).bitwiseOR(F.col("leaf").bitwiseAND(F.lit((1 << low) - 1)))
-    t = written(told.withColumn("pos", pos))
+    t = written(told.withColumn("pos", pos).coalesce(1 + top[2] // LEAVES))
     sums = [f"c{i}" for i in range(2 * folds)]
     split = lambda c: [F.col(c)[i].alias(s) for i, s in enumerate(sums)]
     history = t.select("key", F.col("last").alias("v"), F.lit(None).cast("bigint").alias("tie"), "pos", *split("every"))
@@ -144,8 +143,8 @@ def earlier_leaves(told: DataFrame, folds: int) -> DataFrame:
     return written(got.select("key", "leaf", F.array(*[others(f, w) for f in range(folds)]).alias("whole"), F.array(*[others(f, b) for f in range(folds)]).alias("before")))
 
 
-def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: str, apart: list[str], folds: int = FOLDS) -> DataFrame:
-    """rows with <key>_n and <key>_s for each key: the sums of n and s over rows of the same key value, of another fold and strictly
+def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: str, apart: list[str], folds: int = FOLDS, keep: list[str] | None = None) -> DataFrame:
+    """rows, or their columns `keep`, with <key>_n and <key>_s for each key: the sums of n and s over rows of the same key value, of another fold and strictly
     earlier.
 
     time is a timestamp or a whole number without nulls, fold 0 to folds - 1, n and s are long; null key values are one value;
@@ -153,27 +152,21 @@ def history(rows: DataFrame, keys: list[str], time: str, fold: str, n: str, s: s
     order; a leaf of that order counts its own rows, and the recursion over leaves, see earlier_leaves(), the rest. rows
     must have no other columns named <key>_leaf, _told, _n or _s. No rows give no rows.
     """
-    kept, told = rows.columns, []
-    for key in keys:
+    keep = rows.columns if keep is None else keep
+    told, last = [], [*keys, time, *apart]
+    for i, key in enumerate(keys):
         rows, one = _leaves(rows, key, time, fold, n, s, apart, folds)
         told.append(one)
-    every = reduce(DataFrame.unionByName, told)
-    base = earlier_leaves(every, folds)
-    # Where few rows of a key begin in an earlier leaf, only these are shuffled to meet what it tells.
-    few = {r.key for r in every.groupBy("key").agg(F.sum("open").alias("o"), F.sum("rows").alias("r")).collect() if r.o < FEW * r.r}
-
-    def with_base(rows: DataFrame, key: str) -> DataFrame:
+        # What no later step needs doesn't move on.
+        rows = rows.drop(*[c for c in last if c not in keep and (i == len(keys) - 1 or c not in (*keys[i + 1 :], time, *apart))])
+    base = earlier_leaves(reduce(DataFrame.unionByName, told), folds)
+    for key in keys:
         b = base.filter(F.col("key") == key).select(F.col("leaf").alias("b_leaf"), "whole", "before").hint("shuffle_hash")
         rows = rows.join(b, F.shiftright(f"{key}_leaf", 2) == F.col("b_leaf"), "left")
         part = F.col(f"{key}_leaf").bitwiseAND(F.lit(3))
         more = F.when(part == 1, F.col("whole")).when(part == 2, F.col("before"))[F.col(fold).cast("int")]
-        return rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before")
-
-    if few:
-        some = reduce(lambda a, b: a | b, [F.col(f"{key}_leaf").bitwiseAND(F.lit(3)) != 0 for key in sorted(few)])
-        rows = reduce(with_base, [k for k in keys if k in few], rows.filter(some)).unionByName(rows.filter(~some))
-    rows = reduce(with_base, [k for k in keys if k not in few], rows)
-    return rows.select(*kept, *[f"{key}_{c}" for key in keys for c in ("n", "s")])
+        rows = rows.withColumns({f"{key}_{c}": F.col(f"{key}_{c}") + F.coalesce(more[c], F.lit(0)) for c in ("n", "s")}).drop("b_leaf", "whole", "before", f"{key}_leaf")
+    return rows.select(*keep, *[f"{key}_{c}" for key in keys for c in ("n", "s")])
 
 
 def rate(key: str, prior: Column) -> Column:
@@ -208,14 +201,15 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     s = sales.filter(F.col("sold_at").isNotNull()).select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), "sold_at", fold.alias("fold"))
     s = s.join(whole.hint("shuffle_hash"), F.col("sale_id") == F.col("w_sale")).drop("w_sale")
     s = _lookup(s, "client_id", clients, "client_id", "segment").withColumn("any", F.lit(0))
-    s = history(written(s), ["any", "segment", "client_id"], "sold_at", "fold", "lines", "returned", ["sale_id"])
+    s = history(written(s), ["any", "segment", "client_id"], "sold_at", "fold", "lines", "returned", ["sale_id"], keep=["sale_id", "sold_at", "fold"])
     s = s.withColumn("any_rate", rate("any", F.lit(FIRST).cast("bigint")))
     s = s.withColumn("client_rate", rate("client_id", rate("segment", F.col("any_rate"))))
     s = s.select(F.col("sale_id").alias("s_sale"), "sold_at", "fold", "any_rate", F.col("client_id_n").alias("client_n"), "client_rate")
     x = own.join(written(s).hint("shuffle_hash"), F.col("sale_id") == F.col("s_sale")).drop("s_sale")
     x = _lookup(x, "item_id", items, "item_id", "kind")
     x = _lookup(x, "vendor_id", vendors, "vendor_id", "nation_id")
-    x = history(written(x), ["kind", "item_id", "nation_id", "vendor_id"], "sold_at", "fold", "n_lines", "n_returned", ["sale_id", "item_id", "vendor_id"])
+    ids = ["sale_id", "item_id", "vendor_id"]
+    x = history(written(x), ["kind", "nation_id", "item_id", "vendor_id"], "sold_at", "fold", "n_lines", "n_returned", ids, keep=[*ids, "n_lines", "n_returned", "any_rate", "client_n", "client_rate"])
     x = x.withColumn("item_rate", rate("item_id", rate("kind", F.col("any_rate")))).withColumn("vendor_rate", rate("vendor_id", rate("nation_id", F.col("any_rate"))))
     return x.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", F.col("item_id_n").alias("item_n"), "item_rate", F.col("vendor_id_n").alias("vendor_n"), "vendor_rate", "client_n", "client_rate")
 
