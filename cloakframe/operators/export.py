@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
+from ..sources.tables import written
 from . import grid, spans
 
 _ASCII = [int(x) for x in fixed.HELVETICA.split()]
@@ -98,9 +99,10 @@ def original_layout(chars: DataFrame, sizes: DataFrame, selected: DataFrame, lab
     boxed = chars.filter(F.col("x0").isNotNull() & ~exprs.blank(F.col("char")))
     at = boxed.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
     s = selected.select(*key, F.col("start").alias("o_start"), F.col("end").alias("o_end"), "field_type", "finding_id")
-    inside = spans.overlap_join(at.select(*key, "pos", "line", "x0", "y0", "x1", "y1", "start", "end"), s, "inner", inside=True)
+    # Both are used several times below: written once.
+    inside = written(spans.overlap_join(at.select(*key, "pos", "line", "x0", "y0", "x1", "y1", "start", "end"), s, "inner", inside=True))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    fills = inside.groupBy(*key, "finding_id", "line", exprs.redaction_category(F.col("field_type")).alias("category")).agg(*box)
+    fills = written(inside.groupBy(*key, "finding_id", "line", exprs.redaction_category(F.col("field_type")).alias("category")).agg(*box))
     # A character goes if it is a finding's own, or if a rectangle around a finding's line touches its box.
     gone = inside.select(*key, "pos").unionByName(grid.touching(boxed.select(*key, "pos", "x0", "y0", "x1", "y1"), fills.select(*key, "x0", "y0", "x1", "y1"), key).select(*key, "pos")).distinct()
     left = chars.filter(F.col("x0").isNotNull()).join(gone, [*key, "pos"], "left_anti")
