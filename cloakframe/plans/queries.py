@@ -14,7 +14,7 @@ from ..functions import exprs, fixed
 from ..functions.detectors import terms as term_detector
 from ..operators import analysis, context_check as context_check_, export, incremental, layout, quality, review, sharing, spans, views
 from ..sources.readers import manifest, pages_of, restore, token_keys
-from ..sources.tables import shared_path
+from ..sources.tables import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -960,10 +960,10 @@ def reflowed_turns(spark, sf):
 def _layout(spark, sf):
     """Turns as characters in rows of 80, with findings of seven characters, and labels for the first two of a turn."""
     t = _t(spark, sf, "conversations").filter("length(text) > 0").selectExpr("conv_id AS doc_id", "cast(turn as int) AS page", "text")
-    c = t.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("text") - 1))).withColumn("char", F.substring("text", F.col("pos") + 1, F.lit(1))).withColumn("line", F.expr("cast(pos div 80 as int)"))
+    c = t.select("doc_id", "page", F.posexplode(F.split("text", "")).alias("pos", "char")).filter("char <> ''").withColumn("line", F.expr("cast(pos div 80 as int)"))
     x, y = 40.0 + 6.0 * (F.col("pos") % 80), 40.0 + 12.0 * F.col("line")
     boxed = F.col("char") != "\n"
-    c = c.select("doc_id", "page", "pos", "char", "line", *[F.when(boxed, v).alias(n) for n, v in (("x0", x), ("y0", y), ("x1", x + 6.0), ("y1", y + 10.0))])
+    c = written(c.select("doc_id", "page", "pos", "char", "line", *[F.when(boxed, v).alias(n) for n, v in (("x0", x), ("y0", y), ("x1", x + 6.0), ("y1", y + 10.0))]))
     f = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start", F.expr("cast((doc_id * 7 + page) % 50 + 40 * j as int)")).withColumn("end", F.col("start") + 7).filter("end <= length(text)")
     f = f.select("doc_id", "page", "start", "end", F.element_at(F.array(*map(F.lit, ["person_name", "date", "email", "amount"])), F.col("j") + 1).alias("field_type"), F.concat_ws("-", "doc_id", "page", "j").alias("finding_id"), F.when(F.col("j") < 2, F.concat(F.lit("["), "j", F.lit("]"))).otherwise("").alias("label"))
     return c, t.select("doc_id", "page", F.lit(595).alias("width"), F.lit(842).alias("height")), f
