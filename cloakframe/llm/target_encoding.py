@@ -17,6 +17,8 @@ from .common import parts, table, written
 FOLDS, WEIGHT, FIRST = 5, 50, 500_000
 #: Probes of a node of the recursion that meet its left half's totals in one place, as a power of two.
 PROBE_BITS = 10
+#: Levels of the recursion in one round of joins.
+LEVELS = 4
 #: Leaves of a file of what leaves tell.
 LEAVES = 1 << 16
 
@@ -108,7 +110,8 @@ def earlier_leaves(told: DataFrame, folds: int) -> DataFrame:
 
     Divide and conquer over the leaves' positions, which are in order of time: at each level a node's left half is
     summed up per key value and fold, and joined by the probes of its right half; what all levels give is added up.
-    A node's probes meet in blocks of 2**PROBE_BITS, so that no key gathers more. As many rounds as the positions have bits.
+    A node's probes meet in blocks of 2**PROBE_BITS, so that no key gathers more. There are as many levels as the positions
+    have bits; a round of joins takes LEVELS of them.
     """
     top = told.agg(F.max(F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1))), F.max(F.shiftright("leaf", 32)), F.count("*")).first()
     low, high = (int(x or 0).bit_length() for x in top[:2])
@@ -120,14 +123,14 @@ def earlier_leaves(told: DataFrame, folds: int) -> DataFrame:
     history = history.unionByName(t.select("key", F.col("last").alias("v"), F.col("last_time").alias("tie"), "pos", *split("tail")))
     probes = t.select("key", "leaf", F.col("first").alias("v"), F.explode(F.array(F.lit(None).cast("bigint"), F.col("first_time"))).alias("tie"), "pos")
     found = []
-    for level in range(low + high):
-        bit = F.shiftright("pos", level).bitwiseAND(F.lit(1))
-        blocks = 1 << max(0, level - PROBE_BITS)
-        left = history.filter(bit == 0).groupBy("key", "v", "tie", F.shiftright("pos", level + 1).alias("node")).agg(*[F.sum(c).alias(c) for c in sums])
-        left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-        left = left.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "v", "tie", "node", "block")], *sums)
-        right = probes.filter(bit == 1).withColumn("node", F.shiftright("pos", level + 1)).withColumn("block", F.shiftright(F.col("pos").bitwiseAND(F.lit((1 << level) - 1)), PROBE_BITS))
-        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in ("key", "v", "tie", "node", "block")])
+    for first in range(0, low + high, LEVELS):
+        levels = F.explode(F.array(*[F.lit(k) for k in range(first, min(first + LEVELS, low + high))]))
+        half = F.expr("shiftright(pos, level) & 1")
+        left = history.withColumn("level", levels).filter(half == 0).groupBy("key", "v", "tie", "level", F.expr("shiftright(pos, level + 1)").alias("node")).agg(*[F.sum(c).alias(c) for c in sums])
+        left = left.withColumn("block", F.explode(F.expr(f"sequence(0L, shiftleft(1L, greatest(level - {PROBE_BITS}, 0)) - 1)")))
+        left = left.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "v", "tie", "level", "node", "block")], *sums)
+        right = probes.withColumn("level", levels).filter(half == 1).withColumn("node", F.expr("shiftright(pos, level + 1)")).withColumn("block", F.expr(f"shiftright(pos & (shiftleft(1L, level) - 1), {PROBE_BITS})"))
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in ("key", "v", "tie", "level", "node", "block")])
         found.append(right.join(left.hint("merge"), on).select("key", "leaf", "tie", *sums))
     if not found:
         found = [probes.filter("false").select("key", "leaf", "tie", *[F.lit(0).cast("bigint").alias(c) for c in sums])]
