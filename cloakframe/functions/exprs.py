@@ -17,11 +17,6 @@ def mapped(values: dict, key: Column, default: Column | None = None) -> Column:
     return got if default is None else F.coalesce(got, default)
 
 
-def collapse(text: Column) -> Column:
-    """Words joined by single blanks, in lower case."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-
-
 def blank(text: Column) -> Column:
     """White space of any kind alone, or nothing."""
     return text.rlike(r"(?U)\A\s*\z")
@@ -92,12 +87,6 @@ def one_edit(a: Column, b: Column) -> Column:
     return (d == 1) | ((d == 2) & (n == F.length(b)) & (n >= 2) & swap)
 
 
-def calendar_ok(year: Column, month: Column, day: Column) -> Column:
-    """A day that exists; without a year, one of a leap year."""
-    first = F.make_date(F.coalesce(year, F.lit(2000)), F.when(month.between(1, 12), month).otherwise(1), F.lit(1))
-    return month.between(1, 12) & day.between(1, F.day(F.last_day(first)))
-
-
 def birth_near(text: Column, start: Column, end: Column) -> Column:
     """A word of birth within 90 characters of the span."""
     lo = F.greatest(F.lit(0), start - 90)

@@ -108,8 +108,8 @@ def newest(rows: DataFrame, n: int, by: list[str], at: str) -> DataFrame:
 def model_comparison(changes: DataFrame, expected: DataFrame) -> DataFrame:
     """Checks that each model passes: expected (finding_id, want) is keep, protect (no change, or one that doesn't keep) or a
     field type; changes: model, finding_id, action, field_type. Every model is held against every expectation."""
-    models = changes.agg(F.array_sort(F.collect_set("model")).alias("models"))  # one row: the models that were tried
-    every = expected.withColumn("one", F.lit(1)).join(models.withColumn("one", F.lit(1)), "one").select("finding_id", "want", F.explode("models").alias("model"))
+    models = changes.agg(F.array_sort(F.collect_set("model")).alias("models")).scalar()  # one value: the models that were tried
+    every = expected.select("finding_id", "want", F.explode(models).alias("model"))
     j = every.join(changes, ["model", "finding_id"], "left")
     passed = F.when(F.col("want") == "keep", F.coalesce(F.col("action") == "keep", F.lit(False))).when(F.col("want") == "protect", F.coalesce(F.col("action") != "keep", F.lit(True))).otherwise(F.coalesce(F.col("field_type") == F.col("want"), F.lit(False)))
     return j.groupBy("model").agg(F.count_if(passed).alias("passed"), F.count("*").alias("total"))

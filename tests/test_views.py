@@ -75,3 +75,14 @@ def test_an_added_detector_and_bulk_choices(spark):
         del detectors.REGISTRY["shouting"]
     f = spark.createDataFrame([(True, "unreviewed"), (False, "confirmed_keep")], "selected boolean, status string")
     assert {(r.selected, r.status) for r in quality.bulk(f, True).collect()} == {(True, "confirmed_remove")} and quality.bulk(f, False).filter(F.col("selected")).count() == 0
+
+
+def test_a_region_beyond_the_limits_fails_the_analysis(spark):
+    from cloakframe.operators import analysis
+
+    kind = "doc_id string, page int, label string, text string, x0 double, y0 double, x1 double, y1 double"
+    fine = spark.createDataFrame([("d", 1, "text", "t", 0.0, 0.0, 1.0, 1.0)], kind)
+    assert analysis.valid_regions(fine).count() == 1
+    for bad in (("d", 41, "text", "t"), ("d", 1, "x" * 81, "t"), ("d", 0, "text", None)):
+        with pytest.raises(Exception, match="not valid"):
+            analysis.valid_regions(spark.createDataFrame([(*bad, 0.0, 0.0, 1.0, 1.0)], kind)).collect()
