@@ -69,7 +69,7 @@ def encode_packed(texts: list[str], path: str) -> list[bytes]:
     seen: set[str] = set()
     for p in parts:
         seen.update(p or ())
-    seen.difference_update(words)
+    seen = seen.difference(words)  # a look-up of each new word, not a walk over all known ones
     # Most words are of letters a to z alone, so one piece.
     plain = {w: w.lower() for w in seen if w.isascii() and w.isalpha()}
     new = {w: _PIECES(w.lower()) for w in seen.difference(plain)}
