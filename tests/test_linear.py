@@ -104,3 +104,14 @@ def test_a_page_of_100_000_spans_takes_seconds(spark):
     assert spans.redact(page, kept).select(F.length("text")).first()[0] > 500_000
     assert review.pack(df.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "size")).agg(F.max("batch")).first()[0] > 1000
     assert time.time() - start < 60
+
+
+def test_page_ranges_of_a_long_text_take_one_pass(spark):
+    text = "abcdef " * 40_000 + "ab-\xad  cdxef"
+    at = [i for i in range(len(text)) if i % 7 != 6 or i > 279_990]
+    rows = [("long", 0, len(at), at, text), ("part", 1, 5, [0, 2, 5, 6, 9, 10], "a-b  cd- ex"), ("other", 0, 3, [0, 2, 4], "a.b-c"), ("none", 2, 2, [0, 1, 2], "abc"), ("bare", 0, 2, [0, 5], None)]
+    df = spark.createDataFrame(rows, "id string, start int, end int, offsets array<int>, page_text string")
+    start = time.time()
+    got = sorted((r.id, r.start, r.end) for r in layout.page_ranges(df).collect())
+    assert time.time() - start < 20
+    assert got == [("bare", 0, 6), ("long", 0, len(text)), ("other", 0, 1), ("other", 2, 5), ("part", 2, 10)]
