@@ -145,12 +145,16 @@ def fold_export(spans: DataFrame) -> DataFrame:
     """The plain export's merge of (doc_id, page, start, end, entity_id, replacement): overlapping spans become one, which
     keeps its replacement only while each joined span is of the first one's entity, else [REDACTED]."""
     place = F.struct("start", (-F.col("end")).alias("o"), "entity_id", F.coalesce("replacement", F.lit("[REDACTED]")).alias("r"))
+    # Rows are sorted by all that they hold, once: nothing lies beside the place.
     order = Window.partitionBy("doc_id", "page").orderBy("place")
-    w = spans.withColumn("place", place).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    w = w.withColumn("new", (F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).cast("int"))
+    w = spans.select("doc_id", "page", place.alias("place"))
+    end = -F.col("place.o")
+    w = w.withColumn("reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    w = w.withColumn("new", (F.col("reach").isNull() | (F.col("place.start") >= F.col("reach"))).cast("int"))
     w = w.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    same = (F.min("entity_id") == F.max("entity_id")) & (F.count("entity_id") == F.count("*"))
-    g = w.groupBy("doc_id", "page", "island").agg(F.min("place").alias("first"), F.max("end").alias("end"), ((F.count("*") == 1) | F.coalesce(same, F.lit(False))).alias("one"))
+    entity = F.col("place.entity_id")
+    same = (F.min(entity) == F.max(entity)) & (F.count(entity) == F.count("*"))
+    g = w.groupBy("doc_id", "page", "island").agg(F.min("place").alias("first"), F.max(end).alias("end"), ((F.count("*") == 1) | F.coalesce(same, F.lit(False))).alias("one"))
     return g.select("doc_id", "page", "first.start", "end", F.when(F.col("one"), F.col("first.r")).otherwise(F.lit("[REDACTED]")).alias("label"))
 
 
