@@ -7,9 +7,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,11 @@ END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Ids that a leaf of the manifest's tree covers, and children that an inner node has at most, as powers of two.
 SPAN_BITS, FAN_BITS = 20, 12
-#: Pieces, and words of pieces, whose ids a worker keeps, about.
-CACHE = 1 << 19
+#: Words and pieces whose ids a worker keeps, about.
+CACHE = 1 << 20
+#: Low bits of a place among the kept ids, which are their number; the others are where they begin.
+_BITS = 30
+_SIZE = (1 << _BITS) - 1
 
 #: Any but the characters that the quick path may see: those up to U+00FF that Python and the library class alike, and common punctuation.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff‐-‧‰-⁞]").search
@@ -35,26 +40,29 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, quick = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # For pieces in lower case, one blank apart: nothing is left to lower and to split but at blanks.
+    quick.normalizer = None
+    quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     n = tokenizer.get_vocab_size(with_added_tokens=True)
     ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-    return tokenizer, {}, {}, ends
+    return tokenizer, quick, {}, bytearray(), ends
 
 
 def _library(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _learn(tokenizer, ends: np.ndarray, pieces: list[str]) -> dict[str, bytes]:
-    """The ids of each piece: all in one call, parted where a piece's last token ends it."""
-    ids = np.array(tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+def _learn(tokenizer, quick, ends: np.ndarray, pieces: list[str]) -> tuple[bytes, list[int]]:
+    """The ids of the pieces, one behind the other, and where each piece's end: all in one call, a piece's last token ends it."""
+    ids = np.array(quick.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
     cut = np.flatnonzero(ends[ids]) + 1
-    if len(cut) != len(pieces):
-        return {p: _library(tokenizer, p) for p in pieces}
-    raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-    return {p: raw[i:j] for p, i, j in zip(pieces, at, at[1:])}
+    if len(cut) == len(pieces):
+        return ids.tobytes(), cut.tolist()
+    each = [_library(tokenizer, p) for p in pieces]
+    return b"".join(each), list(accumulate(len(x) >> 2 for x in each))
 
 
 def encode_packed(texts: list[str], path: str) -> list[bytes]:
@@ -62,33 +70,52 @@ def encode_packed(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer lower-cases, drops white space and encodes each piece of its splitter on its own. Texts of characters
     that Python surely splits alike are cut here, and each piece goes to the library once (until CACHE are known); any
-    other text, and any with what may be a special token, goes to the library whole.
+    other text, and any with what may be a special token, goes to the library whole. Arrow parts the texts into words and
+    numbers the different ones, so that Python looks each of them up once in a call.
     """
-    tokenizer, kept, words, ends = _tokenizer(path)
-    parts = [None if "<|" in t or _OTHER(t) else t.split() for t in texts]
-    seen: set[str] = set()
-    for p in parts:
-        seen.update(p or ())
-    seen = seen.difference(words)  # a look-up of each new word, not a walk over all known ones
-    # Most words are of letters a to z alone, so one piece.
-    plain = {w: w.lower() for w in seen if w.isascii() and w.isalpha()}
-    new = {w: _PIECES(w.lower()) for w in seen.difference(plain)}
-    pieces = set(plain.values())
-    for ps in new.values():
-        pieces.update(ps)
-    fresh = _learn(tokenizer, ends, list(pieces.difference(kept)))
-    kept.update(fresh)
-    get = kept.__getitem__
-    words.update(zip(plain, map(get, plain.values())))
-    words.update((w, b"".join(map(get, ps))) for w, ps in new.items())
-    new.update(plain)
-    get = words.__getitem__
-    out = [_library(tokenizer, t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
-    for cache, late in ((kept, fresh), (words, new)):
-        if len(cache) > CACHE:  # what came too late is forgotten
-            for p in late:
-                del cache[p]
-    return out
+    tokenizer, quick, places, pool, ends = _tokenizer(path)
+    whole = ["<|" in t or _OTHER(t) is not None for t in texts]
+    lists = pc.utf8_split_whitespace(pa.array(["" if x else t for t, x in zip(texts, whole)], pa.large_string()))
+    coded = pc.dictionary_encode(lists.flatten())
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # A place: where in the pool the ids begin, and how many they are (in the low bits).
+    place = np.fromiter(map(places.get, different, repeat(-1)), np.int64, len(different))
+    missing, known, late = np.flatnonzero(place < 0), len(pool) >> 2, []
+    if len(missing):
+        new = [different[k] for k in missing.tolist()]
+        # Most words are of letters a to z alone, so one piece.
+        parted = [w.lower() if w.isascii() and w.isalpha() else _PIECES(w.lower()) for w in new]
+        pieces = {p for p in parted if type(p) is str}.union(*[p for p in parted if type(p) is list])
+        fresh = [p for p in pieces if p not in places]
+        raw, cut = _learn(tokenizer, quick, ends, fresh)
+        pool += raw
+        places.update(zip(fresh, [known + i << _BITS | j - i for i, j in zip([0, *cut], cut)]))
+        at = len(pool) >> 2
+        for k, ps in enumerate(parted):
+            if type(ps) is list:  # several pieces: their ids, joined
+                if len(ps) != 1:
+                    joined = b"".join([pool[4 * (x >> _BITS) : 4 * ((x >> _BITS) + (x & _SIZE))] for x in map(places.__getitem__, ps)])
+                    pool += joined
+                    parted[k] = at << _BITS | len(joined) >> 2
+                    at += len(joined) >> 2
+                else:
+                    parted[k] = places[ps[0]]
+            else:
+                parted[k] = places[ps]
+        places.update(zip(new, parted))
+        place[missing] = parted
+        late = [*fresh, *new]
+    # Each word's ids from those of the different ones, all at once.
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    n = (place & _SIZE)[which]
+    last = np.cumsum(n)
+    ids = np.frombuffer(pool, dtype="<u4")[np.arange(n.sum()) + np.repeat((place >> _BITS)[which] - last + n, n)]
+    at = np.concatenate([[0], last])[lists.offsets.to_numpy()].tolist()
+    if len(places) > CACHE:  # what came too late is forgotten
+        for w in late:
+            places.pop(w, None)
+        del pool[4 * known :]
+    return [_library(tokenizer, t) if x else ids[i:j].tobytes() for t, x, i, j in zip(texts, whole, at, at[1:])]
 
 
 _MIX = np.random.default_rng(20240101).integers(1, 2**32, size=1 << 16, dtype=np.uint64).astype(np.uint32)

@@ -627,6 +627,33 @@ def test_piece_splitter_agrees_with_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_words_are_looked_up_once_a_call(monkeypatch):
+    """The store's encoder asks its table once for each different word of a call, not once for each word."""
+    import public_tokenizers as P
+
+    path = P.path("word_bpe_49k.json")
+    asked = []
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    first, *rest = store._tokenizer(path)
+    made = (first, *[Counting() if type(x) is dict else type(x)() if isinstance(x, bytearray) else x for x in rest])
+    monkeypatch.setattr(store, "_tokenizer", lambda _: made)
+    texts = ["The cat don't  sit on the mat. " * 500, "the mat", "", "cat"]
+    for _ in range(2):
+        asked.clear()
+        got = store.encode_packed(texts, path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [first.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(asked) < 40
+
+
 def test_checkpoint_folder_is_needed_on_a_cluster():
     class Context:
         master, applicationId = "yarn", "x"
