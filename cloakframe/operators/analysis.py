@@ -53,16 +53,19 @@ def _and_last(every: DataFrame, extra: DataFrame) -> DataFrame:
 def spans_of(pages: DataFrame, model: DataFrame | None = None, entities: DataFrame | None = None, paragraphs: DataFrame | None = None, terms: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
     """Every source's common spans of pages, in turn, written: what analyse() goes on with. See there for the sources.
 
-    All detectors over whole pages run in one pass over the texts.
+    All detectors over whole pages run in one pass over the texts, which are dealt over all cores before: a small file, which
+    one task would read, holds many. Only a named-entity model's spans are held against lists of medicines.
     """
+    spark = pages.sparkSession
+    dealt = pages.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism), "doc_id", "page")
     names = [*PAGE_DETECTORS, *(["terms"] if terms else []), "references", *(["topics"] if paragraphs is None else [])]
     sources = [] if model is None else [spans.label_spans(model, pages)]
-    sources.append(spans.detect(pages, names, {"terms": term_detector(terms or [], fuzzy)} if terms else None))
+    sources.append(spans.detect(dealt, names, {"terms": term_detector(terms or [], fuzzy)} if terms else None))
     if paragraphs is not None:
         sources.append(detect_in_paragraphs(paragraphs, pages, ["topics"]))
     if entities is not None:
-        sources.append(entities)
-    return written(layout.drop_medication_places(_in_turn(*sources), pages))
+        sources.append(layout.drop_medication_places(entities, pages))
+    return written(_in_turn(*sources))
 
 
 def findings_of(every: DataFrame, pages: DataFrame, regions: DataFrame | None = None, boxes: DataFrame | None = None, role: str = "", goal: str = "", retain: list[str] | None = None) -> DataFrame:
