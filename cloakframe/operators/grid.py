@@ -41,10 +41,11 @@ def in_boxes(points: DataFrame, boxes: DataFrame, by: list[str], slack: float =
     return p.join(placed, on & inside).drop("p_level", "p_cx", "p_cy", "g_level", "g_cx", "g_cy", *[f"g_{c}" for c in by])
 
 
-def touching(small: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+def touching(small: DataFrame, boxes: DataFrame, by: list[str], pairs: bool = False) -> DataFrame:
     """The rows of small (by, x0, y0, x1, y1, …) whose box shares area with any of the key's boxes (by, x0, y0, x1, y1).
 
     As in in_boxes(), each side lies in cells of a level; a small box looks into all its cells. Boxes without area, or null or non-finite ones, touch nothing.
+    pairs: a row for each such box, as g_x0, g_y0, g_x1, g_y1.
     """
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < 1e15)
     real = fine("x0") & fine("y0") & fine("x1") & fine("y1") & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
@@ -58,12 +59,14 @@ def touching(small: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
     for c in by:
         on = on & (F.col(c) == F.col(f"l_{c}"))
     s = small.filter(real).withColumn("p_own", fit()).join(levels, on).drop(*[f"l_{c}" for c in by]).withColumn("p_level", F.explode("p_levels")).drop("p_levels")
-    near = F.col("p_own") <= F.col("p_level") + 2  # 25 cells at most; wider ones meet all boxes of that level
+    # Of boxes that are wide for the level, flat ones look into few cells, too; the others meet all boxes of that level.
+    how = "inner" if pairs else "left_semi"
+    near = (F.col("p_own") <= F.col("p_level") + 2) | ((cell("x1", "p_level") - cell("x0", "p_level") + 1) * (cell("y1", "p_level") - cell("y0", "p_level") + 1) <= 64)
     key = F.col("p_level") == F.col("g_level")
     for c in by:
         key = key & (F.col(c) == F.col(f"g_{c}"))
     share = (F.col("x0") < F.col("g_x1")) & (F.col("g_x0") < F.col("x1")) & (F.col("y0") < F.col("g_y1")) & (F.col("g_y0") < F.col("y1"))
     cells = s.filter(near).withColumn("p_cx", F.explode(F.sequence(cell("x0", "p_level"), cell("x1", "p_level")))).withColumn("p_cy", F.explode(F.sequence(cell("y0", "p_level"), cell("y1", "p_level"))))
-    hit = cells.join(b, key & (F.col("p_cx") == F.col("g_cx")) & (F.col("p_cy") == F.col("g_cy")) & share, "left_semi").drop("p_cx", "p_cy")
-    wide = s.filter(~near).join(b, key & share, "left_semi")
-    return hit.unionByName(wide).drop("p_own", "p_level").distinct()
+    hit = cells.join(b, key & (F.col("p_cx") == F.col("g_cx")) & (F.col("p_cy") == F.col("g_cy")) & share, how).drop("p_cx", "p_cy")
+    wide = s.filter(~near).join(b, key & share, how)
+    return hit.unionByName(wide).drop("p_own", "p_level", "g_level", "g_cx", "g_cy", *[f"g_{c}" for c in by]).distinct()
