@@ -279,7 +279,10 @@ def quality_edits(findings: DataFrame, changes: DataFrame, additions: DataFrame,
     every = written(every)  # used three times below
     public = every.filter(F.col("kept") & F.col("field_type").isin("organisation_name", "case_reference") & (F.col("levels") == F.array(F.lit(fixed.PUBLIC))))
     outer = public.select("doc_id", "page", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("finding_id").alias("o_id"))
-    out = review.reconcile_keeps(every, outer, every.filter("asked").select("finding_id"))
+    # A changed finding that the check asks to protect says so itself; only of additions may several have one id.
+    asked = every.filter("asked and outcome like 'added%'").select("finding_id")
+    hit = review.fragments(every.filter("not asked"), outer, asked)
+    out = review.marked_inside(every, hit)
     counts = out.groupBy("doc_id").agg(
         F.count_if(F.col("outcome") == "changed").alias("changed"), F.count_if(F.col("outcome").startswith("added")).alias("added"),
         F.count_if(F.col("outcome").endswith("protected")).alias("protected"), F.count_if(F.col("inside_of").isNotNull()).alias("reconciled"), F.count_if(~F.col("selected")).alias("kept"),

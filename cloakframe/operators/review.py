@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
 from ..functions.matching import Prepared, fold, term_index
+from ..sources.tables import written
 from . import sweep
 
 
@@ -140,7 +141,7 @@ def new_additions(additions: DataFrame, findings: DataFrame) -> DataFrame:
     wins over keep. findings: doc_id, page, start, end, field_type, finding_id, selected, protected."""
     place = ["doc_id", "page", "start", "end"]
     fresh = additions.join(findings, [*place, "field_type"], "left_anti")
-    chosen = findings.filter("protected").groupBy(*place).agg(F.max("selected").alias("any"), (F.count_distinct("selected") > 1).alias("conflict"), F.array_join(F.array_sort(F.collect_list("finding_id")), ",").alias("ids"))
+    chosen = findings.filter("protected").groupBy(*place).agg(F.max("selected").alias("any"), (F.min("selected") != F.max("selected")).alias("conflict"), F.array_join(F.array_sort(F.collect_list("finding_id")), ",").alias("ids"))
     return fresh.join(chosen, place, "left").withColumn("selected", F.coalesce("any", F.col("action") != "keep")).withColumn("conflict", F.coalesce("conflict", F.lit(False))).drop("any")
 
 
@@ -156,13 +157,24 @@ def reconcile_keeps(findings: DataFrame, kept: DataFrame, explicit: DataFrame |
     explicit: finding_ids that the check itself asks to protect, which stay as they are. inside_of is the enclosing
     finding; suggestion, reason and detector, where findings have them, say so.
     """
+    return marked_inside(findings, fragments(findings, kept, explicit))
+
+
+def fragments(findings: DataFrame, kept: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """The findings that reconcile_keeps() unselects: finding_id, inside_of. Written."""
     from .spans import overlap_join
 
     machine = F.forall(F.split("detector", r" \+ "), lambda s: s.rlike(MACHINE_SOURCES))
     can = findings.filter(F.col("selected") & ~F.col("protected") & F.col("field_type").isin(FRAGMENT_TYPES) & machine)
     if explicit is not None:
         can = can.join(explicit.select("finding_id"), "finding_id", "left_anti")
-    hit = overlap_join(can, kept, "inner", inside=True).filter("o_id <> finding_id").groupBy("finding_id").agg(F.max("o_id").alias("inside_of"))
+    place = ["doc_id", "page", "start", "end", "finding_id"]
+    # Few as a rule: written, so that Spark knows their number and need not move all findings to them.
+    return written(overlap_join(can.select(*place), kept, "inner", inside=True).filter("o_id <> finding_id").groupBy("finding_id").agg(F.max("o_id").alias("inside_of")))
+
+
+def marked_inside(findings: DataFrame, hit: DataFrame) -> DataFrame:
+    """Findings with what fragments() found: unselected, and inside_of, the enclosing one."""
     hits = F.col("inside_of").isNotNull()
     told = {"selected": F.col("selected") & ~hits}
     if "suggestion" in findings.columns:
