@@ -192,7 +192,8 @@ def learned(findings: DataFrame, taught: DataFrame, kept: DataFrame) -> DataFram
     t = taught.select("doc_id", "key", "field_type", F.lit(True).alias("taught")).distinct()
     k = kept.select("doc_id", "finding_id", F.lit(True).alias("kept")).distinct()
     same, keep = F.coalesce("taught", F.lit(False)), F.coalesce("kept", F.lit(False))
-    findings = findings.join(t, ["doc_id", "key", "field_type"], "left").join(k, ["doc_id", "finding_id"], "left")
+    # Terms and kept ones, one row a key, are held by a task; the many findings stream past them unsorted.
+    findings = findings.join(t.hint("shuffle_hash"), ["doc_id", "key", "field_type"], "left").join(k.hint("shuffle_hash"), ["doc_id", "finding_id"], "left")
     return findings.withColumns({"selected": F.when(same, True).when(keep, False).otherwise(F.col("selected")), "status": F.when(same, "confirmed_remove").when(keep, "confirmed_keep").otherwise(F.col("status"))}).drop("taught", "kept")
 
 
